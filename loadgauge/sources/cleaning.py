@@ -82,10 +82,12 @@ def assess(raw: DataFrame, reasons: str = "clean") -> DataFrame:
     )
     others = [c for c in raw.columns if c not in [*CANONICAL, UNREAD]]
     bad = reason != ""
+    # Streams have no row numbers.
+    index = F.lit(None) if raw.isStreaming else F.monotonically_increasing_id()
     return raw.select(
         *others,
         *[_typed(f.name, f.dataType, f.name in present).alias(f.name) for f in SAMPLES_SCHEMA],
-        F.monotonically_increasing_id().alias("row_index"),
+        index.cast("bigint").alias("row_index"),
         reason.alias("reason"),
         F.when(bad, text).alias("raw_json"),
     )

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import csv
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ HEAD_BYTES, HEAD_LINES = 512, 10
 DELIMITERS = ",\t;"
 LONGEST_HEAD = 1 << 20
 
+# The functions below travel to the executors, which need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KINDS_SCHEMA = "path string, bytes long, format string, delimiter string, header string"
 
 

@@ -103,31 +103,34 @@ def ingest(
         F.when(bad, "quarantine").otherwise("samples").alias("kind"),
         "run_id",
     )
-    tables = f"{out.rstrip('/')}/rows"
-    stored.write.mode(mode).partitionBy("kind", "run_id").parquet(tables)
-    found = open_ingested(spark, out)
-    label_aggregate(found.samples).write.mode(mode).partitionBy("run_id").parquet(
-        f"{out.rstrip('/')}/summary"
-    )
-    return found
+    out = out.rstrip("/")
+    stored.write.mode(mode).partitionBy("kind", "run_id").parquet(f"{out}/rows")
+    summary = label_aggregate(_stored_samples(_stored_rows(spark, out)))
+    summary.write.mode(mode).partitionBy("run_id").parquet(f"{out}/summary")
+    return open_ingested(spark, out)
+
+
+def _stored_rows(spark: SparkSession, out: str) -> DataFrame:
+    kind = T.StructField("kind", T.StringType())
+    fields = [*SAMPLES_SCHEMA.fields, *QUARANTINE_SCHEMA.fields, kind, RUN]
+    return spark.read.schema(T.StructType(fields)).parquet(f"{out}/rows")
+
+
+def _stored_samples(rows: DataFrame) -> DataFrame:
+    return rows.filter("kind = 'samples'").select(*SAMPLES_SCHEMA.fieldNames(), "run_id")
 
 
 def open_ingested(spark: SparkSession, out: str) -> Ingested:
     """The tables an earlier ingest stored."""
     out = out.rstrip("/")
-    kind = T.StructField("kind", T.StringType())
-    fields = [*SAMPLES_SCHEMA.fields, *QUARANTINE_SCHEMA.fields, kind, RUN]
-    rows = spark.read.schema(T.StructType(fields)).parquet(f"{out}/rows")
+    rows = _stored_rows(spark, out)
+    samples = _stored_samples(rows)
     good = F.col("kind") == "samples"
     counts = rows.groupBy("run_id").agg(
         F.count_if(good).alias("parsed_rows"),
         F.count_if(~good).alias("error_rows"),
         F.count(F.lit(1)).alias("total_rows"),
     )
-    summary_schema = label_aggregate(rows.drop("kind", *QUARANTINE_SCHEMA.fieldNames())).schema
-    return Ingested(
-        rows.filter(good).select(*SAMPLES_SCHEMA.fieldNames(), "run_id"),
-        rows.filter(~good).select(*QUARANTINE_SCHEMA.fieldNames(), "run_id"),
-        counts,
-        spark.read.schema(summary_schema).parquet(f"{out}/summary"),
-    )
+    quarantine = rows.filter(~good).select(*QUARANTINE_SCHEMA.fieldNames(), "run_id")
+    schema = label_aggregate(samples).schema
+    return Ingested(samples, quarantine, counts, spark.read.schema(schema).parquet(f"{out}/summary"))

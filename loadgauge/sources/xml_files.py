@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,43 +25,34 @@ def _element(levels: int) -> T.StructType:
     return T.StructType(fields)
 
 
-def _row(element: Column) -> Column:
-    filled = lambda name: F.nullif(element.getField(name), F.lit(""))
-    return F.struct(
-        *[element.getField(f"_{a}").alias(name) for a, name in XML_ATTRIBUTES.items()],
-        filled(FAILURE).alias("failure_message"),
-        filled(URL).alias("url"),
-        F.lit(None).cast("string").alias("unread_xml"),
-    )
+def _row(element: str) -> str:
+    """SQL for the row of one element."""
+    fields = [f"{element}.`_{attribute}` AS {name}" for attribute, name in XML_ATTRIBUTES.items()]
+    fields.append(f"nullif({element}.`{FAILURE}`, '') AS failure_message")
+    fields.append(f"nullif({element}.`{URL}`, '') AS url")
+    fields.append("CAST(NULL AS STRING) AS unread_xml")
+    return f"struct({', '.join(fields)})"
 
 
-def _unread(text: Column) -> Column:
-    empty = [F.lit(None).cast("string").alias(name) for name in XML_ATTRIBUTES.values()]
-    rest = [F.lit(None).cast("string").alias(name) for name in ("failure_message", "url")]
-    return F.struct(*empty, *rest, text.alias("unread_xml"))
+def _unread(text: str) -> str:
+    """SQL for the row of an element out of reach."""
+    names = [*XML_ATTRIBUTES.values(), "failure_message", "url"]
+    fields = [f"CAST(NULL AS STRING) AS {name}" for name in names]
+    return f"struct({', '.join(fields)}, {text} AS unread_xml)"
 
 
-def _nested(element: Column, tag: str, levels: int) -> Column:
-    """Rows of all ``tag`` elements below an element, whatever lies between."""
-    parts = []
+def _nested(element: str, tag: str, levels: int) -> str:
+    """SQL for the rows of all ``tag`` elements below one, whatever lies between."""
+    parts, x = [], f"x{levels}"
     for child in TAGS:
-        inner = element.getField(child)
+        inner = f"coalesce({element}.{child}, array())"
         if levels > 1:
-            rows = lambda x, child=child: (
-                F.concat(F.array(_row(x)), _nested(x, tag, levels - 1))
-                if child == tag
-                else _nested(x, tag, levels - 1)
-            )
-            parts.append(F.flatten(F.transform(inner, rows)))
+            below = _nested(x, tag, levels - 1)
+            rows = f"concat(array({_row(x)}), {below})" if child == tag else below
+            parts.append(f"flatten(transform({inner}, {x} -> {rows}))")
         elif child == tag:
-            parts.append(F.transform(inner, _unread))
-    none = F.array().cast(T.ArrayType(_row_type()))
-    return F.concat(*[F.coalesce(part, none) for part in parts])
-
-
-def _row_type() -> T.StructType:
-    names = [*XML_ATTRIBUTES.values(), "failure_message", "url", "unread_xml"]
-    return T.StructType([T.StructField(name, T.StringType()) for name in names])
+            parts.append(f"transform({inner}, {x} -> {_unread(x)})")
+    return f"concat({', '.join(parts)})"
 
 
 def read_jtl_xml(
@@ -81,11 +72,13 @@ def read_jtl_xml(
             spark.read.format("xml")
             .schema(schema)
             .option("rowTag", tag)
+            .option("ignoreSurroundingSpaces", False)
             .option("mode", "PERMISSIVE")
             .load(paths if isinstance(paths, str) else list(paths))
         )
-        top = F.struct(*[F.col(f"`{name}`") for name in schema.fieldNames()])
-        rows = F.concat(F.array(_row(top)), _nested(top, tag, depth))
-        source = F.col("_metadata.file_path").alias("source_file")
-        scans.append(found.select(source, F.inline(rows)))
+        top = found.select(
+            F.col("_metadata.file_path").alias("source_file"), F.struct("*").alias("top")
+        )
+        rows = f"concat(array({_row('top')}), {_nested('top', tag, depth)})"
+        scans.append(top.select("source_file", F.inline(F.expr(rows))))
     return scans[0].unionByName(scans[1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -20,9 +20,17 @@ LEVELS = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
 def stream_jtl_csv(
-    spark: SparkSession, folder: str, header: str, delimiter: str = ",", files_per_trigger: int = 1000
+    spark: SparkSession,
+    folder: str,
+    header: str,
+    delimiter: str = ",",
+    run_id: Column | None = None,
+    files_per_trigger: int = 1000,
 ) -> DataFrame:
-    """Raw strings with run_id from CSV files of one header, as they land in a folder."""
+    """Raw strings with run_id from CSV files of one header, as they land in a folder.
+
+    ``run_id`` is an expression over source_file; by default each file is a run.
+    """
     names = header_columns(header, delimiter)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     raw = (
@@ -33,8 +41,10 @@ def stream_jtl_csv(
         .option("maxFilesPerTrigger", files_per_trigger)
         .csv(folder)
     )
-    run = run_of_file(F.col("_metadata.file_path")).alias("run_id")
-    return raw.select(*_canonical(column_positions(names)), run)
+    run = run_of_file(F.col("source_file")) if run_id is None else run_id
+    source = F.col("_metadata.file_path").alias("source_file")
+    found = raw.select(*_canonical(column_positions(names)), source)
+    return found.withColumn("run_id", run).drop("source_file")
 
 
 def stream_samples(raw: DataFrame) -> DataFrame:
