@@ -173,8 +173,8 @@ def iqr_fences(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
         ranked(histogram(samples, by), by)
         .groupBy(*by)
         .agg(
-            (q1 - (q3 - q1) * F.lit(FENCE)).alias("low_fence"),
-            (q3 + (q3 - q1) * F.lit(FENCE)).alias("high_fence"),
+            F.expr(f"{q1} - ({q3} - {q1}) * {FENCE}D AS low_fence"),
+            F.expr(f"{q3} + ({q3} - {q1}) * {FENCE}D AS high_fence"),
         )
     )
 

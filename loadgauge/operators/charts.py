@@ -100,25 +100,25 @@ def rt_histogram(
     chosen = samples if label is None else samples.filter(with_label(label))
     counts = histogram(chosen.filter("elapsed is not null"), by)
     whole = whole_group(by)
-    spread = ranked(counts, by).withColumns(
-        {"low": F.min("elapsed").over(whole), "high": F.max("elapsed").over(whole)}
-    )
-    part = F.try_divide(
-        (F.col("elapsed") - F.col("low")) * F.lit(float(bins)), F.col("high") - F.col("low")
+    placed = (
+        ranked(counts, by)
+        .selectExpr("*", f"min(elapsed) {whole} AS low", f"max(elapsed) {whole} AS high")
+        .selectExpr(
+            "*",
+            f"least({bins - 1}, floor(coalesce(try_divide("
+            f"(elapsed - low) * {float(bins)!r}D, high - low), 0D))) AS bin",
+        )
     )
-    placed = spread.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.coalesce(part, F.lit(0.0)))))
-    in_bin = [F.sum(F.when(F.col("bin") == i, F.col("n")).otherwise(0)) for i in range(bins)]
+    in_bin = ", ".join(f"sum(CASE WHEN bin = {i} THEN n ELSE 0 END)" for i in range(bins))
     runs = placed.groupBy(*by).agg(
-        F.min("low").alias("first"),
-        ((F.max("high") - F.min("low")) / float(bins)).alias("width"),
-        F.array(*in_bin).alias("filled"),
+        F.expr("min(low) AS first"),
+        F.expr(f"(max(high) - min(low)) / {float(bins)!r}D AS width"),
+        F.expr(f"array({in_bin}) AS filled"),
         *[quantile(q / 100).alias(f"p{q}") for q in (50, 90, 99)],
     )
-    unfolded = runs.select("*", F.posexplode("filled").alias("bin", "rows"))
-    low = F.col("first") + F.col("width") * F.col("bin")
-    return unfolded.select(
-        *by, "bin", low.alias("low"), (low + F.col("width")).alias("high"), "rows", "p50", "p90", "p99"
-    )
+    unfolded = runs.selectExpr("*", "posexplode(filled) AS (bin, rows)")
+    edges = ["first + width * bin AS low", "first + width * bin + width AS high"]
+    return unfolded.select(*by, "bin", *map(F.expr, edges), "rows", "p50", "p90", "p99")
 
 
 def rt_cdf(
@@ -133,16 +133,15 @@ def rt_cdf(
     counts = ranked(histogram(samples.filter("elapsed is not null"), by), by)
     whole = whole_group(by)
     levels = {f"p{q}": quantile(q / 100, whole) for q in (90, 95, 99)}
-    step = F.greatest(F.lit(1), F.floor(F.col("total") / points))
-    strided = counts.withColumns(levels).withColumn("step", step)
-    first = F.ceil((F.col("upto") - F.col("n")) / F.col("step"))
-    last = F.floor((F.col("upto") - 1) / F.col("step"))
-    kept = F.ceil(F.col("total") / F.col("step"))
     return (
-        strided.withColumns({"first": first, "last": last})
+        counts.withColumns(levels)
+        .selectExpr("*", f"greatest(1, total div {points}) AS step")
+        .selectExpr(
+            "*", "ceil((upto - n) / step) AS first", "(upto - 1) div step AS last"
+        )
         .filter("first <= last")
-        .withColumn("point", F.explode(F.sequence("first", "last")))
-        .withColumn("cdf_pct", (F.col("point") + 1) / kept * 100)
+        .selectExpr("*", "explode(sequence(first, last)) AS point")
+        .selectExpr("*", "(point + 1) / ceil(total / step) * 100 AS cdf_pct")
         .select(*by, "point", "elapsed", "cdf_pct", *levels)
     )
 
@@ -181,15 +180,11 @@ def rt_heatmap(samples: DataFrame, b: int = 30, keys: Sequence[str] = RUN_KEYS)
     counts = banded.groupBy(*by, "bucket").agg(
         *[row_count(samples, F.col("band") == name).alias(name) for name in names]
     )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("band"), F.lit(i).alias("band_order"), F.col(name).alias("rows")
-            )
-            for i, name in enumerate(names)
-        ]
-    )
-    unfolded = counts.select(*by, "bucket", F.inline(cells))
+    cells = [
+        f"struct('{name}' AS band, {i} AS band_order, `{name}` AS rows)"
+        for i, name in enumerate(names)
+    ]
+    unfolded = counts.select(*by, "bucket", F.expr(f"inline(array({', '.join(cells)}))"))
     seen = F.max("rows").over(Window.partitionBy(*by, "band_order"))
     return unfolded.withColumn("seen", seen).filter("seen > 0").drop("seen")
 
@@ -233,51 +228,47 @@ def threads_error_grid(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> Da
         )
         .filter("threads is not null")
     )
-    run = Window.partitionBy(*by)
-    kind = F.dense_rank().over(run.orderBy("threads"))
+    run = "OVER (PARTITION BY " + ", ".join(f"`{k}`" for k in by) + ")"
+    ordered = run.replace(")", " ORDER BY threads)")
     sized = (
-        buckets.withColumns(
-            {"kind": kind, "low": F.min("threads").over(run), "high": F.max("threads").over(run)}
-        )
-        .withColumn("kinds", F.max("kind").over(run))
-        .withColumn(
-            "bins", F.least(F.lit(THREAD_BINS_MAX), F.greatest(F.lit(THREAD_BINS_MIN), "kinds"))
+        buckets.selectExpr(
+            "*",
+            f"dense_rank() {ordered} AS kind",
+            f"min(threads) {run} AS low",
+            f"max(threads) {run} AS high",
         )
-        .withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
+        .selectExpr("*", f"max(kind) {run} AS kinds")
+        .selectExpr("*", f"least({THREAD_BINS_MAX}, greatest({THREAD_BINS_MIN}, kinds)) AS bins")
+        .selectExpr("*", "(high - low) / bins AS width")
     )
-    edges = F.filter(
-        F.sequence(F.lit(1), F.col("bins") - 1),
-        lambda i: F.col("threads") >= i * F.col("width") + F.col("low"),
+    order = "CASE " + " ".join(
+        f"WHEN error_pct < {edge!r}D THEN {i}" for i, edge in enumerate(ERROR_EDGES[1:-1])
     )
-    order = F.lit(len(ERROR_BANDS) - 1)
-    for i in range(len(ERROR_BANDS) - 2, -1, -1):
-        order = F.when(F.col("error_pct") < ERROR_EDGES[i + 1], i).otherwise(order)
-    placed = sized.withColumns({"thread_bin": F.size(edges), "error_order": order})
-    cells = [(i, j) for i in range(THREAD_BINS_MAX) for j in range(len(ERROR_BANDS))]
+    placed = sized.selectExpr(
+        *[f"`{k}`" for k in by],
+        "bins",
+        "low",
+        "width",
+        "size(filter(sequence(1, bins - 1), i -> threads >= i * width + low)) AS thread_bin",
+        f"{order} ELSE {len(ERROR_BANDS) - 1} END AS error_order",
+    )
+    cells = [
+        f"struct({i} AS thread_bin, '{band}' AS error_band, {j} AS error_order, "
+        f"count_if(thread_bin = {i} AND error_order = {j}) AS buckets)"
+        for i in range(THREAD_BINS_MAX)
+        for j, band in enumerate(ERROR_BANDS)
+    ]
     counts = placed.groupBy(*by, "bins", "low", "width").agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("thread_bin"),
-                    F.lit(ERROR_BANDS[j]).alias("error_band"),
-                    F.lit(j).alias("error_order"),
-                    F.count_if((F.col("thread_bin") == i) & (F.col("error_order") == j)).alias(
-                        "buckets"
-                    ),
-                )
-                for i, j in cells
-            ]
-        ).alias("cells")
+        F.expr(f"array({', '.join(cells)}) AS cells")
     )
-    low = F.col("thread_bin") * F.col("width") + F.col("low")
     return (
-        counts.select("*", F.inline("cells"))
-        .filter(F.col("thread_bin") < F.col("bins"))
-        .select(
-            *by,
+        counts.selectExpr("*", "inline(cells)")
+        .filter("thread_bin < bins")
+        .selectExpr(
+            *[f"`{k}`" for k in by],
             "thread_bin",
-            low.alias("threads_low"),
-            (low + F.col("width")).alias("threads_high"),
+            "thread_bin * width + low AS threads_low",
+            "thread_bin * width + low + width AS threads_high",
             "error_band",
             "error_order",
             "buckets",

@@ -122,30 +122,21 @@ def correlations(
     """
     by = run_keys(keys)
     pairs = list(combinations(columns, 2))
-    x, y = (lambda c: F.col(c).cast("double")), (lambda c: F.col(c).cast("double"))
-    sums = []
+    sums = [f"var_pop({c}) AS var_{c}" for c in columns]
     for i, (a, b) in enumerate(pairs):
-        sums += [
-            F.regr_sxy(y(b), x(a)).alias(f"xy{i}"),
-            F.regr_sxx(y(b), x(a)).alias(f"xx{i}"),
-            F.regr_syy(y(b), x(a)).alias(f"yy{i}"),
-        ]
-    sums += [F.var_pop(c).alias(f"var_{c}") for c in columns]
-    cells = []
+        x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+        sums.append(f"regr_sxy({y}, {x}) AS xy{i}")
+        sums.append(f"sqrt(regr_sxx({y}, {x})) * sqrt(regr_syy({y}, {x})) AS root{i}")
+    cells = [_cell(c, c, f"CASE WHEN var_{c} > 0 THEN 1D ELSE 0D END") for c in columns]
     for i, (a, b) in enumerate(pairs):
-        root = F.sqrt(F.col(f"xx{i}")) * F.sqrt(F.col(f"yy{i}"))
-        value = F.coalesce(F.try_divide(F.col(f"xy{i}"), root), F.lit(0.0))
-        cells += [_cell(a, b, value), _cell(b, a, value)]
-    for c in columns:
-        cells.append(_cell(c, c, F.when(F.col(f"var_{c}") > 0, 1.0).otherwise(0.0)))
-    matrix = samples.groupBy(*by).agg(*sums)
-    return matrix.select(*by, F.inline(F.array(*cells)))
-
-
-def _cell(a: str, b: str, value):
-    return F.struct(
-        F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), value.alias("correlation")
-    )
+        r = f"coalesce(try_divide(xy{i}, root{i}), 0D)"
+        cells += [_cell(a, b, r), _cell(b, a, r)]
+    matrix = samples.groupBy(*by).agg(*map(F.expr, sums))
+    return matrix.select(*by, F.expr(f"inline(array({', '.join(cells)}))"))
+
+
+def _cell(a: str, b: str, value: str) -> str:
+    return f"struct('{a}' AS col_a, '{b}' AS col_b, {value} AS correlation)"
 
 
 def apdex(

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
+
+from loadgauge.functions.columns import bucket_ms
 
 # A table with this column is a rollup: each row stands for that many samples.
 WEIGHT = "n"
@@ -36,63 +37,68 @@ def histogram(rows: DataFrame, by: Sequence[str], errors: bool = False) -> DataF
     return rows.groupBy(*by, "elapsed").agg(*counts)
 
 
+def _listed(by: Sequence[str]) -> str:
+    return ", ".join(f"`{name}`" for name in by)
+
+
 def ranked(counts: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame:
     """Level two: adds upto (rows at or below elapsed) and total per group.
 
     Rows without elapsed get upto 0 and do not count.
     """
-    order = Window.partitionBy(*by).orderBy("elapsed")
-    known = F.when(F.col("elapsed").isNotNull(), F.col(n)).otherwise(0)
-    return counts.withColumns(
-        {
-            "upto": F.sum(known).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "total": F.sum(known).over(whole_group(by)),
-        }
+    known = f"sum(CASE WHEN elapsed IS NULL THEN 0 ELSE {n} END)"
+    running = (
+        f"OVER (PARTITION BY {_listed(by)} ORDER BY elapsed "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    )
+    return counts.selectExpr(
+        "*", f"{known} {running} AS upto", f"{known} {whole_group(by)} AS total"
     )
 
 
-def whole_group(by: Sequence[str]) -> WindowSpec:
-    """Window over all values of a group, sharing the sort of ``ranked``."""
-    order = Window.partitionBy(*by).orderBy("elapsed")
-    return order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def whole_group(by: Sequence[str]) -> str:
+    """SQL window over all values of a group, sharing the sort of ``ranked``."""
+    return (
+        f"OVER (PARTITION BY {_listed(by)} ORDER BY elapsed "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    )
 
 
-def _value_at(index: Column, over: WindowSpec | None) -> Column:
+def _value_at(index: str, over: str) -> str:
     # Value at a 0-based index of the sorted group.
-    value = F.min(F.when(F.col("upto") > index, F.col("elapsed")))
-    return value if over is None else value.over(over)
+    return f"min(CASE WHEN upto > {index} THEN elapsed END) {over}"
+
 
+def quantile(p: float, over: str = "") -> Column:
+    """Linearly interpolated quantile of a ranked histogram.
 
-def quantile(p: float, over: WindowSpec | None = None) -> Column:
-    """Linearly interpolated quantile of a ranked histogram (aggregate or window)."""
-    position = (F.col("total") - 1) * F.lit(float(p))
-    low, high = _value_at(F.floor(position), over), _value_at(F.ceil(position), over)
-    part = F.max(position - F.floor(position))
-    part = part if over is None else part.over(over)
-    return low + (high - low) * part
+    An aggregate, or with ``over`` from whole_group a window function.
+    """
+    position = f"((total - 1) * {float(p)!r}D)"
+    low, high = _value_at(f"floor({position})", over), _value_at(f"ceil({position})", over)
+    part = f"max({position} - floor({position})) {over}"
+    return F.expr(f"{low} + ({high} - {low}) * {part}")
 
 
-def nearest_quantile(p: float, over: WindowSpec | None = None) -> Column:
-    """Sample value nearest to the quantile position, halves away from zero."""
-    return _value_at(F.round((F.col("total") - 1) * F.lit(float(p))), over)
+def nearest_quantile(p: float) -> str:
+    """SQL aggregate: sample value nearest to the quantile, halves away from zero."""
+    return _value_at(f"round((total - 1) * {float(p)!r}D)", "")
 
 
 def mean_elapsed() -> Column:
-    weighted = F.sum(F.col("elapsed").cast("double") * F.col("n"))
-    return weighted / F.nullif(F.max("total"), F.lit(0))
+    return F.expr("sum(CAST(elapsed AS DOUBLE) * n) / nullif(max(total), 0)")
 
 
 def with_centre(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds the group mean to a ranked histogram, for std_elapsed."""
-    weighted = F.sum(F.col("elapsed").cast("double") * F.col("n")).over(whole_group(by))
-    return counts.withColumn("centre", F.try_divide(weighted, F.col("total")))
+    weighted = f"sum(CAST(elapsed AS DOUBLE) * n) {whole_group(by)}"
+    return counts.selectExpr("*", f"try_divide({weighted}, total) AS centre")
 
 
 def std_elapsed() -> Column:
     """Sample standard deviation around the known mean; null for a single row."""
-    off = F.col("elapsed") - F.col("centre")
-    total = F.max("total")
-    return F.when(total > 1, F.sqrt(F.sum(off * off * F.col("n")) / F.nullif(total - 1, F.lit(0))))
+    squares = "sum((elapsed - centre) * (elapsed - centre) * n)"
+    return F.expr(f"CASE WHEN max(total) > 1 THEN sqrt({squares} / nullif(max(total) - 1, 0)) END")
 
 
 def rollup(samples: DataFrame, seconds: int = 5, keys: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -101,8 +107,6 @@ def rollup(samples: DataFrame, seconds: int = 5, keys: Sequence[str] = ("run_id"
     Operators that need only those columns, and buckets that are multiples of ``seconds``,
     give the same results on it.
     """
-    from loadgauge.functions.columns import bucket_ms
-
     return samples.groupBy(
         *keys,
         bucket_ms("timestamp_ms", seconds).alias("timestamp_ms"),
