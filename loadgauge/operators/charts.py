@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -378,3 +380,47 @@ def chart(
     """The dataset of one chart, by its registered name."""
     options = {"slo": slo_config} if name in WITH_SLO else {}
     return CHARTS[name](samples, keys=keys, **options)
+
+
+# Charts that need no column but those of a rollup, and buckets of a multiple of 5 s.
+FROM_ROLLUP = {
+    "fig-rt-time",
+    "fig-percentile-fan",
+    "fig-throughput",
+    "fig-errors",
+    "fig-sli-burn",
+    "fig-transaction-mix",
+    "fig-histogram",
+    "fig-cdf",
+    "fig-boxplots",
+    "fig-heatmap",
+    "fig-rt-throughput",
+    "fig-multiples",
+    "fig-slo-gauges",
+    "fig-apdex",
+    "fig-sunburst",
+}
+
+
+def store_charts(
+    samples: DataFrame,
+    out: str,
+    slo_config: SloConfig | None = None,
+    rolled: DataFrame | None = None,
+    keys: Sequence[str] = RUN_KEYS,
+    at_once: int = 4,
+    mode: str = "errorifexists",
+) -> None:
+    """Write every dataset as Parquet to ``out``/name, a few jobs at a time.
+
+    With a stored ``rollup`` of the samples, half of the charts read that instead of the
+    samples.
+    """
+    spark = samples.sparkSession
+
+    def store(name: str) -> None:
+        source = rolled if rolled is not None and name in FROM_ROLLUP else samples
+        chart(name, source, slo_config, keys).write.mode(mode).parquet(f"{out}/{name}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(inheritable_thread_target(spark)(store), CHARTS))

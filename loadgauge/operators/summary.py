@@ -117,26 +117,41 @@ def correlations(
 ) -> DataFrame:
     """Pearson matrix as keys, col_a, col_b, correlation; 0 where it is undefined.
 
-    One pass: every pair is one aggregate row per task, and the matrix is unfolded from
-    the single result row of a run.
+    One pass over the samples computes counts, means and co-moments, per set of columns
+    that are null together: within such a set every pair covers the same rows.  The few
+    sets (mostly one) are then combined, so each pair uses just the rows that have both.
     """
     by = run_keys(keys)
-    pairs = list(combinations(columns, 2))
-    sums = [f"var_pop({c}) AS var_{c}" for c in columns]
-    for i, (a, b) in enumerate(pairs):
-        x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
-        sums.append(f"regr_sxy({y}, {x}) AS xy{i}")
-        sums.append(f"sqrt(regr_sxx({y}, {x})) * sqrt(regr_syy({y}, {x})) AS root{i}")
-    cells = [_cell(c, c, f"CASE WHEN var_{c} > 0 THEN 1D ELSE 0D END") for c in columns]
-    for i, (a, b) in enumerate(pairs):
-        r = f"coalesce(try_divide(xy{i}, root{i}), 0D)"
-        cells += [_cell(a, b, r), _cell(b, a, r)]
-    matrix = samples.groupBy(*by).agg(*map(F.expr, sums))
-    return matrix.select(*by, F.expr(f"inline(array({', '.join(cells)}))"))
-
-
-def _cell(a: str, b: str, value: str) -> str:
-    return f"struct('{a}' AS col_a, '{b}' AS col_b, {value} AS correlation)"
+    missing = " + ".join(f"if({c} IS NULL, {2**i}, 0)" for i, c in enumerate(columns))
+    moments = [f"avg({c}) AS mean_{c}" for c in columns]
+    moments += [f"var_pop({c}) AS cov_{c}_{c}" for c in columns]
+    moments += [f"covar_pop({a}, {b}) AS cov_{a}_{b}" for a, b in combinations(columns, 2)]
+    sets = samples.groupBy(*by, F.expr(missing).alias("missing")).agg(
+        F.count(F.lit(1)).alias("n"), *map(F.expr, moments)
+    )
+    place = {c: i for i, c in enumerate(columns)}
+    cells = []
+    for a in columns:
+        for b in columns:
+            first, second = sorted((a, b), key=place.__getitem__)
+            cells.append(
+                f"struct('{a}' AS col_a, '{b}' AS col_b, mean_{a} AS x, mean_{b} AS y, "
+                f"cov_{a}_{a} AS xx, cov_{b}_{b} AS yy, cov_{first}_{second} AS xy)"
+            )
+    pair = [*by, "col_a", "col_b"]
+    over = "OVER (PARTITION BY " + ", ".join(f"`{c}`" for c in pair) + ")"
+    centred = (
+        sets.select(*by, "n", F.expr(f"inline(array({', '.join(cells)}))"))
+        .withColumn("n", F.expr("CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN n END"))
+        .selectExpr(
+            "*",
+            f"x - try_divide(sum(n * x) {over}, sum(n) {over}) AS dx",
+            f"y - try_divide(sum(n * y) {over}, sum(n) {over}) AS dy",
+        )
+    )
+    root = "sqrt(sum(n * (xx + dx * dx))) * sqrt(sum(n * (yy + dy * dy)))"
+    r = f"coalesce(try_divide(sum(n * (xy + dx * dy)), {root}), 0D)"
+    return centred.groupBy(*pair).agg(F.expr(r).alias("correlation"))
 
 
 def apdex(
