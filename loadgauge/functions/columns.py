@@ -24,13 +24,13 @@ CV_HIGH, CV_VERY_HIGH = 1.0, 2.0
 URL_LENGTH = 60
 
 
-def _col(value: ColumnLike) -> Column:
+def as_column(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
 def bucket_ms(ts_ms: ColumnLike, seconds: int) -> Column:
     """Start of the tumbling bucket in epoch milliseconds (integer arithmetic)."""
-    ts = _col(ts_ms)
+    ts = as_column(ts_ms)
     return ts - ts % F.lit(seconds * 1000)
 
 
@@ -41,7 +41,7 @@ def time_bucket(ts_ms: ColumnLike, seconds: int) -> Column:
 
 def rt_band(elapsed: ColumnLike) -> Column:
     """Name of the response-time band, edges closed on the left."""
-    ms = _col(elapsed)
+    ms = as_column(elapsed)
     band = F.lit(RT_BANDS[-1][1])
     for edge, name in reversed(RT_BANDS[:-1]):
         band = F.when(ms < edge, name).otherwise(band)
@@ -50,13 +50,13 @@ def rt_band(elapsed: ColumnLike) -> Column:
 
 def is_error(success: ColumnLike = "success") -> Column:
     """True only for a sample known to have failed; an unknown outcome is no error."""
-    return F.coalesce(~_col(success), F.lit(False))
+    return F.coalesce(~as_column(success), F.lit(False))
 
 
 def status_group(success: ColumnLike = "success", code: ColumnLike = "response_code") -> Column:
     return (
-        F.when(_col(success), "Success")
-        .when(_col(code).startswith("4"), "Client Error")
+        F.when(as_column(success), "Success")
+        .when(as_column(code).startswith("4"), "Client Error")
         .otherwise("Server Error")
     )
 
@@ -68,24 +68,24 @@ def transfer_time() -> Column:
 
 
 def apdex_band(score: ColumnLike) -> Column:
-    value = _col(score)
+    value = as_column(score)
     return F.when(value >= APDEX_GOOD, "good").when(value >= APDEX_FAIR, "fair").otherwise("poor")
 
 
 def variability_band(cv: ColumnLike) -> Column:
-    value = _col(cv)
+    value = as_column(cv)
     return (
         F.when(value > CV_VERY_HIGH, "very high").when(value > CV_HIGH, "high").otherwise("normal")
     )
 
 
 def time_text(ts_ms: ColumnLike) -> Column:
-    return F.date_format(F.timestamp_millis(_col(ts_ms)), "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(F.timestamp_millis(as_column(ts_ms)), "yyyy-MM-dd HH:mm:ss")
 
 
 def short_url(url: ColumnLike) -> Column:
     """URL cut to its first characters for tables; a missing one prints as None."""
-    text = F.coalesce(_col(url), F.lit("None"))
+    text = F.coalesce(as_column(url), F.lit("None"))
     cut = F.concat(F.substring(text, 1, URL_LENGTH), F.lit("…"))
     return F.when(F.length(text) > URL_LENGTH, cut).otherwise(text)
 

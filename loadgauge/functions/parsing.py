@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loadgauge.functions.columns import ColumnLike, _col
+from loadgauge.functions.columns import ColumnLike, as_column
 
 # The whitespace stripped before parsing, accepted number form, date
 # patterns (UTC), and the limit above which a number already is milliseconds.
 SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-DATE_PATTERNS = [
-    "yyyy-M-d'T'H:m:s'Z'",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m:s",
-    "yyyy/M/d H:m:s",
-]
+ISO_ZONED = "yyyy-M-d'T'H:m:s'Z'"
+ISO = "yyyy-M-d'T'H:m:s"
+DASHES = "yyyy-M-d H:m:s"
+SLASHES = "yyyy/M/d H:m:s"
 MILLISECONDS_ABOVE = 1_000_000_000_000
 TRUE_WORDS = ["true", "1", "yes"]
 FALSE_WORDS = ["false", "0", "no"]
 
 
 def stripped(text: ColumnLike) -> Column:
-    return F.btrim(_col(text).cast("string"), F.lit(SPACE))
+    return F.btrim(as_column(text).cast("string"), F.lit(SPACE))
 
 
 def _moment(text: Column) -> Column:
     # The appended zone makes the result independent of the session time zone.
     zoned = F.concat(text, F.lit("Z"))
-    return F.coalesce(*[F.try_to_timestamp(zoned, F.lit(p + "X")) for p in DATE_PATTERNS])
+    # A failed parse is slow, so only the one pattern that can fit is tried.
+    slashes, iso = text.contains("/"), text.contains("T")
+    read = {p: F.try_to_timestamp(zoned, F.lit(p + "X")) for p in (ISO_ZONED, ISO, DASHES, SLASHES)}
+    return (
+        F.when(slashes, read[SLASHES])
+        .when(~iso, read[DASHES])
+        .when(text.endswith("Z"), read[ISO_ZONED])
+        .otherwise(read[ISO])
+    )
 
 
 def normalize_timestamp(value: ColumnLike) -> Column:
@@ -60,12 +66,12 @@ def normalize_bool(value: ColumnLike) -> Column:
 
 def normalize_int(value: ColumnLike) -> Column:
     """Whole number or null; a fraction such as 100.5 is null too."""
-    return _col(value).cast("string").try_cast("bigint")
+    return as_column(value).cast("string").try_cast("bigint")
 
 
 def quoted(value: ColumnLike) -> Column:
     """Text in quotes, the way reasons show a bad value."""
-    text = _col(value)
+    text = as_column(value)
     for plain, shown in [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]:
         text = F.replace(text, F.lit(plain), F.lit(shown))
     single, double = text.contains("'"), text.contains('"')

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadgauge.model import RUN_KEYS, run_keys
-from loadgauge.operators.series import _ranked_buckets, bucket_quantiles, bucketed
+from loadgauge.operators.series import ranked_buckets, bucket_quantiles, bucketed
 from loadgauge.plans.histogram import (
     histogram,
     nearest_quantile,
@@ -72,7 +72,7 @@ def error_spikes(
 def rate_vs_p90(samples: DataFrame, b: int = 10, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """keys, bucket, rps, p90."""
     by = [*run_keys(keys), "bucket"]
-    return _ranked_buckets(samples, b, by).agg(
+    return ranked_buckets(samples, b, by).agg(
         (F.sum("n") / float(b)).alias("rps"), quantile(0.90).alias("p90")
     )
 

@@ -24,12 +24,13 @@ from loadgauge.operators import anomalies, sampling, segments, series, slo, summ
 from loadgauge.plans.histogram import (
     histogram,
     mean_elapsed,
+    needs_samples,
     quantile,
     ranked,
     row_count,
     whole_group,
 )
-from loadgauge.plans.joining import join_facts
+from loadgauge.plans.joining import join_facts, settle
 
 # Edges and names of the error-rate bands, most thread bins, CDF points.
 ERROR_EDGES = [-0.01, 0.01, 1.0, 5.0, 25.0, 100.0]
@@ -76,16 +77,16 @@ def rt_by_status(
 def transaction_mix(samples: DataFrame, b: int = 10, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """Share of every label in every bucket of its run, 0 where it is absent.
 
-    The filled grid is the result itself: buckets times labels of a run.
+    The filled grid is the result itself: buckets times labels of a run.  The shares are
+    stored first, so the samples are read once for all three parts of it.
     """
     by = run_keys(keys)
-    shares = series_mix = anomalies.label_mix(samples, b, by)
-    buckets = series_mix.select(*by, "bucket").distinct()
-    labels = series_mix.select(*by, "label").distinct()
+    shares = settle(anomalies.label_mix(samples, b, by).drop("rows"))
+    buckets = shares.select(*by, "bucket").distinct()
+    labels = shares.select(*by, "label").distinct()
     grid = join_facts(buckets, labels, by)
-    return join_facts(grid, shares.drop("rows"), [*by, "bucket", "label"], "left").fillna(
-        0.0, ["share_pct"]
-    )
+    filled = join_facts(grid, shares, [*by, "bucket", "label"], "left")
+    return filled.withColumn("share_pct", F.coalesce("share_pct", F.lit(0.0)))
 
 
 def rt_histogram(
@@ -321,6 +322,7 @@ def error_sunburst(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFr
 def variability(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """Mean, standard deviation and their ratio per label, most variable first."""
     by = run_keys(keys)
+    needs_samples(samples)
     cv = F.when(F.col("mean") > 0, F.coalesce(F.col("std") / F.col("mean"), F.lit(0.0)))
     return (
         samples.groupBy(*by, "label")

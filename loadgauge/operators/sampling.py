@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadgauge.model import RUN_KEYS, run_keys
-from loadgauge.plans.histogram import row_count
+from loadgauge.plans.histogram import needs_samples, row_count
 from loadgauge.plans.joining import join_facts, settle
 
 SAMPLE_SEED, TRIM_SEED = 42, 43
@@ -21,6 +21,7 @@ def slowest(samples: DataFrame, n: int = 20, keys: Sequence[str] = RUN_KEYS) ->
     Spark keeps only n rows per run and task before the shuffle.
     """
     by = run_keys(keys)
+    needs_samples(samples)
     order = [F.desc_nulls_last("elapsed"), "timestamp_ms", "label", "response_code", "url"]
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return samples.withColumn("place", place).filter(F.col("place") <= n)
@@ -80,6 +81,7 @@ def _lowest_hashes(
     Equal rows travel as one row with its number of copies.  As the hash depends on
     nothing but content, a repeated task chooses the same rows.
     """
+    needs_samples(samples)
     content = list(dict.fromkeys(columns))
     hashed = samples.select(
         *content,

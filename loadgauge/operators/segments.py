@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loadgauge.functions.columns import bucket_ms
 from loadgauge.model import RUN_KEYS, run_keys
-from loadgauge.plans.histogram import histogram, quantile, ranked
+from loadgauge.plans.histogram import histogram, needs_samples, quantile, ranked
 from loadgauge.plans.joining import join_facts, settle
 
 # Bucket width, share of the peak rate that ends warm-up, latest end.
@@ -26,6 +26,7 @@ def warmup(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     The test ends at the last start plus the longest response.
     """
     by = run_keys(keys)
+    needs_samples(samples)
     buckets = samples.groupBy(*by, bucket_ms("timestamp_ms", BUCKET_SECONDS).alias("at")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("timestamp_ms").alias("first"),
@@ -59,6 +60,7 @@ def steady(
     Without it, one is computed and stored at once.
     """
     by = run_keys(keys)
+    needs_samples(samples)
     bounds = settle(warmup(samples, by)) if bounds is None else bounds
     inside = F.col("timestamp_ms").between(F.col("warmup_end_ms"), F.col("test_end_ms"))
     return join_facts(samples, bounds, by).filter(inside).select(*samples.columns)
@@ -69,6 +71,7 @@ def steady_compare(
 ) -> DataFrame:
     """p90 and p99 of warm-up and steady phase per run; 0 for an empty phase."""
     by = run_keys(keys)
+    needs_samples(samples)
     bounds = settle(warmup(samples, by)) if bounds is None else bounds
     ts = F.col("timestamp_ms")
     phase = F.when(ts < F.col("warmup_end_ms"), "Warmup").when(

@@ -18,7 +18,7 @@ def bucketed(samples: DataFrame, seconds: int) -> DataFrame:
     return samples.withColumn("bucket", time_bucket("timestamp_ms", seconds))
 
 
-def _ranked_buckets(samples: DataFrame, seconds: int, by: list[str], errors: bool = False):
+def ranked_buckets(samples: DataFrame, seconds: int, by: list[str], errors: bool = False):
     return ranked(histogram(bucketed(samples, seconds), by, errors), by).groupBy(*by)
 
 
@@ -67,7 +67,7 @@ def errors(samples: DataFrame, b: int = 5, keys: Sequence[str] = RUN_KEYS) -> Da
 def rt_series(samples: DataFrame, b: int = 5, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """keys, bucket, label, p50, p90, p95, p99, mean, min, max."""
     by = [*run_keys(keys), "bucket", "label"]
-    return _ranked_buckets(samples, b, by).agg(
+    return ranked_buckets(samples, b, by).agg(
         quantile(0.50).alias("p50"),
         quantile(0.90).alias("p90"),
         quantile(0.95).alias("p95"),
@@ -109,7 +109,7 @@ def bucket_quantiles(
     """keys, bucket and the named quantiles of the response time."""
     by = [*run_keys(keys), "bucket"]
     named = [quantile(p).alias(name) for name, p in ps.items()]
-    return _ranked_buckets(samples, b, by).agg(*named)
+    return ranked_buckets(samples, b, by).agg(*named)
 
 
 def percentile_fan(samples: DataFrame, b: int = 5, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
@@ -170,7 +170,7 @@ def sli_burn(
     """Error rate and p99 per bucket beside their thresholds."""
     slo = slo or SloConfig()
     by = [*run_keys(keys), "bucket"]
-    found = _ranked_buckets(samples, b, by, errors=True).agg(
+    found = ranked_buckets(samples, b, by, errors=True).agg(
         (F.sum("errors") / F.sum("n") * 100).alias("error_rate_pct"), quantile(0.99).alias("p99")
     )
     return found.withColumns(
@@ -235,7 +235,7 @@ def top_label_series(
     """p90 per bucket for the labels with most samples (ties by label)."""
     run = run_keys(keys)
     by = [*run, "bucket", "label"]
-    found = _ranked_buckets(samples, b, by).agg(
+    found = ranked_buckets(samples, b, by).agg(
         F.sum("n").alias("rows"), quantile(0.90).alias("p90")
     )
     volume = F.sum("rows").over(Window.partitionBy(*run, "label"))

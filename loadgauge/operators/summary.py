@@ -13,6 +13,7 @@ from loadgauge.model import RUN_KEYS, run_keys
 from loadgauge.plans.histogram import (
     histogram,
     mean_elapsed,
+    needs_samples,
     quantile,
     ranked,
     row_count,
@@ -82,6 +83,7 @@ def label_aggregate(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataF
 def label_summary(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """Counts, errors, response times, and mean bytes, latency and connect per label."""
     by = [*run_keys(keys), "label"]
+    needs_samples(samples)
     extras = ["bytes", "latency", "connect"]
     # The means of the other columns ride along as sums per distinct response time.
     counts = samples.groupBy(*by, "elapsed").agg(

@@ -20,6 +20,12 @@ from loadgauge.functions.columns import bucket_ms
 WEIGHT = "n"
 
 
+def needs_samples(rows: DataFrame) -> None:
+    """Refuse a rollup where single samples are needed."""
+    if WEIGHT in rows.columns:
+        raise ValueError(f"this operator needs samples, not a rollup (column {WEIGHT!r})")
+
+
 def row_count(rows: DataFrame, condition: Column | None = None) -> Column:
     """Aggregate: number of samples (for which the condition holds), never null."""
     if WEIGHT not in rows.columns:

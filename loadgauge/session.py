@@ -7,11 +7,13 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # UTC: buckets are instants, but text timestamps and printed times are read as UTC.
+# Output writers: ingest stores a task's rows of several runs and kinds without sorting them.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.maxConcurrentOutputFileWriters": "32",
 }
 
 _local_folder: tempfile.TemporaryDirectory | None = None

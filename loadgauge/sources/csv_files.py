@@ -39,10 +39,10 @@ def map_columns(raw: DataFrame) -> DataFrame:
     """The canonical subset of a frame with source column names."""
     names = raw.columns
     placed = raw.toDF(*[f"c{i}" for i in range(len(names))])
-    return placed.select(*_canonical(column_positions(names)))
+    return placed.select(*canonical_columns(column_positions(names)))
 
 
-def _canonical(positions: dict[str, int]) -> list[Column]:
+def canonical_columns(positions: dict[str, int]) -> list[Column]:
     return [F.col(f"c{positions[name]}").alias(name) for name in CANONICAL if name in positions]
 
 
@@ -71,4 +71,4 @@ def read_jtl_csv(
         .csv(paths if isinstance(paths, str) else list(paths))
     )
     source = F.col("_metadata.file_path").alias("source_file")
-    return raw.select(*_canonical(column_positions(names)), source)
+    return raw.select(*canonical_columns(column_positions(names)), source)

@@ -19,6 +19,12 @@ from loadgauge.sources.tables import RUN
 from loadgauge.sources.xml_files import DEPTH, read_jtl_xml
 
 
+SUMMARY_SCHEMA = (
+    "label string, count long, mean_elapsed double, p50 double, p90 double, p95 double, "
+    "p99 double, error_rate double, min_elapsed long, max_elapsed long, run_id string"
+)
+
+
 def run_of_file(path: Column) -> Column:
     """File name without its ending, and a few digits so that equal names stay apart."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
@@ -132,5 +138,5 @@ def open_ingested(spark: SparkSession, out: str) -> Ingested:
         F.count(F.lit(1)).alias("total_rows"),
     )
     quarantine = rows.filter(~good).select(*QUARANTINE_SCHEMA.fieldNames(), "run_id")
-    schema = label_aggregate(samples).schema
-    return Ingested(samples, quarantine, counts, spark.read.schema(schema).parquet(f"{out}/summary"))
+    summary = spark.read.schema(SUMMARY_SCHEMA).parquet(f"{out}/summary")
+    return Ingested(samples, quarantine, counts, summary)

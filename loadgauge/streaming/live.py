@@ -13,7 +13,7 @@ from loadgauge.functions.columns import is_error
 from loadgauge.model import RUN_KEYS, run_keys
 from loadgauge.plans.histogram import quantile, ranked
 from loadgauge.sources.cleaning import clean
-from loadgauge.sources.csv_files import _canonical, column_positions, header_columns
+from loadgauge.sources.csv_files import canonical_columns, column_positions, header_columns
 from loadgauge.sources.ingest import run_of_file
 
 LEVELS = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -43,7 +43,7 @@ def stream_jtl_csv(
     )
     run = run_of_file(F.col("source_file")) if run_id is None else run_id
     source = F.col("_metadata.file_path").alias("source_file")
-    found = raw.select(*_canonical(column_positions(names)), source)
+    found = raw.select(*canonical_columns(column_positions(names)), source)
     return found.withColumn("run_id", run).drop("source_file")
 
 
