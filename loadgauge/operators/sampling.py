@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadgauge.model import RUN_KEYS, run_keys
-from loadgauge.plans.histogram import needs_samples, row_count
+from loadgauge.plans.histogram import histogram, needs_samples, row_count
 from loadgauge.plans.joining import join_facts, settle
 
 SAMPLE_SEED, TRIM_SEED = 42, 43
@@ -18,13 +18,23 @@ SCATTER_LIMIT, STATUS_LIMIT = 5000, 50_000
 def slowest(samples: DataFrame, n: int = 20, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """The n slowest samples of each run (ties: earlier, then by label), with their place.
 
-    Spark keeps only n rows per run and task before the shuffle.
+    The histogram of a run tells from which response time on its n slowest begin; just
+    the samples from there on are sorted, and only n per run and task are shuffled.
     """
     by = run_keys(keys)
     needs_samples(samples)
+    down = Window.partitionBy(*by).orderBy(F.desc_nulls_last("elapsed"))
+    reached = F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0))
+    cuts = (
+        histogram(samples, by)
+        .withColumn("reached", reached)
+        .groupBy(*by)
+        .agg(F.max(F.when(F.col("reached") >= n, F.col("elapsed"))).alias("cut"))
+    )
+    near = join_facts(samples, settle(cuts), by).filter("cut IS NULL OR elapsed >= cut")
     order = [F.desc_nulls_last("elapsed"), "timestamp_ms", "label", "response_code", "url"]
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return samples.withColumn("place", place).filter(F.col("place") <= n)
+    return near.withColumn("place", place).filter(F.col("place") <= n).drop("cut")
 
 
 def top_labels(samples: DataFrame, n: int = 12, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
