@@ -132,7 +132,7 @@ def rt_vs_concurrency(samples: DataFrame, b: int = 10, keys: Sequence[str] = RUN
     counts = (
         bucketed(samples, b)
         .groupBy(*by, "bucket", "elapsed")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("all_threads").alias("threads"))
+        .agg(row_count(samples).alias("n"), F.max("all_threads").alias("threads"))
     )
     found = (
         ranked(counts, [*by, "bucket"])

@@ -221,6 +221,7 @@ def threads_error_grid(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> Da
     are open on the right but for the last; equal thread counts all fall in the last bin.
     """
     by = run_keys(keys)
+    needs_samples(samples)
     failed = row_count(samples, ~F.col("success"))
     buckets = (
         series.bucketed(samples, 10)
@@ -386,6 +387,9 @@ def chart(
 
 # Charts that need no column but those of a rollup, and buckets of a multiple of 5 s.
 FROM_ROLLUP = {
+    "fig-threads",
+    "fig-bytes",
+    "fig-rt-concurrency",
     "fig-rt-time",
     "fig-percentile-fan",
     "fig-throughput",
@@ -415,8 +419,7 @@ def store_charts(
 ) -> None:
     """Write every dataset as Parquet to ``out``/name, a few jobs at a time.
 
-    With a stored ``rollup`` of the samples, half of the charts read that instead of the
-    samples.
+    With a stored ``rollup`` of the samples, most charts read that instead of the samples.
     """
     spark = samples.sparkSession
 

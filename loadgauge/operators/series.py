@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from loadgauge.functions.columns import is_error, time_bucket, transfer_time
 from loadgauge.model import RUN_KEYS, SloConfig, run_keys
-from loadgauge.plans.histogram import histogram, mean_elapsed, quantile, ranked, row_count
+from loadgauge.plans.histogram import (
+    histogram,
+    mean_elapsed,
+    needs_samples,
+    quantile,
+    ranked,
+    row_count,
+)
 
 TOTAL_LABEL = "ALL"
 
@@ -152,7 +159,7 @@ def threads_vs_rt(samples: DataFrame, b: int = 5, keys: Sequence[str] = RUN_KEYS
     counts = (
         bucketed(samples, b)
         .groupBy(*by, "elapsed")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("all_threads").alias("all_threads"))
+        .agg(row_count(samples).alias("n"), F.max("all_threads").alias("all_threads"))
     )
     return (
         ranked(counts, by)
@@ -184,6 +191,7 @@ def sli_burn(
 
 
 def _means(samples: DataFrame, b: int, keys: Sequence[str], names: dict[str, str]) -> DataFrame:
+    needs_samples(samples)
     means = [F.avg(column).alias(name) for name, column in names.items()]
     return bucketed(samples, b).groupBy(*run_keys(keys), "bucket").agg(*means)
 
@@ -205,6 +213,7 @@ def throughput_efficiency(
     samples: DataFrame, b: int = 10, keys: Sequence[str] = RUN_KEYS
 ) -> DataFrame:
     """Bytes in and out per millisecond of response time; 0 where no time passed."""
+    needs_samples(samples)
     zero = F.lit(0).cast("bigint")
     moved = F.coalesce(F.sum("bytes"), zero) + F.coalesce(F.sum("sent_bytes"), zero)
     rate = F.coalesce(F.try_divide(moved, F.sum("elapsed")), F.lit(0.0))

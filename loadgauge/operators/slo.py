@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loadgauge.functions.columns import apdex_band
 from loadgauge.model import RUN_KEYS, SloConfig, run_keys
 from loadgauge.operators.segments import steady, warmup
-from loadgauge.plans.histogram import histogram, quantile, ranked
+from loadgauge.plans.histogram import histogram, needs_samples, quantile, ranked
 from loadgauge.plans.joining import join_facts, settle
 
 FAR = 4.0
@@ -43,7 +43,10 @@ def _judge(metrics: DataFrame, slo: SloConfig) -> DataFrame:
             "p99_compliant": F.col("p99_ms") <= slo.p99_ms,
             "error_rate_compliant": F.col("error_rate_pct") <= slo.error_rate_pct,
         }
-    ).withColumn("overall_compliant", F.expr("p90_compliant and p99_compliant and error_rate_compliant"))
+    ).withColumn(
+        "overall_compliant",
+        F.expr("p90_compliant AND p99_compliant AND error_rate_compliant"),
+    )
 
 
 def steady_metrics(
@@ -113,6 +116,7 @@ def run_kpis(
     slo = slo or SloConfig()
     by = run_keys(keys)
     label = [*by, "label"]
+    needs_samples(samples)
     bounds = settle(warmup(samples, by)) if bounds is None else bounds
     inside = F.col("timestamp_ms").between(F.col("warmup_end_ms"), F.col("test_end_ms"))
     counts = settle(

@@ -110,14 +110,17 @@ def std_elapsed() -> Column:
 def rollup(samples: DataFrame, seconds: int = 5, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Samples per (run, bucket, label, outcome, code, elapsed), as a smaller samples table.
 
-    Operators that need only those columns, and buckets that are multiples of ``seconds``,
-    give the same results on it.
+    Holds the row count n, the highest thread counts and the summed bytes.  Operators over
+    those columns, and buckets that are multiples of ``seconds``, give the same results on
+    it; the others refuse it.
     """
+    start = bucket_ms("timestamp_ms", seconds).alias("timestamp_ms")
     return samples.groupBy(
-        *keys,
-        bucket_ms("timestamp_ms", seconds).alias("timestamp_ms"),
-        "label",
-        "success",
-        "response_code",
-        "elapsed",
-    ).agg(row_count(samples).alias(WEIGHT))
+        *keys, start, "label", "success", "response_code", "elapsed"
+    ).agg(
+        row_count(samples).alias(WEIGHT),
+        F.max("grp_threads").alias("grp_threads"),
+        F.max("all_threads").alias("all_threads"),
+        F.sum("bytes").alias("bytes"),
+        F.sum("sent_bytes").alias("sent_bytes"),
+    )

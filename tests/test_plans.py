@@ -116,8 +116,9 @@ def test_slowest_with_ties_and_unknown_times(make):
 
 @pytest.mark.parametrize(
     "operator",
-    [segments.warmup, segments.steady, summary.label_summary, charts.variability, sampling.slowest,
-     sampling.uniform_sample],
+    [segments.warmup, segments.steady, summary.label_summary, summary.correlations,
+     charts.variability, charts.threads_error_grid, sampling.slowest, sampling.uniform_sample,
+     series.throughput_efficiency, series.connect_breakdown],
 )
 def test_a_rollup_is_refused_where_samples_are_needed(stored, operator):
     with pytest.raises(ValueError, match="needs samples"):
