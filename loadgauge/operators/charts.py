@@ -154,7 +154,8 @@ def boxplots(samples: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     run = run_keys(keys)
     by = [*run, "label"]
     whole = whole_group(by)
-    quartiles = {"q1": quantile(0.25, whole), "median": quantile(0.5, whole), "q3": quantile(0.75, whole)}
+    levels = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    quartiles = {name: quantile(p, whole) for name, p in levels.items()}
     reach = (F.col("q3") - F.col("q1")) * F.lit(anomalies.FENCE)
     inside = F.col("elapsed").between(F.col("q1") - reach, F.col("q3") + reach)
     return (

@@ -78,7 +78,8 @@ def assess(raw: DataFrame, reasons: str = "clean") -> DataFrame:
         )
         present = [*present, UNREAD]
     text = F.to_json(
-        F.struct(*[F.col(c).cast("string").alias(c) for c in present]), {"ignoreNullFields": "false"}
+        F.struct(*[F.col(c).cast("string").alias(c) for c in present]),
+        {"ignoreNullFields": "false"},
     )
     others = [c for c in raw.columns if c not in [*CANONICAL, UNREAD]]
     bad = reason != ""
