@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadgauge.llm import mixing, quality
+from loadgauge.llm import mixing, pieces, quality, simhash, substrings
 from loadgauge.llm.common import n_words_of, table
 
 
@@ -21,7 +21,24 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_report(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokens.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", "decodes")
+
+
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op5_quality_cascade": op5_quality_cascade,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_simhash_groups": op9_simhash_groups,
 }
