@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadgauge.llm import mixing, pieces, quality, simhash, substrings
+from loadgauge.llm import chat, mixing, pieces, quality, simhash, substrings, warc
 from loadgauge.llm.common import n_words_of, table
 
 
@@ -17,6 +17,18 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    turns = F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))]))
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), turns.alias("t")).select("conv_id", "t.turn", "t.role", said)
+    return chat.digests(chat.format_chats(rows.unionByName(extra)))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("damage")
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -37,6 +49,8 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_chat_format": op2_chat_format,
+    "op3_warc": op3_warc,
     "op5_quality_cascade": op5_quality_cascade,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_sentencepiece": op8_sentencepiece,
