@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACES = " \t\n\x0b\x0c\r"
 # Words are runs of anything but the six ASCII spaces.
@@ -34,15 +35,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def one_row_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The table itself if its ids are unique; else one row per id, that with the least text.
+    """The table itself if its ids are unique; else one row per id, that with the least text
+    and, among equals, the least other plain columns.
 
     Rows without id stay as they are.
     """
     repeated = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
     if not repeated.take(1):
         return docs
+    plain = [f.name for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.name not in (id_col, text_col)]
     rest = [c for c in docs.columns if c != id_col]
-    first = F.min_by(F.struct(*rest), F.struct(F.coalesce(F.col(text_col), F.lit("")), *rest))
-    keyed = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(first.alias("__row"))
+    first = F.min_by(F.struct(*rest), F.struct(text_col, *plain)).alias("__row")
+    keyed = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(first)
     keyed = keyed.select(id_col, "__row.*").select(docs.columns)
     return keyed.unionByName(docs.filter(F.col(id_col).isNull()))

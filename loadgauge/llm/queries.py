@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadgauge.llm import chat, mixing, pieces, quality, simhash, substrings, warc
+from loadgauge.llm import chat, mixing, neighbours, pieces, quality, simhash, substrings, warc
 from loadgauge.llm.common import n_words_of, table
 
 
@@ -29,6 +29,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("damage")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
+    "op4_nearest": op4_nearest,
     "op5_quality_cascade": op5_quality_cascade,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_sentencepiece": op8_sentencepiece,
