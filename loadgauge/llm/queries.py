@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadgauge.llm import chat, mixing, neighbours, pieces, quality, simhash, substrings, warc
+from loadgauge.llm import chat, language, mixing, neighbours, pieces, quality, simhash, substrings, warc
 from loadgauge.llm.common import n_words_of, table
 
 
@@ -41,6 +41,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokens.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", "decodes")
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest": op4_nearest,
     "op5_quality_cascade": op5_quality_cascade,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_language": op7_language,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash_groups": op9_simhash_groups,
 }
