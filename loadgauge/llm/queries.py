@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadgauge.llm import chat, language, mixing, neighbours, pieces, quality, simhash, substrings, warc
+from loadgauge.llm import chat, html_extract, language, mixing, neighbours, pieces, quality, simhash, substrings, warc
 from loadgauge.llm.common import n_words_of, table
 
 
@@ -57,6 +57,11 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_chat_format": op2_chat_format,
@@ -67,4 +72,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash_groups": op9_simhash_groups,
+    "op10_main_text": op10_main_text,
 }
