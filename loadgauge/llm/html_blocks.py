@@ -23,9 +23,10 @@ CLOSES = {
     "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"),
 }
 BOUNDS = frozenset("ul ol dl table select body html".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 SCOPES = frozenset("table td th button object html".split())
 
-PATH_DIM, WORD_DIM = 128, 32
+PATH_DIM, WORD_DIM = 256, 32
 NUMBERS = 7
 DIM = PATH_DIM + WORD_DIM + NUMBERS
 
@@ -96,8 +97,9 @@ class _Blocks:
     def end(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
+        same = HEADINGS if tag in HEADINGS else (tag,)
         for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
+            if self.stack[i].tag in same:
                 del self.stack[i:]
                 return
             if tag in INLINE and self.stack[i].tag not in INLINE:

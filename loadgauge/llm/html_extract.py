@@ -20,7 +20,7 @@ from loadgauge.llm.html_training import Maker
 
 HIDDEN = 20
 SAMPLE_PAGES = 60  # real pages that lend words
-TRAIN_PAGES = 480
+TRAIN_PAGES = 1200
 EPOCHS = 14
 BATCH = 16
 RATE = 0.012

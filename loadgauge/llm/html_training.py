@@ -140,7 +140,7 @@ class Maker:
                 text = self.leaf(self.prose(1, 8) if r.random() < 0.8 else self.sentence(1, 6), True)
                 out.append(("<p>{}" if r.random() < 0.05 else "<p>{}</p>").format(text) if use_p else f"<div>{text}</div>")
             elif roll < 0.8:
-                out.append(f"<h{2 + r.randrange(2)}>{self.leaf(self.some(1, 8), True)}</h2>")
+                out.append("<h{0}>{1}</h{0}>".format(2 + r.randrange(2), self.leaf(self.some(1, 8), True)))
             elif roll < 0.85:
                 out.append("<ul>" + "".join(f"<li>{self.leaf(self.sentence(2, 16), True)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
             elif roll < 0.88:
