@@ -34,6 +34,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def one_row_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The table itself if its ids are unique; else one row per id, that with the least text
     and, among equals, the least other plain columns.

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadgauge.llm.common import SPACES, n_words_of, one_row_per_id
+from loadgauge.llm.common import free_name, n_words_of, one_row_per_id, words_of
 from loadgauge.plans.joining import join_facts, settle
 
 WEIGHTS = (5, 2, 1)
@@ -107,13 +107,14 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """
     docs = one_row_per_id(docs.filter(F.col("doc_id").isNotNull()), "doc_id", "text")
     plan = mix(docs, n_words_of(F.col("text")), **options).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    cut = F.col("__taken") % F.col("__size")
-    copies = F.array_repeat(F.col("__size"), whole)
+    ident, size, taken, keep = (free_name(docs, n) for n in ("__id", "__size", "__taken", "__keep"))
+    plan = plan.select(F.col("doc_id").alias(ident), F.col("size").alias(size), F.col("taken").alias(taken))
+    whole = F.floor(F.col(taken) / F.col(size)).cast("int")
+    cut = F.col(taken) % F.col(size)
+    copies = F.array_repeat(F.col(size), whole)
     copies = F.when(cut > 0, F.concat(copies, F.array(cut))).otherwise(copies)
-    planned = plan.select("__id", "__size", F.explode(copies).alias("__words"))
-    joined = docs.join(planned, docs["doc_id"] == planned["__id"])
-    words = F.slice(F.split(F.btrim(F.col("text"), F.lit(SPACES)), r"[\x20\x09-\x0D]+"), 1, F.col("__words").cast("int"))
-    text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(F.array_join(words, " "))
+    planned = plan.select(ident, size, F.explode(copies).alias(keep))
+    joined = docs.join(planned, docs["doc_id"] == planned[ident])
+    words = F.slice(words_of(F.col("text")), 1, F.col(keep).cast("int"))
+    text = F.when(F.col(keep) == F.col(size), F.col("text")).otherwise(F.array_join(words, " "))
     return joined.withColumn("text", text).select(docs.columns)

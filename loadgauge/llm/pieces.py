@@ -24,6 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loadgauge.llm.common import free_name
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -307,8 +310,8 @@ def encode(
                 yield pa.RecordBatch.from_arrays([*rest, lists, pa.array(back, pa.bool_())], [*names, "token_ids", "decodes"])
 
     salt = F.xxhash64(F.lit(seed), F.col(id_col))
-    schema = docs.select(names).schema.add("token_ids", "array<int>").add("decodes", "boolean")
-    return docs.select(*names, salt.alias("__salt")).mapInArrow(run, schema)
+    schema = docs.select(names).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("decodes", T.BooleanType())
+    return docs.select(*names, salt.alias(free_name(docs, "__salt"))).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:
@@ -324,4 +327,4 @@ def decode(rows: DataFrame, ids_col: str = "token_ids", model: str = MODEL) -> D
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
 
-    return rows.select(names).mapInArrow(run, rows.select(names).schema.add("text", "string"))
+    return rows.select(names).mapInArrow(run, rows.select(names).schema.add("text", T.StringType()))

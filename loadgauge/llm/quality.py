@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadgauge.llm.common import SPACES, let, words_of
+from loadgauge.llm.common import SPACES, free_name, let, words_of
 from loadgauge.plans.joining import settle
 
 SAMPLE_ROWS = 2000
@@ -100,14 +100,14 @@ def content_rules(text: Column, words: Column, n_words: Column) -> list[Rule]:
     capitals = F.regexp_count(text, F.lit(r"\p{Lu}"))
     small = F.regexp_count(text, F.lit(r"\p{Ll}"))
     marks = F.regexp_count(text, F.lit(r"[!?]"))
-    mean_chars = word_chars(words) / n_words
+    chars = word_chars(words)
     dup = let(lines_of(text), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 40 * F.size(x))
     return [
         Rule("symbols", 100 * n_symbols(text) > 20 * n_words),
         Rule("dup_lines", dup),
         Rule("capitals", capitals > small),
         Rule("marks", 100 * marks > 50 * n_words),
-        Rule("word_length", (mean_chars < 2) | (mean_chars > 14)),
+        Rule("word_length", (chars < 2 * n_words) | (chars > 14 * n_words)),
     ]
 
 
@@ -116,12 +116,12 @@ def _failed(rule: Rule) -> Column:
 
 
 def order_rules(rows: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in the order of rejection per cost, measured on at most ``sample_rows`` rows.
+    """The rules in the order of rejection per cost, measured on about ``sample_rows`` rows.
 
     A rule's rejection counts only documents that the rules before it let pass.  Only counts per
     pattern of failures reach the driver.  On an empty table the order stays as given.
     """
-    sample = settle(rows.sample(0.5, seed=5).limit(sample_rows))
+    sample = settle(rows.sample(min(1.0, sample_rows / max(1, rows.count())), seed=5))
     patterns = sample.select(F.array(*[_failed(r) for r in rules]).alias("p")).groupBy("p").count().collect()
     if not patterns:
         return list(rules)
@@ -158,8 +158,9 @@ def good_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame
     Null, empty and blank texts have no words and fail ``short``.  Repeated rows share their
     verdict.  Columns of ``docs`` that clash with names used here stay untouched.
     """
-    rows = docs.withColumn("__words", words_of(F.col("text")))
-    words, n = F.col("__words"), F.size("__words")
+    name = free_name(docs, "__words")
+    rows = docs.withColumn(name, words_of(F.col("text")))
+    words, n = F.col(name), F.size(name)
     rules = base_rules(words, n) + content_rules(F.col("text"), words, n)
     rules = order_rules(rows, rules, sample_rows)
     return rows.filter(first_failure(rules).isNull()).select(docs.columns)

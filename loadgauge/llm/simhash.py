@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadgauge.llm.common import WORD_BYTES
+from loadgauge.llm.common import WORD_BYTES, free_name, one_row_per_id
 from loadgauge.llm.components import components
 from loadgauge.plans.joining import settle
 
@@ -191,7 +191,13 @@ def hex_digits(fp: Column) -> Column:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of their group; the columns of ``docs`` as they are."""
+    """The documents with the smallest id of their group; the columns of ``docs`` as they are.
+
+    Rows that repeat an id count as one document, with the least text; rows without id go, as
+    nothing tells them apart.
+    """
+    docs = one_row_per_id(docs, "doc_id", "text")
     groups = near_duplicates(docs)
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi").select(docs.columns)
+    ident = free_name(docs, "__id")
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(ident)).distinct()
+    return docs.join(keep, docs["doc_id"] == keep[ident], "left_semi").select(docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadgauge.llm.common import WORD_BYTES, one_row_per_id
+from loadgauge.llm.common import WORD_BYTES, free_name, one_row_per_id
 from loadgauge.plans.joining import settle
 
 WINDOW = 50
@@ -269,6 +269,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     spans = _spans(found)
     left = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
     cut = settle(_cut(left.select("doc_id", "text").join(spans, "doc_id")))
-    cut = cut.select(F.col("doc_id").alias("__id"), F.col("kept_text").alias("__text"))
-    joined = left.join(cut, left["doc_id"] == cut["__id"], "left").filter("__text is null or __text <> ''")
-    return joined.withColumn("text", F.coalesce("__text", "text")).select(docs.columns)
+    ident, text = free_name(docs, "__id"), free_name(docs, "__text")
+    cut = cut.select(F.col("doc_id").alias(ident), F.col("kept_text").alias(text))
+    joined = left.join(cut, left["doc_id"] == cut[ident], "left").filter(F.col(text).isNull() | (F.col(text) != ""))
+    return joined.withColumn("text", F.coalesce(text, "text")).select(docs.columns)
