@@ -73,7 +73,7 @@ def assess(raw: DataFrame, reasons: str = "clean") -> DataFrame:
             parts.append(F.lit(f"missing required field: {name}"))
     reason = F.concat_ws("; ", *parts) if parts else F.lit("")
     if UNREAD in raw.columns:
-        reason = F.when(F.col(UNREAD).isNotNull(), "nested deeper than the reader goes").otherwise(
+        reason = F.when(F.col(UNREAD).isNotNull(), "not a whole XML element").otherwise(
             reason
         )
         present = [*present, UNREAD]

@@ -16,7 +16,7 @@ from loadgauge.sources.cleaning import assess
 from loadgauge.sources.csv_files import read_jtl_csv
 from loadgauge.sources.detect import classify_inputs
 from loadgauge.sources.tables import RUN
-from loadgauge.sources.xml_files import DEPTH, read_jtl_xml
+from loadgauge.sources.xml_files import read_jtl_xml
 
 
 SUMMARY_SCHEMA = (
@@ -26,16 +26,15 @@ SUMMARY_SCHEMA = (
 
 
 def run_of_file(path: Column) -> Column:
-    """File name without its ending, and a few digits so that equal names stay apart."""
+    """File name without its ending, and a digest of the whole path: equal names stay apart."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    return F.concat_ws("-", stem, F.substring(F.sha2(path, 256), 1, 8))
+    return F.concat_ws("-", stem, F.md5(path.cast("binary")))
 
 
 def read_raw(
     spark: SparkSession,
     paths: Sequence[str] | str,
     multi_line: bool = False,
-    depth: int = DEPTH,
     delimiter: str | None = None,
 ) -> DataFrame:
     """Raw strings of all files, with source_file; one scan per kind of file.
@@ -56,7 +55,7 @@ def read_raw(
             mark = delimiter or group.delimiter
             scans.append(read_jtl_csv(spark, group.paths, group.header, mark, multi_line))
         elif group.format == "xml":
-            scans.append(read_jtl_xml(spark, group.paths, depth))
+            scans.append(read_jtl_xml(spark, group.paths))
         else:
             raise ValueError(f"neither CSV nor XML results: {', '.join(group.paths[:5])}")
     if not scans:
@@ -87,7 +86,6 @@ def ingest(
     out: str,
     run_id: Column | None = None,
     multi_line: bool = False,
-    depth: int = DEPTH,
     delimiter: str | None = None,
     mode: str = "errorifexists",
 ) -> Ingested:
@@ -98,7 +96,7 @@ def ingest(
     label is computed from the stored columns and stored beside them.  ``run_id`` is an
     expression over source_file; by default each file is a run of its own.
     """
-    raw = read_raw(spark, paths, multi_line, depth, delimiter)
+    raw = read_raw(spark, paths, multi_line, delimiter)
     run = run_of_file(F.col("source_file")) if run_id is None else run_id
     assessed = assess(raw.withColumn("run_id", run).drop("source_file"))
     bad = F.col("reason") != ""

@@ -4,81 +4,114 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadgauge.model import XML_ATTRIBUTES
+from loadgauge.plans.joining import settle
 
 # The element and child names of a result file.
 TAGS = ["httpSample", "sample"]
 FAILURE, URL = "failureMessage", "java.net.URL"
-DEPTH = 4
 
-
-def _element(levels: int) -> T.StructType:
-    fields = [T.StructField(f"_{name}", T.StringType()) for name in XML_ATTRIBUTES]
-    fields += [T.StructField(name, T.StringType()) for name in (FAILURE, URL)]
-    # Below the last level the text of the elements shows that there was more.
-    inner = _element(levels - 1) if levels > 1 else T.StringType()
-    fields += [T.StructField(tag, T.ArrayType(inner)) for tag in TAGS]
-    return T.StructType(fields)
-
-
-def _row(element: str) -> str:
-    """SQL for the row of one element."""
-    fields = [f"{element}.`_{attribute}` AS {name}" for attribute, name in XML_ATTRIBUTES.items()]
-    fields.append(f"nullif({element}.`{FAILURE}`, '') AS failure_message")
-    fields.append(f"nullif({element}.`{URL}`, '') AS url")
-    fields.append("CAST(NULL AS STRING) AS unread_xml")
-    return f"struct({', '.join(fields)})"
-
-
-def _unread(text: str) -> str:
-    """SQL for the row of an element out of reach."""
-    names = [*XML_ATTRIBUTES.values(), "failure_message", "url"]
-    fields = [f"CAST(NULL AS STRING) AS {name}" for name in names]
-    return f"struct({', '.join(fields)}, {text} AS unread_xml)"
-
-
-def _nested(element: str, tag: str, levels: int) -> str:
-    """SQL for the rows of all ``tag`` elements below one, whatever lies between."""
-    parts, x = [], f"x{levels}"
-    for child in TAGS:
-        inner = f"coalesce({element}.{child}, array())"
-        if levels > 1:
-            below = _nested(x, tag, levels - 1)
-            rows = f"concat(array({_row(x)}), {below})" if child == tag else below
-            parts.append(f"flatten(transform({inner}, {x} -> {rows}))")
-        elif child == tag:
-            parts.append(f"transform({inner}, {x} -> {_unread(x)})")
-    return f"concat({', '.join(parts)})"
-
-
-def read_jtl_xml(
-    spark: SparkSession, paths: Sequence[str] | str, depth: int = DEPTH
-) -> DataFrame:
+# A tag up to its end; a > inside quotes does not end it.
+_HEAD = r"""^[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+>"""
+_NAME = r"^/?([^\s/>]+)"
+_CORRUPT = "_corrupt_record"
+
+
+def _records(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """One row per tag, in the order of (source_file, split, id), with the text behind it."""
+    found = spark.read.option("lineSep", "<").text(paths if isinstance(paths, str) else list(paths))
+    value = F.col("value")
+    tags = found.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
+        value,
+        F.regexp_extract(value, _HEAD, 0).alias("head"),
+        F.regexp_extract(value, _NAME, 1).alias("name"),
+        F.startswith(value, F.lit("/")).alias("closing"),
+    )
+    whole, own_end = F.col("head") != "", F.endswith("head", F.lit("/>"))
+    step = F.when(F.col("name").rlike("^[!?]") | ~whole | (own_end & ~F.col("closing")), 0)
+    step = step.when(F.col("closing"), -1).otherwise(1)
+    sample = F.col("name").isin(TAGS) & ~F.col("closing")
+    behind = F.expr("substring(value, length(head) + 1)")
+    inner = F.expr("rtrim('/', substring(head, 1, length(head) - 1))")
+    return tags.select(
+        "source_file", "split", "id", step.alias("step"), sample.alias("is_sample"),
+        F.when(F.col("name").isin(FAILURE, URL) & (step == 1), F.col("name")).alias("child"),
+        F.when(sample & whole, F.concat(F.lit("<"), inner, F.lit("/>"))).alias("element"),
+        F.when(F.col("name").isin(FAILURE, URL), behind).alias("text"),
+        F.when(sample & ~whole, value).alias("unread_xml"),
+    )
+
+
+def _parents(records: DataFrame) -> DataFrame:
+    """id of each child text and of the sample whose direct child it is.
+
+    The depth is a running sum per split plus the sums of the splits before.  The parent of an
+    element is the last one opened one level up: in its own split, else in the latest split before
+    it that opened one.  Only one row per split and level is carried over, so that a file of any
+    size is worked on in as many tasks as it has splits.
+    """
+    tags = records.select("source_file", "split", "id", "step", "is_sample", "child")
+    file_split = ["source_file", "split"]
+    sums = tags.groupBy(*file_split).agg(F.sum("step").alias("steps"))
+    before = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*file_split, F.coalesce(F.sum("steps").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*file_split).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    levels = tags.withColumn("depth", F.sum("step").over(inside)).filter("step = 1").join(offsets, file_split)
+    levels = levels.withColumn("depth", F.col("depth") + F.col("offset"))
+    opened = F.struct("id", "is_sample")
+    rows = levels.select(*file_split, "depth", "id", opened.alias("opened"), F.lit(False).alias("asks")).unionByName(
+        levels.filter("child is not null").select(
+            *file_split, (F.col("depth") - 1).alias("depth"), "id", F.lit(None).cast("struct<id:bigint,is_sample:boolean>").alias("opened"),
+            F.lit(True).alias("asks"),
+        )
+    )
+    rows = settle(rows)
+    by_level = Window.partitionBy(*file_split, "depth").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    asked = rows.withColumn("up", F.last("opened", ignorenulls=True).over(by_level)).filter("asks")
+    last = rows.groupBy(*file_split, "depth").agg(F.max("opened").alias("last"))
+    earlier = Window.partitionBy("source_file", "depth").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*file_split, "depth", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    up = F.coalesce("up", "carried")
+    found = asked.join(carried, [*file_split, "depth"]).select("id", up.alias("up")).filter("up.is_sample")
+    return found.select("id", F.col("up.id").alias("parent"))
+
+
+def read_jtl_xml(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """Canonical raw strings, source_file and unread_xml from XML files.
 
-    One scan per sample tag.  A scan returns the outermost elements of its tag and, out of
-    them, all elements of that tag further in; so every element comes out once.  Elements
-    nested deeper than ``depth`` come out as a row with their text in unread_xml, which
-    cleaning sets aside with a reason.
+    The files are read once, as text that ends at every ``<``; so Spark splits them anywhere, and
+    each record holds one tag with all its attributes, at whatever depth.  Child texts join the
+    sample that they lie in directly; of several, the first counts.  A sample tag that the end
+    of the file cuts off, or that is no XML, comes out as a row with its text in unread_xml, which
+    cleaning sets aside with a reason.  A ``<`` inside a comment or a CDATA section starts a
+    record like any other, and a child's text is what stands before its first inner tag or CDATA.
     """
-    schema = _element(depth)
-    scans = []
-    for tag in TAGS:
-        found = (
-            spark.read.format("xml")
-            .schema(schema)
-            .option("rowTag", tag)
-            .option("ignoreSurroundingSpaces", False)
-            .option("mode", "PERMISSIVE")
-            .load(paths if isinstance(paths, str) else list(paths))
-        )
-        top = found.select(
-            F.col("_metadata.file_path").alias("source_file"), F.struct("*").alias("top")
-        )
-        rows = f"concat(array({_row('top')}), {_nested('top', tag, depth)})"
-        scans.append(top.select("source_file", F.inline(F.expr(rows))))
-    return scans[0].unionByName(scans[1])
+    records = settle(_records(spark, paths))
+    texts = records.filter("child is not null").select("id", "child", "text")
+    children = settle(texts.select("id", "child").join(_parents(records), "id"))
+    first = children.groupBy("parent", "child").agg(F.min("id").alias("id"))
+    fields = [T.StructField(f"_{name}", T.StringType()) for name in XML_ATTRIBUTES]
+    schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
+    options = {"attributePrefix": "_", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": _CORRUPT}
+    parsed = records.filter("is_sample").withColumn("e", F.from_xml("element", schema, options))
+    unread = F.coalesce("unread_xml", F.col(f"e.{_CORRUPT}"))
+    samples = parsed.select("id", "source_file", "e", unread.alias("unread_xml"))
+    for child, name in ((FAILURE, "failure_message"), (URL, "url")):
+        said = first.filter(F.col("child") == child).drop("child").join(texts.drop("child"), "id")
+        said = said.select(F.col("parent").alias("id"), F.concat(F.lit("<x><v>"), "text", F.lit("</v></x>")).alias(f"{name}_xml"))
+        inner = F.from_xml(f"{name}_xml", "v string", {"ignoreSurroundingSpaces": "false"})
+        samples = samples.join(said, "id", "left").withColumn(name, inner["v"]).drop(f"{name}_xml")
+    return samples.select(
+        "source_file",
+        *[F.col(f"e._{attribute}").alias(name) for attribute, name in XML_ATTRIBUTES.items()],
+        F.nullif("failure_message", F.lit("")).alias("failure_message"),
+        F.nullif("url", F.lit("")).alias("url"),
+        "unread_xml",
+    )

@@ -226,13 +226,38 @@ def test_xml_elements_come_out_once(spark, tmp_path):
     assert [r["url"] for r in rows if r["url"]] == ["http://x/?a=1&b=2"]
 
 
-def test_xml_below_the_depth_is_set_aside(spark, tmp_path):
-    path = write(tmp_path, "n.xml", NESTED)
-    samples, quarantine = clean(read_jtl_xml(spark, path, depth=2))
-    reasons = [r["reason"] for r in quarantine.collect()]
-    deep = [r for r in reasons if "nested deeper" in r]
-    assert len(deep) >= 1
-    assert len(read_jtl_xml(spark, path, depth=6).collect()) == 11
+DEEP = (
+    '<testResults><httpSample t="1" lb="H1"><httpSample t="2" lb="H2"><httpSample t="3" lb="H3"><httpSample t="4" lb="H4">'
+    '<sample t="5" lb="S5"><httpSample t="6" lb="H6"/><httpSample t="7" lb="H7"></httpSample><failureMessage>late &lt;5&gt;'
+    "</failureMessage></sample><assertionResult><failureMessage>not H4's</failureMessage></assertionResult></httpSample>"
+    "</httpSample></httpSample><java.net.URL>http://a/?x=1&amp;y=2</java.net.URL></httpSample></testResults>"
+)
+
+
+def test_xml_at_any_depth(spark, tmp_path):
+    rows = {r["label"]: r for r in read_jtl_xml(spark, write(tmp_path, "d.xml", DEEP)).collect()}
+    assert {k: int(r["elapsed"]) for k, r in rows.items()} == {f"{'S' if i == 5 else 'H'}{i}": i for i in range(1, 8)}
+    assert {k for k, r in rows.items() if r["failure_message"]} == {"S5"} and rows["S5"]["failure_message"] == "late <5>"
+    assert {k: r["url"] for k, r in rows.items() if r["url"]} == {"H1": "http://a/?x=1&y=2"}
+    assert all(r["unread_xml"] is None for r in rows.values())
+
+
+def test_xml_file_is_split(spark, tmp_path):
+    body = "".join(
+        f'<httpSample t="{i}" lb="a > b"><sample t="{i}" lb="c"/><failureMessage>f{i}</failureMessage></httpSample>' for i in range(400)
+    )
+    path = write(tmp_path, "s.xml", f'<testResults><sample t="-1" lb="top">{body}<java.net.URL>u</java.net.URL></sample></testResults>')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = read_jtl_xml(spark, path)
+        rows = found.collect()
+        assert spark.read.option("lineSep", "<").text(path).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 801
+    assert all(r["failure_message"] == f"f{r['elapsed']}" for r in rows if r["label"] == "a > b")
+    assert all(r["failure_message"] is None for r in rows if r["label"] != "a > b")
+    assert [r["label"] for r in rows if r["url"] == "u"] == ["top"]
 
 
 def test_xml_failure_and_truncated_tail(spark, tmp_path):
@@ -245,6 +270,7 @@ def test_xml_failure_and_truncated_tail(spark, tmp_path):
     rows = {r["label"]: r for r in samples.collect()}
     assert rows["a"]["failure_message"] == "boom" and rows["a"]["idle_time"] == 3
     assert rows["b"]["elapsed"] == 6 and "c" not in rows
+    assert [r["reason"] for r in quarantine.collect()] == ["not a whole XML element"]
 
 
 def lines(n, header=HEADER_2, mark=",", bad=()):
