@@ -6,7 +6,7 @@ edge repeats if it starts in more than one document.  Only repeated edges are wo
 1. Every window has a smallest short k-mer (its anchor).  Equal windows have equal anchors, so a
    window repeats only if its anchor occurs in several documents.  Anchors are few, and are
    counted first.
-2. Windows with a repeated anchor become edges (128-bit hash, document, position).  Grouping gives
+2. Windows with a repeated anchor become edges (96-bit hash, document, position).  Grouping gives
    each edge its source: the smallest document, and the position in it.
 3. A join gives each later occurrence its source coordinates.  Successive edges whose source
    coordinates advance together form a nonbranching path and compact into one span of words; a
@@ -31,7 +31,7 @@ from loadgauge.llm.common import WORD_BYTES, free_name, one_row_per_id
 from loadgauge.plans.joining import settle
 
 WINDOW = 50
-ANCHOR = 10
+ANCHOR = 20
 
 _WORD = re.compile(WORD_BYTES)
 _SPACE = np.zeros(256, bool)
@@ -152,28 +152,27 @@ def edges(docs: DataFrame) -> DataFrame:
                 pos = np.flatnonzero(np.isin(anchors(both[0], powers), known))
                 if not len(pos):
                     continue
-                h = [stretches(both[k], pos, pos + WINDOW, k, powers).view(np.int64) for k in (0, 1)]
+                h = [stretches(both[k], pos, pos + WINDOW, k, powers) for k in (0, 1)]
+                h1, h2 = pa.array(h[0].view(np.int64)), pa.array((h[1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 ids = pa.repeat(batch.column(0)[i], len(pos))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[0]), pa.array(h[1]), ids, pa.array(pos.astype(np.int32))], ["h1", "h2", "doc_id", "pos"]
-                )
+                yield pa.RecordBatch.from_arrays([h1, h2, ids, pa.array(pos.astype(np.int32))], ["h1", "h2", "doc_id", "pos"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, pos int")
+    return docs.mapInArrow(run, f"h1 long, h2 int, doc_id {kind}, pos int")
 
 
 def paths(found: DataFrame) -> DataFrame:
     """Edges -> doc_id, start, stop, src_doc, src_start: compacted repeats, in words [start, stop).
 
     Only occurrences after an edge's smallest document are repeats.  The join has unique edges on
-    one side, so its output is no larger than its input, and hot edges are split by AQE.
+    one side, so its output is no larger than its input; stored, they let AQE split hot edges.
+    An edge that its source holds twice has one of its places there.
     """
     source = found.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc_id", "pos")).alias("src"), F.max("doc_id").alias("last")
+        F.min("doc_id").alias("src_doc"), F.min_by("pos", "doc_id").alias("src_pos"), F.max("doc_id").alias("last")
     )
-    source = source.filter(F.col("last") > F.col("src.doc_id")).select("h1", "h2", "src")
-    later = found.join(source, ["h1", "h2"]).filter(F.col("doc_id") > F.col("src.doc_id"))
-    later = later.select("doc_id", "pos", F.col("src.doc_id").alias("src_doc"), F.col("src.pos").alias("src_pos"))
+    source = settle(source.filter("last > src_doc").drop("last"))
+    later = found.join(source, ["h1", "h2"]).filter("doc_id > src_doc").select("doc_id", "pos", "src_doc", "src_pos")
     order = Window.partitionBy("doc_id").orderBy("pos")
     goes_on = (
         (F.col("pos") == F.lag("pos").over(order) + 1)
