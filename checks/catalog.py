@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from loadgauge.plans.histogram import rollup
 from loadgauge.sources import cleaning, ingest, tables
 from loadgauge.sources.csv_files import map_columns
 from loadgauge.sources.detect import classify_inputs
+from loadgauge.sources.xml_files import read_jtl_xml
 from loadgauge.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -967,16 +969,31 @@ def _quarantined(s: DataFrame) -> DataFrame:
     return tables.read_quarantine(s.sparkSession, path).drop("row_index")
 
 
+def _streams(s: DataFrame) -> list[str]:
+    """All runs as streams, one per header, a file at a time, the oldest run last."""
+    spark, folder, outs = s.sparkSession, inputs.write_csv_files(s), []
+    for run, (columns, delimiter) in reversed(inputs.CSV_LAYOUTS.items()):
+        header = delimiter.join(["dataType", *[inputs.CSV_NAMES[c] for c in columns]])
+        raw = live.stream_jtl_csv(
+            spark, f"{folder}/{run}", header, delimiter, inputs.run_of_folder(F.col("source_file")), files_per_trigger=1
+        )
+        outs.append(inputs.fresh_folder(spark, "live"))
+        live.write_live(raw, outs[-1], inputs.fresh_folder(spark, "state")).awaitTermination()
+    return outs
+
+
 def _streamed(s: DataFrame) -> DataFrame:
-    spark = s.sparkSession
-    folder, out = inputs.write_csv_files(s), inputs.fresh_folder(spark, "live")
-    header = "dataType," + ",".join(inputs.CSV_NAMES.values())
-    raw = live.stream_jtl_csv(
-        spark, f"{folder}/run-a", header, run_id=inputs.run_of_folder(F.col("source_file"))
-    )
-    counts = live.live_histogram(live.stream_samples(raw), 10)
-    live.write_live(counts, out, inputs.fresh_folder(spark, "state")).awaitTermination()
-    return live.bucket_metrics(live.read_live(spark, out))
+    counts = [live.read_live(s.sparkSession, out) for out in _streams(s)]
+    return live.bucket_metrics(reduce(DataFrame.unionByName, counts))
+
+
+def _streamed_quarantine(s: DataFrame) -> DataFrame:
+    found = [live.live_quarantine(s.sparkSession, out) for out in _streams(s)]
+    return reduce(DataFrame.unionByName, found).select("run_id", "reason")
+
+
+def _read_deep_xml(s: DataFrame) -> DataFrame:
+    return read_jtl_xml(s.sparkSession, inputs.write_deep_xml(s)).select(*NAMES, "unread_xml")
 
 
 check("i2_csv_scan", _read_csv, AS_READ, kind="raw")
@@ -993,6 +1010,13 @@ check(
     + ", CAST(NULL AS VARCHAR) AS unread_xml FROM samples",
     kind="raw",
 )
+check(
+    "i4_xml_deep",
+    _read_deep_xml,
+    "SELECT " + ", ".join(f"nullif({c}, '') AS {c}" for c in NAMES)
+    + ", CAST(NULL AS VARCHAR) AS unread_xml FROM samples",
+    kind="raw",
+)
 check(
     "i1_classify_inputs",
     _classified,
@@ -1043,7 +1067,13 @@ check(
     _streamed,
     f"""SELECT run_id, {bucket(10)}, {ERRORS} AS error_count, count(*) AS total_count,
     {ERRORS} * 1.0 / count(*) AS error_rate, {quantiles(0.5, 0.9, 0.95, 0.99)}
-    FROM ({GOOD}) g WHERE run_id = 'run-a' GROUP BY run_id, bucket""",
+    FROM ({GOOD}) g GROUP BY run_id, bucket""",
     "error_rate p50 p90 p95 p99",
     "raw",
 )
+check(
+    "s1_live_quarantine",
+    _streamed_quarantine,
+    f"SELECT run_id, reason FROM ({_bad_sql(REASON)}) b",
+    kind="raw",
+)

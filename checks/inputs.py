@@ -147,16 +147,18 @@ CSV_NAMES = {
 }
 
 
+# run -> (order of the columns after dataType, delimiter)
+CSV_LAYOUTS = {
+    "run-a": (list(CSV_NAMES), ","),
+    "run-b": (list(CSV_NAMES)[::-1], ";"),
+    "run-c": (list(CSV_NAMES)[3:] + list(CSV_NAMES)[:3], "\t"),
+}
+
+
 def write_csv_files(raw: DataFrame) -> str:
     """CSV files of the raw rows: one folder per run, the runs with headers of their own."""
     folder = fresh_folder(raw.sparkSession, "csv")
-    names = list(CSV_NAMES)
-    layouts = {
-        "run-a": (names, ","),
-        "run-b": (names[::-1], ";"),
-        "run-c": (names[3:] + names[:3], "\t"),
-    }
-    for run, (columns, delimiter) in layouts.items():
+    for run, (columns, delimiter) in CSV_LAYOUTS.items():
         rows = raw.filter(F.col("run_id") == run)
         (
             rows.select(F.lit("text").alias("dataType"), *[F.col(c).alias(CSV_NAMES[c]) for c in columns])
@@ -202,3 +204,32 @@ def write_xml_files(raw: DataFrame) -> str:
         .save(f"{folder}/run-x")
     )
     return folder
+
+
+def write_deep_xml(raw: DataFrame) -> str:
+    """XML of the raw rows, ten deep, both tags in turn, child texts behind the nested samples."""
+    from loadgauge.model import XML_ATTRIBUTES
+
+    def escaped(name: str):
+        text = F.col(name)
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+            text = F.replace(text, F.lit(char), F.lit(entity))
+        return text
+
+    tag = F.when(F.col("event_id") % 2 == 0, "httpSample").otherwise("sample")
+    attributes = [
+        F.when(F.col(c).isNotNull(), F.concat(F.lit(f' {a}="'), escaped(c), F.lit('"'))).otherwise("") for a, c in XML_ATTRIBUTES.items()
+    ]
+    texts = [
+        F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{t}>"), escaped(c), F.lit(f"</{t}>"))).otherwise("")
+        for c, t in (("failure_message", "failureMessage"), ("url", "java.net.URL"))
+    ]
+    parts = raw.select(
+        "run_id", F.expr("event_id div 10").alias("nest"), "event_id",
+        F.concat(F.lit("<"), tag, *attributes, F.lit(">")).alias("begin"),
+        F.concat(*texts, F.lit("</"), tag, F.lit(">")).alias("end"),
+    )
+    nests = parts.groupBy("run_id", "nest").agg(F.sort_array(F.collect_list(F.struct("event_id", "begin", "end"))).alias("x"))
+    folder = fresh_folder(raw.sparkSession, "deep-xml")
+    nests.select(F.concat(F.array_join("x.begin", ""), F.array_join(F.reverse("x.end"), ""))).write.text(f"{folder}/run-x")
+    return f"{folder}/run-x"

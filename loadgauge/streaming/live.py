@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from loadgauge.functions.columns import is_error
+from loadgauge.functions.columns import bucket_ms, is_error
 from loadgauge.model import RUN_KEYS, run_keys
 from loadgauge.plans.histogram import quantile, ranked
-from loadgauge.sources.cleaning import clean
+from loadgauge.sources.cleaning import REASON_FIELDS, assess
 from loadgauge.sources.csv_files import canonical_columns, column_positions, header_columns
 from loadgauge.sources.ingest import run_of_file
 
@@ -47,58 +49,69 @@ def stream_jtl_csv(
     return found.withColumn("run_id", run).drop("source_file")
 
 
-def stream_samples(raw: DataFrame) -> DataFrame:
-    """Good rows of a raw stream."""
-    return clean(raw)[0]
-
-
-def live_histogram(
-    samples: DataFrame, b: int = 10, late: str = "1 minute", keys: Sequence[str] = RUN_KEYS
-) -> DataFrame:
-    """keys, bucket, elapsed, n, errors over a stream of samples.
-
-    The state is one counter per distinct response time of an open bucket, spread over all
-    state partitions even for a hot bucket.  In append mode a bucket is final once the
-    watermark passes it; rows later than ``late`` are dropped.
-    """
-    timed = samples.withColumn("at", F.timestamp_millis("timestamp_ms")).withWatermark("at", late)
-    return (
-        timed.groupBy(*run_keys(keys), F.window("at", f"{b} seconds"), "elapsed")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors"))
-        .select(*run_keys(keys), F.col("window.start").alias("bucket"), "elapsed", "n", "errors")
-    )
-
-
 def write_live(
-    counts: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+    raw: DataFrame, out: str, checkpoint: str, b: int = 10, keys: Sequence[str] = RUN_KEYS, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Start the query that stores the live histogram below ``out``.
+    """Start the query that stores a raw stream below ``out``: samples, quarantine and counts.
 
-    Each batch adds the counters it changed as a folder of its own; a repeated batch
-    replaces its folder, so a restart counts nothing twice.
+    Nothing is kept between batches and nothing is late: each batch stores its good and bad rows
+    and its own counts per (keys, bucket, elapsed), which readers add up.  So the result does not
+    depend on how files fall into batches, and runs may arrive in any order.  A repeated batch
+    replaces its folders.  The folders carry the name of their checkpoint; going on with another
+    checkpoint would read all files again, and is refused.
     """
+    spark = raw.sparkSession
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    if _stored(spark, f"{out}/counts") and spark.read.parquet(f"{out}/counts").filter(F.col("stream") != stream).take(1):
+        raise ValueError(f"{out} belongs to another checkpoint")
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        place = f"stream={stream}/batch={number}"
+        bad = F.col("reason") != ""
+        assessed = assess(batch).withColumn("kind", F.when(bad, "quarantine").otherwise("samples"))
+        path = f"{out}/rows/{place}"
+        assessed.write.mode("overwrite").partitionBy("kind").parquet(path)
+        rows = batch.sparkSession.read.schema(assessed.schema).parquet(path).filter("kind = 'samples'")
+        counts = rows.groupBy(*run_keys(keys), bucket_ms("timestamp_ms", b).alias("bucket"), "elapsed").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors")
+        )
+        counts.write.mode("overwrite").parquet(f"{out}/counts/{place}")
 
     return (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(save)
+        raw.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def _stored(spark: SparkSession, path: str) -> bool:
+    """Whether a folder with rows exists; asked of Spark, whatever the store."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
 def read_live(spark: SparkSession, out: str, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
-    """The latest counters of a stored live histogram; counters only ever grow."""
+    """keys, bucket, elapsed, n, errors: the counts of all batches so far."""
     return (
-        spark.read.parquet(out)
-        .groupBy(*run_keys(keys), "bucket", "elapsed")
-        .agg(F.max("n").alias("n"), F.max("errors").alias("errors"))
+        spark.read.parquet(f"{out}/counts")
+        .groupBy(*run_keys(keys), F.timestamp_millis("bucket").alias("bucket"), "elapsed")
+        .agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
     )
 
 
+def live_samples(spark: SparkSession, out: str) -> DataFrame:
+    """The good rows of all batches so far."""
+    return spark.read.parquet(f"{out}/rows").filter("kind = 'samples'").drop("kind", "stream", "batch", *REASON_FIELDS)
+
+
+def live_quarantine(spark: SparkSession, out: str) -> DataFrame:
+    """The bad rows of all batches so far, with reason and text as read."""
+    return spark.read.parquet(f"{out}/rows").filter("kind = 'quarantine'").select("run_id", *REASON_FIELDS)
+
+
 def bucket_metrics(counts: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """keys, bucket, error_count, total_count, error_rate, p50, p90, p95, p99."""
     by = [*run_keys(keys), "bucket"]

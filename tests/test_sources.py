@@ -1,5 +1,6 @@
 import json
 import math
+import os
 from datetime import UTC, datetime
 
 import pytest
@@ -329,8 +330,7 @@ def test_live_metrics_survive_a_restart_and_arriving_files(spark, tmp_path):
 
     def run():
         source = live.stream_jtl_csv(spark, str(inbox), HEADER_2, run_id=F.lit("r"), files_per_trigger=1)
-        counts = live.live_histogram(live.stream_samples(source), 10, late="1 hour")
-        live.write_live(counts, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        live.write_live(source, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
         return live.bucket_metrics(live.read_live(spark, f"{tmp_path}/out"))
 
     write(inbox, "a.csv", lines(100))
@@ -340,3 +340,23 @@ def test_live_metrics_survive_a_restart_and_arriving_files(spark, tmp_path):
     rows = run().orderBy("bucket").collect()
     assert sum(r["total_count"] for r in rows) == 299
     assert math.isclose(rows[-1]["p50"], 100 + 194.5)
+    assert live.live_samples(spark, f"{tmp_path}/out").count() == 299
+    assert [r["reason"] for r in live.live_quarantine(spark, f"{tmp_path}/out").collect()] == ["elapsed is null"]
+    with pytest.raises(ValueError, match="another checkpoint"):
+        source = live.stream_jtl_csv(spark, str(inbox), HEADER_2, run_id=F.lit("r"))
+        live.write_live(source, f"{tmp_path}/out", f"{tmp_path}/other")
+
+
+def test_live_metrics_do_not_depend_on_the_batches(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for k, day in enumerate((2, 1, 0)):  # the oldest run arrives last
+        rows = lines(50).splitlines()
+        late = [rows[0], *[f"{int(x.split(',', 1)[0]) + day * 86_400_000},{x.split(',', 1)[1]}" for x in rows[1:]]]
+        os.utime(write(inbox, f"r{k}.csv", "\n".join(late) + "\n"), (MS / 1000 + k, MS / 1000 + k))
+    found = []
+    for n in (1, 1000):
+        source = live.stream_jtl_csv(spark, str(inbox), HEADER_2, files_per_trigger=n)
+        live.write_live(source, f"{tmp_path}/out{n}", f"{tmp_path}/state{n}").awaitTermination()
+        found.append(sorted(live.read_live(spark, f"{tmp_path}/out{n}").collect()))
+    assert found[0] == found[1] and sum(r["n"] for r in found[0]) == 150
