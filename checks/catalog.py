@@ -997,6 +997,19 @@ def _read_deep_xml(s: DataFrame) -> DataFrame:
 
 
 check("i2_csv_scan", _read_csv, AS_READ, kind="raw")
+check(
+    "i2_csv_line_breaks",
+    lambda s: _read_csv(
+        s.withColumn(
+            "failure_message",
+            F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('first "line",\n\n"second" '), F.col("event_id").cast("string")))
+            .otherwise(F.col("failure_message")),
+        )
+    ),
+    AS_READ.replace("nullif(failure_message, '')", """CASE WHEN event_id % 7 = 0 THEN 'first "line",' || chr(10) || chr(10)
+    || '"second" ' || CAST(event_id AS VARCHAR) ELSE nullif(failure_message, '') END"""),
+    kind="raw",
+)
 check(
     "i3_map_columns",
     _mapped,

@@ -27,6 +27,7 @@ from loadgauge.plans.histogram import (
     needs_samples,
     quantile,
     ranked,
+    rollup,
     row_count,
     whole_group,
 )
@@ -420,12 +421,13 @@ def store_charts(
 ) -> None:
     """Write every dataset as Parquet to ``out``/name, a few jobs at a time.
 
-    With a stored ``rollup`` of the samples, most charts read that instead of the samples.
+    Most charts read a rollup of the samples, ``rolled`` or else one stored here for all of them.
     """
     spark = samples.sparkSession
+    rolled = settle(rollup(samples, keys=run_keys(keys))) if rolled is None else rolled
 
     def store(name: str) -> None:
-        source = rolled if rolled is not None and name in FROM_ROLLUP else samples
+        source = rolled if name in FROM_ROLLUP else samples
         chart(name, source, slo_config, keys).write.mode(mode).parquet(f"{out}/{name}")
 
     with ThreadPoolExecutor(at_once) as pool:

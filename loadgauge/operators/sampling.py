@@ -53,7 +53,8 @@ def stratified_sample(
 ) -> DataFrame:
     """About ``limit`` rows per run, shared out over the labels, at least one for each.
 
-    keys, label, columns..., total_rows.  A run of up to ``limit`` rows is kept whole.
+    keys, label, columns..., total_rows.  A run of up to ``limit`` rows is kept whole.  With more
+    labels than ``limit``, only ``limit`` of them can have a row, chosen by hash.
     """
     by = run_keys(keys)
     share = F.greatest(F.lit(1), F.bround(limit * F.col("size") / F.col("total_rows")))

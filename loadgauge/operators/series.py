@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 
 from loadgauge.functions.columns import is_error, time_bucket, transfer_time
 from loadgauge.model import RUN_KEYS, SloConfig, run_keys
+from loadgauge.operators.sampling import top_labels
 from loadgauge.plans.histogram import (
     histogram,
     mean_elapsed,
     needs_samples,
+    needs_width,
     quantile,
     ranked,
     row_count,
 )
+from loadgauge.plans.joining import join_facts, settle
 
 TOTAL_LABEL = "ALL"
 
 
 def bucketed(samples: DataFrame, seconds: int) -> DataFrame:
+    needs_width(samples, seconds)
     return samples.withColumn("bucket", time_bucket("timestamp_ms", seconds))
 
 
@@ -239,19 +243,15 @@ def label_errors(samples: DataFrame, b: int = 10, keys: Sequence[str] = RUN_KEYS
 
 
 def top_label_series(
-    samples: DataFrame, labels: int = 12, b: int = 10, keys: Sequence[str] = RUN_KEYS
+    samples: DataFrame, labels: int | None = 12, b: int = 10, keys: Sequence[str] = RUN_KEYS
 ) -> DataFrame:
-    """p90 per bucket for the labels with most samples (ties by label)."""
+    """p90 per bucket for the labels with most samples (ties by label), or for all with None.
+
+    The labels are chosen first, by one narrow pass; the quantiles then see their rows only.
+    """
     run = run_keys(keys)
     by = [*run, "bucket", "label"]
-    found = ranked_buckets(samples, b, by).agg(
-        F.sum("n").alias("rows"), quantile(0.90).alias("p90")
-    )
-    volume = F.sum("rows").over(Window.partitionBy(*run, "label"))
-    place = F.dense_rank().over(Window.partitionBy(*run).orderBy(F.desc("volume"), "label"))
-    return (
-        found.withColumn("volume", volume)
-        .withColumn("place", place)
-        .filter(F.col("place") <= labels)
-        .select(*by, "p90")
-    )
+    if labels is not None:
+        chosen = settle(top_labels(samples, labels, run).select(*run, "label"))
+        samples = join_facts(samples, chosen, [*run, "label"], "left_semi")
+    return ranked_buckets(samples, b, by).agg(quantile(0.90).alias("p90"))

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from loadgauge.functions.columns import bucket_ms
 
-# A table with this column is a rollup: each row stands for that many samples.
-WEIGHT = "n"
+# A table with this column is a rollup: each row stands for that many samples.  The column's
+# metadata hold the width of the buckets; Parquet keeps them.
+WEIGHT = "__rollup_rows"
+WIDTH = "seconds"
 
 
 def needs_samples(rows: DataFrame) -> None:
@@ -26,6 +28,14 @@ def needs_samples(rows: DataFrame) -> None:
         raise ValueError(f"this operator needs samples, not a rollup (column {WEIGHT!r})")
 
 
+def needs_width(rows: DataFrame, seconds: int) -> None:
+    """Refuse a rollup whose buckets do not make up buckets of ``seconds``."""
+    if WEIGHT in rows.columns:
+        width = rows.schema[WEIGHT].metadata.get(WIDTH)
+        if not width or seconds % width:
+            raise ValueError(f"buckets of {seconds} s cannot be made of a rollup of {width} s")
+
+
 def row_count(rows: DataFrame, condition: Column | None = None) -> Column:
     """Aggregate: number of samples (for which the condition holds), never null."""
     if WEIGHT not in rows.columns:
@@ -110,15 +120,16 @@ def std_elapsed() -> Column:
 def rollup(samples: DataFrame, seconds: int = 5, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Samples per (run, bucket, label, outcome, code, elapsed), as a smaller samples table.
 
-    Holds the row count n, the highest thread counts and the summed bytes.  Operators over
+    Holds the row count, the highest thread counts and the summed bytes.  Operators over
     those columns, and buckets that are multiples of ``seconds``, give the same results on
     it; the others refuse it.
     """
+    needs_width(samples, seconds)
     start = bucket_ms("timestamp_ms", seconds).alias("timestamp_ms")
     return samples.groupBy(
         *keys, start, "label", "success", "response_code", "elapsed"
     ).agg(
-        row_count(samples).alias(WEIGHT),
+        row_count(samples).alias(WEIGHT, metadata={WIDTH: seconds}),
         F.max("grp_threads").alias("grp_threads"),
         F.max("all_threads").alias("all_threads"),
         F.sum("bytes").alias("bytes"),

@@ -30,6 +30,7 @@ def _typed(name: str, kind: T.DataType, present: bool) -> Column:
     return normalize_int(name) if isinstance(kind, T.LongType) else F.col(name).cast("string")
 
 
+# The texts of the reasons below.
 def _elapsed_reason(strict: bool) -> Column:
     raw, ms = F.col("elapsed").cast("string"), normalize_int("elapsed")
     if not strict:

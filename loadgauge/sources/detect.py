@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import re
 import sys
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -41,18 +43,35 @@ def csv_delimiter(head: str) -> str:
         return ","
 
 
+def file_uri(path: str) -> str:
+    """The URI of a path as Spark prints it: characters escaped, S3 under its one name."""
+    scheme, mark, rest = path.partition(":")
+    if not mark or "/" in scheme:
+        return "file://" + quote(path)
+    if scheme == "file":
+        rest = "//" + "/" + rest.lstrip("/")
+    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{quote(rest, safe='/@:')}"
+
+
+def literal_path(path: str) -> str:
+    """A path for Spark's readers, which would take ``[ ] { } * ?`` for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def _read_head(path: str) -> bytes:
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = fs.FileSystem.from_uri(file_uri(path))
     with system.open_input_file(inner) as file:
         head, lines = b"", 0
         while len(head) < LONGEST_HEAD and lines < HEAD_LINES:
             block = file.read(1 << 16)
             if not block:
-                break
+                return head
             head += block
             lines = head.count(b"\n")
+        if not lines:
+            raise ValueError(f"the first line of {path} is longer than {LONGEST_HEAD} bytes")
         return head
 
 

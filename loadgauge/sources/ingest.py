@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +14,10 @@ from pyspark.sql import types as T
 
 from loadgauge.model import QUARANTINE_SCHEMA, SAMPLES_SCHEMA
 from loadgauge.operators.summary import label_aggregate
+from loadgauge.plans.joining import settle
 from loadgauge.sources.cleaning import assess
 from loadgauge.sources.csv_files import read_jtl_csv
-from loadgauge.sources.detect import classify_inputs
+from loadgauge.sources.detect import classify_inputs, literal_path
 from loadgauge.sources.tables import RUN
 from loadgauge.sources.xml_files import read_jtl_xml
 
@@ -31,31 +34,52 @@ def run_of_file(path: Column) -> Column:
     return F.concat_ws("-", stem, F.md5(path.cast("binary")))
 
 
+def _plain_path(path: str) -> str:
+    """One spelling of a path, whether Spark printed it as path or as URI."""
+    return re.sub(r"^(\w+):/+", r"\1:/", unquote(path))
+
+
+def with_line_breaks(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """The files that hold a line with an odd number of quotes: a field goes on in the next."""
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"')))
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), (quotes % 2 == 1).alias("odd"))
+    return {_plain_path(r.path) for r in lines.filter("odd").select("path").distinct().collect()}
+
+
 def read_raw(
     spark: SparkSession,
     paths: Sequence[str] | str,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     delimiter: str | None = None,
+    kinds: DataFrame | None = None,
 ) -> DataFrame:
     """Raw strings of all files, with source_file; one scan per kind of file.
 
-    Only file names come to the driver, grouped by format, delimiter and header.  A file
-    that is neither CSV nor XML raises.
+    Only file names come to the driver, grouped by format, delimiter and header.  CSV files with
+    line breaks inside quotes are found by a pass over their lines and read whole by one task
+    each, the others are split; ``multi_line`` says instead that all or none have any.  A file
+    that is neither CSV nor XML raises.  ``kinds`` is the result of ``classify_inputs``.
     """
+    kinds = classify_inputs(spark, paths) if kinds is None else kinds
     groups = (
-        classify_inputs(spark, paths)
-        .groupBy("format", "delimiter", "header")
+        kinds.groupBy("format", "delimiter", "header")
         .agg(F.collect_list("path").alias("paths"))
         .orderBy("format", "delimiter", "header")
         .collect()
     )
     scans = []
     for group in groups:
+        names = [literal_path(p) for p in group.paths]
         if group.format == "csv":
             mark = delimiter or group.delimiter
-            scans.append(read_jtl_csv(spark, group.paths, group.header, mark, multi_line))
+            broken = with_line_breaks(spark, names) if multi_line is None else set()
+            for whole in (True, False):
+                part = [n for n, p in zip(names, group.paths, strict=True) if (bool(multi_line) or _plain_path(p) in broken) == whole]
+                if part:
+                    scans.append(read_jtl_csv(spark, part, group.header, mark, whole))
         elif group.format == "xml":
-            scans.append(read_jtl_xml(spark, group.paths))
+            scans.append(read_jtl_xml(spark, names))
         else:
             raise ValueError(f"neither CSV nor XML results: {', '.join(group.paths[:5])}")
     if not scans:
@@ -85,18 +109,27 @@ def ingest(
     paths: Sequence[str] | str,
     out: str,
     run_id: Column | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     delimiter: str | None = None,
     mode: str = "errorifexists",
+    strict: bool = False,
 ) -> Ingested:
     """Read, clean and store result files; return the stored tables.
 
     The files are parsed once: good and bad rows go out in the same job, into the folders
     kind=samples and kind=quarantine, each with one folder per run.  The summary per
     label is computed from the stored columns and stored beside them.  ``run_id`` is an
-    expression over source_file; by default each file is a run of its own.
+    expression over source_file; by default each file is a run of its own.  Files that are no
+    results go to ``rejected`` with the reason, or raise if ``strict``.
     """
-    raw = read_raw(spark, paths, multi_line, delimiter)
+    out = out.rstrip("/")
+    kinds = settle(classify_inputs(spark, paths))
+    unknown = F.col("format") == "unknown"
+    if not strict:
+        reason = F.lit("neither CSV nor XML results").alias("reason")
+        kinds.filter(unknown).select("path", "bytes", reason).write.mode(mode).parquet(f"{out}/rejected")
+        kinds = kinds.filter(~unknown)
+    raw = read_raw(spark, paths, multi_line, delimiter, kinds)
     run = run_of_file(F.col("source_file")) if run_id is None else run_id
     assessed = assess(raw.withColumn("run_id", run).drop("source_file"))
     bad = F.col("reason") != ""
@@ -107,10 +140,10 @@ def ingest(
         F.when(bad, "quarantine").otherwise("samples").alias("kind"),
         "run_id",
     )
-    out = out.rstrip("/")
     stored.write.mode(mode).partitionBy("kind", "run_id").parquet(f"{out}/rows")
     summary = label_aggregate(_stored_samples(_stored_rows(spark, out)))
-    summary.write.mode(mode).partitionBy("run_id").parquet(f"{out}/summary")
+    # All rows of a run in one task: one small file per run.
+    summary.repartition("run_id").write.mode(mode).partitionBy("run_id").parquet(f"{out}/summary")
     return open_ingested(spark, out)
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loadgauge.operators import charts, sampling, summary
+from loadgauge.operators import charts, sampling, series, summary
 from loadgauge.plans.histogram import rollup
 from loadgauge.plans.joining import settle
 
@@ -115,7 +115,8 @@ def test_store_charts_and_rollup_agree(make, tmp_path):
         label=[None if i % 13 == 0 else "L" + str(i % 3) for i in range(n)],
     )
     rolled = settle(rollup(samples))
-    charts.store_charts(samples, f"{tmp_path}/plain")
+    for name in charts.CHARTS:
+        charts.chart(name, samples).write.parquet(f"{tmp_path}/plain/{name}")
     charts.store_charts(samples, f"{tmp_path}/rolled", rolled=rolled)
     read = samples.sparkSession.read.parquet
     for name in charts.CHARTS:
@@ -179,6 +180,15 @@ def test_top_labels_break_ties_by_name(make):
     assert [(r["label"], r["rows"]) for r in rows] == [("a", 2), ("b", 2)]
 
 
+def test_a_rollup_tells_its_width(failing, tmp_path):
+    wide = settle(rollup(failing, 10))
+    assert series.throughput(wide, 20).count() == series.throughput(failing, 20).count()
+    with pytest.raises(ValueError, match="rollup of 10 s"):
+        series.throughput(wide, 5)
+    plain = failing.withColumn("n", F.lit(3))
+    assert sorted(series.throughput(plain).collect()) == sorted(series.throughput(failing).collect())
+
+
 def test_rollup_serves_summaries(failing):
     rolled = rollup(failing)
     for operator in (summary.percentiles, summary.label_aggregate, summary.apdex):

@@ -14,7 +14,7 @@ from loadgauge.model import SAMPLES_SCHEMA
 from loadgauge.sources import ingest, tables
 from loadgauge.sources.cleaning import clean
 from loadgauge.sources.csv_files import column_positions, map_columns, read_jtl_csv
-from loadgauge.sources.detect import classify_inputs, csv_delimiter, file_format
+from loadgauge.sources.detect import classify_inputs, csv_delimiter, file_format, file_uri
 from loadgauge.sources.xml_files import read_jtl_xml
 from loadgauge.streaming import live
 
@@ -305,6 +305,25 @@ def test_ingest_of_mixed_files(spark, tmp_path):
     assert again.quarantine.filter("reason like '%null%'").count() == 2
 
 
+def test_names_of_all_kinds(spark, tmp_path):
+    assert file_uri("s3a://bucket/a b/c#1%.csv") == "s3://bucket/a%20b/c%231%25.csv"
+    assert file_uri("file:/tmp/x[1].csv") == "file:///tmp/x%5B1%5D.csv" and file_uri("/tmp/a b") == "file:///tmp/a%20b"
+    inbox = tmp_path / "in put"
+    inbox.mkdir()
+    for name in ("a b.csv", "x[1].csv", "p%20q.csv", "h#1.csv", "{y}.csv"):
+        write(inbox, name, lines(10))
+    write(inbox, "broken.csv", lines(3) + f'{MS},5,"one\nlabel",200,"said ""no""\n\nthen",t-1,text,true,9\n')
+    write(inbox, "notes.txt", "nothing to see here")
+    done = ingest.ingest(spark, str(inbox), str(tmp_path / "out"))
+    assert done.counts.count() == 6 and done.samples.count() == 54 and done.quarantine.count() == 0
+    row = done.samples.filter("elapsed = 5").first()
+    assert (row["label"], row["response_message"], row["bytes"]) == ("one\nlabel", 'said "no"\n\nthen', 9)
+    rejected = spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()
+    assert [(r["path"].rsplit("/", 1)[-1], r["reason"]) for r in rejected] == [("notes.txt", "neither CSV nor XML results")]
+    with pytest.raises(ValueError, match="neither CSV nor XML"):
+        ingest.ingest(spark, str(inbox), str(tmp_path / "strict"), strict=True)
+
+
 def test_ingest_without_bad_rows_has_an_empty_quarantine(spark, tmp_path):
     done = ingest.ingest(spark, write(tmp_path, "a.csv", lines(10)), str(tmp_path / "out"))
     assert done.quarantine.collect() == []

@@ -174,7 +174,7 @@ def test_cold_start(make):
     row = findings.cold_start(make([1] * 300, success=success)).first()
     assert row["data"]["first_30s_error_rate"] == pytest.approx(20 / 30)
     assert row["data"]["overall_error_rate"] == pytest.approx(20 / 300)
-    assert row["message"] == "Cold start: first 30 s error rate 66.7% vs overall 6.7%"
+    assert row["message"] == "Errors cluster at the start: 66.7% in the first 30 s, 6.7% overall"
 
 
 def test_zero_median_counts_as_one(make):
