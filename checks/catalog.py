@@ -728,14 +728,15 @@ check(
 
 
 def _picked(s: DataFrame, picked: DataFrame, on: list[str]) -> DataFrame:
-    """What must hold for any sample: its size, its total, and that its rows exist."""
-    real = s.select(*on, F.lit(1).alias("real")).distinct()
+    """What must hold for any sample: its size, its total, and that its rows exist as often."""
+    real = s.groupBy(*on).agg(F.count(F.lit(1)).alias("there"))
+    taken = picked.groupBy(*on).agg(F.count(F.lit(1)).alias("taken"), F.max("total_rows").alias("total_rows"))
     return (
-        picked.join(real, on, "left")
+        taken.join(real, on, "left")
         .groupBy("run_id")
         .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count("real").alias("real_rows"),
+            F.sum("taken").alias("rows"),
+            F.sum(F.least("taken", F.coalesce("there", F.lit(0)))).alias("real_rows"),
             F.max("total_rows").alias("total_rows"),
         )
     )
@@ -751,22 +752,28 @@ def _uniform(s: DataFrame) -> DataFrame:
     return _picked(s, picked, ["run_id", "timestamp_ms", "elapsed"])
 
 
-check(
-    "t3_stratified_sample",
-    _stratified,
-    """WITH c AS (SELECT run_id, label, count(*) AS n FROM samples GROUP BY run_id, label),
+def _charted(s: DataFrame, chart: DataFrame, on: list[str]) -> DataFrame:
+    return _picked(s, chart.withColumn("timestamp_ms", F.unix_millis("ts")), on)
+
+
+STRATIFIED = """WITH c AS (SELECT run_id, label, count(*) AS n FROM samples GROUP BY run_id, label),
     t AS (SELECT *, sum(n) OVER (PARTITION BY run_id) AS total FROM c),
     q AS (SELECT run_id, total, CASE WHEN total <= 100 THEN n ELSE
         least(n, greatest(1, round_even(100.0 * n / total, 0))) END AS quota FROM t)
     SELECT run_id, CAST(least(100, sum(quota)) AS BIGINT) AS rows,
     CAST(least(100, sum(quota)) AS BIGINT) AS real_rows, CAST(max(total) AS BIGINT) AS total_rows
-    FROM q GROUP BY run_id""",
-)
-check(
-    "t4_uniform_sample",
-    _uniform,
-    """SELECT run_id, least(100, count(*)) AS rows, least(100, count(*)) AS real_rows,
-    count(*) AS total_rows FROM samples GROUP BY run_id""",
+    FROM q GROUP BY run_id"""
+UNIFORM = """SELECT run_id, least(100, count(*)) AS rows, least(100, count(*)) AS real_rows,
+    count(*) AS total_rows FROM samples GROUP BY run_id"""
+BY_LABEL = ["run_id", "label", "timestamp_ms", "elapsed"]
+check("t3_stratified_sample", _stratified, STRATIFIED)
+check("t4_uniform_sample", _uniform, UNIFORM)
+check("f1_rt_scatter_sampled", lambda s: _charted(s, charts.rt_scatter(s, 100), BY_LABEL), STRATIFIED)
+check("f17_outliers_sampled", lambda s: _charted(s, charts.outlier_scatter(s, 100), BY_LABEL), STRATIFIED)
+check(
+    "f20_status_sampled",
+    lambda s: _charted(s, charts.rt_by_status(s, 100), ["run_id", "timestamp_ms", "elapsed"]),
+    UNIFORM,
 )
 # The chart samples are larger than the runs of the check data, so whole runs come back.
 check(

@@ -75,17 +75,25 @@ def rt_by_status(
     return picked.select(*by, ts, "elapsed", "status", "total_rows")
 
 
-def transaction_mix(samples: DataFrame, b: int = 10, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+def transaction_mix(
+    samples: DataFrame, b: int = 10, keys: Sequence[str] = RUN_KEYS, labels: int | None = None
+) -> DataFrame:
     """Share of every label in every bucket of its run, 0 where it is absent.
 
-    The filled grid is the result itself: buckets times labels of a run.  The shares are
-    stored first, so the samples are read once for all three parts of it.
+    The filled grid is the result itself: buckets times labels of a run, or times the
+    ``labels`` with most samples.  ``anomalies.label_mix`` has the shares without the zeros,
+    for runs with many labels.  The shares are stored first, so the samples are read once
+    for all three parts of the grid.
     """
     by = run_keys(keys)
-    shares = settle(anomalies.label_mix(samples, b, by).drop("rows"))
+    mix = settle(anomalies.label_mix(samples, b, by))
+    shares = mix.drop("rows")
     buckets = shares.select(*by, "bucket").distinct()
-    labels = shares.select(*by, "label").distinct()
-    grid = join_facts(buckets, labels, by)
+    shown = mix.groupBy(*by, "label").agg(F.sum("rows").alias("rows"))
+    if labels is not None:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("rows"), "label"))
+        shown = shown.withColumn("place", place).filter(F.col("place") <= labels)
+    grid = join_facts(buckets, shown.select(*by, "label"), by)
     filled = join_facts(grid, shares, [*by, "bucket", "label"], "left")
     return filled.withColumn("share_pct", F.coalesce("share_pct", F.lit(0.0)))
 
