@@ -22,7 +22,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from checks import inputs  # noqa: E402
 from loadgauge.operators import anomalies, charts, findings, segments, slo, summary  # noqa: E402
 from loadgauge.session import SETTINGS  # noqa: E402
-from loadgauge.sources import ingest, tables  # noqa: E402
+from loadgauge.sources import ingest, tables, xml_files  # noqa: E402
+from loadgauge.streaming import live  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -66,12 +67,21 @@ def main() -> None:
     tables.write_samples(inputs.samples(spark, SF_DIR), path)
     samples = tables.read_samples(spark, path)
     files = inputs.write_csv_files(inputs.samples(spark, SF_DIR, "raw"))
+    xml = inputs.write_xml_files(inputs.samples(spark, SF_DIR, "raw"))
 
     def load() -> None:
         out = inputs.fresh_folder(spark, "bench-ingest")
         run_id = inputs.run_of_folder(F.col("source_file"))
         ingest.ingest(spark, [f"{files}/*"], out, run_id)
 
+    def stream() -> None:
+        columns, delimiter = inputs.CSV_LAYOUTS["run-a"]
+        header = delimiter.join(["dataType", *[inputs.CSV_NAMES[c] for c in columns]])
+        raw = live.stream_jtl_csv(spark, f"{files}/run-a", header, delimiter)
+        out, state = inputs.fresh_folder(spark, "live"), inputs.fresh_folder(spark, "state")
+        live.write_live(raw, out, state).awaitTermination()
+        run(live.bucket_metrics(live.read_live(spark, out)))
+
     def all_charts() -> None:
         charts.store_charts(samples, inputs.fresh_folder(spark, "charts"), at_once=int(CPUS))
 
@@ -88,6 +98,8 @@ def main() -> None:
         "run_kpis": lambda: run(slo.run_kpis(samples)),
         "findings": lambda: run(findings.findings(samples)),
         "ingest_csv": load,
+        "scan_xml": lambda: run(xml_files.read_jtl_xml(spark, f"{xml}/*")),
+        "stream_csv": stream,
         "charts_29": all_charts,
     }
     if os.environ.get("BENCH_EACH"):
