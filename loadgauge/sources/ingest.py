@@ -83,7 +83,7 @@ def read_raw(
         else:
             raise ValueError(f"neither CSV nor XML results: {', '.join(group.paths[:5])}")
     if not scans:
-        raise ValueError(f"no files below {paths}")
+        raise ValueError(f"no files below {paths}, or all of them neither CSV nor XML results")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
