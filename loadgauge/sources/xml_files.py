@@ -72,6 +72,7 @@ def _parents(records: DataFrame) -> DataFrame:
             F.lit(True).alias("asks"),
         )
     )
+    # Stored: joined lazily with the carried rows, this union gave some rows twice.
     rows = settle(rows)
     by_level = Window.partitionBy(*file_split, "depth").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     asked = rows.withColumn("up", F.last("opened", ignorenulls=True).over(by_level)).filter("asks")
