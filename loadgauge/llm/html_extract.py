@@ -8,7 +8,6 @@ of like length run through the network together; a page runs whole, whatever its
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -159,8 +158,10 @@ def training_set(words: list[str], n: int = TRAIN_PAGES, seed: int = SEED) -> tu
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, n: int = TRAIN_PAGES) -> Weights:
     """Weights learned on made pages with words of at most ``sample_pages`` real ones."""
-    real = pages.filter("html is not null").select("page_id", "html")
-    rows = real.orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).collect()
+    # The ids first: else every task would send its own pages to the driver.
+    ids = pages.filter("page_id is not null and html is not null").select("page_id").distinct()
+    chosen = [r.page_id for r in ids.orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).collect()]
+    rows = pages.filter(F.col("page_id").isin(chosen) & F.col("html").isNotNull()).select("html").limit(sample_pages).collect()
     words = sorted({w for r in rows for leaf in leaves_of(r.html) for w in leaf.text.split() if "<" not in w and "&" not in w})
     return fit(*training_set(words or ["word", "text", "page"], n))
 
