@@ -1,10 +1,11 @@
 """SentencePiece BPE encoding with keyed merge-dropout, and lossless decoding.
 
 The agenda of BPE always merges the adjacent pair with the best score, leftmost first.  With
-dropout, a hash keyed by seed, variant, pair and place says of every candidate whether it is
-skipped; the same key gives the same segmentation on every run and machine.  A document's words
-take turns through a few variants, chosen by document and place, so that frequent words are
-segmented in varied ways while each (word, variant) is worked out once per slice of documents.
+dropout, a hash keyed by seed, document, place of the word, pair and place in the word says of
+every candidate whether it is skipped; the same key gives the same segmentation on every run and
+machine.  Each distinct word is first segmented without dropout, once per slice of documents.
+An occurrence for which none of those merges is skipped shares that result; every other one is
+worked out on its own.
 
 No piece of the vocabulary continues past a word into the next space, so words (with the spaces
 before them) are encoded apart.  Short words of a slice merge together, one pair of each word per
@@ -30,11 +31,11 @@ from loadgauge.llm.common import free_name
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
 SEED = 7
 SPACE = "▁"
 LONG = 48  # characters; longer words use the heap
 SLICE_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 19  # characters of short words that merge together
 
 _CHUNK = re.compile(" *[^ ]+| +")
 _OLD = np.iinfo(np.int32).max
@@ -107,21 +108,27 @@ class Encoder:
         points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         return self.table[points]
 
-    def candidates(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, merged id) of each pair; rank _OLD if it does not merge or is skipped."""
+    def skipped(self, pair: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Whether the words of these keys leave out the pair at a place."""
+        salt = np.uint64(self.seed * 0x9E3779B97F4A7C15 % 2**64)
+        turn = key + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return _mix(_mix(pair.astype(np.uint64) ^ salt) + turn * np.uint64(0xD6E8FEB86659FD93)) < self.limit
+
+    def candidates(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, word_key: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged id) of each pair; rank _OLD if it does not merge or is skipped.
+
+        Without keys nothing is skipped.
+        """
         key = left.astype(np.int64) << 32 | right
         place = np.minimum(np.searchsorted(self.v.keys, key), len(self.v.keys) - 1)
         known = self.v.keys[place] == key
-        if self.drops:
+        if self.drops and word_key is not None:
             where = np.flatnonzero(known)
-            salt = np.uint64(self.seed * 0x9E3779B97F4A7C15 % 2**64)
-            turn = (at[where].astype(np.uint64) << np.uint64(8)) + variant[where].astype(np.uint64)
-            drawn = _mix(_mix(key[where].astype(np.uint64) ^ salt) + turn * np.uint64(0xD6E8FEB86659FD93))
-            known[where[drawn < self.limit]] = False
+            known[where[self.skipped(key[where], at[where], word_key[where])]] = False
         merged = self.v.merged[place]
         return np.where(known, self.v.ranks[merged], _OLD), merged
 
-    def long_word(self, chunk: str, variant: int) -> list[int]:
+    def long_word(self, chunk: str, key: int | None) -> list[int]:
         """The agenda of one word as a heap of (rank, place)."""
         ids = self.symbols([chunk]).tolist()
         n = len(ids)
@@ -134,7 +141,7 @@ class Encoder:
                 return
             a = np.array([ids[i] for i in lefts], np.int64)
             b = np.array([ids[nxt[i]] for i in lefts], np.int64)
-            rank, merged = self.candidates(a, b, np.array(lefts), np.full(len(lefts), variant))
+            rank, merged = self.candidates(a, b, np.array(lefts), None if key is None else np.full(len(lefts), key, np.uint64))
             for i, r, m, x, y in zip(lefts, rank.tolist(), merged.tolist(), a.tolist(), b.tolist(), strict=True):
                 if r != _OLD:
                     heapq.heappush(heap, (r, i, m, x, y))
@@ -155,10 +162,13 @@ class Encoder:
             i = nxt[i]
         return out
 
-    def short_words(self, chunks: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def short_words(
+        self, chunks: list[str], keys: np.ndarray | None, merges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of one length: every pass merges the best pair of each that has one.
 
-        Returns the tokens, where each word's begin, and their numbers.
+        Returns the tokens, where each word's begin, and their numbers.  ``merges`` receives the
+        merges of every pass: words, pairs and places.
         """
         n, every = len(chunks[0]), np.arange(len(chunks))
         ids = self.symbols(chunks).reshape(-1, n).copy()
@@ -167,7 +177,7 @@ class Encoder:
         made = np.zeros(ids.shape, np.int32)
         length = np.full(len(chunks), n)
         if n > 1:
-            r, m = self.candidates(ids[:, :-1].ravel(), ids[:, 1:].ravel(), at[:, :-1].ravel(), np.repeat(variants, n - 1))
+            r, m = self.candidates(ids[:, :-1].ravel(), ids[:, 1:].ravel(), at[:, :-1].ravel(), None if keys is None else np.repeat(keys, n - 1))
             rank[:, :-1], made[:, :-1] = r.reshape(-1, n - 1), m.reshape(-1, n - 1)
         tables, live, full = [ids, at, rank, made], every, []
         while len(live):
@@ -183,6 +193,8 @@ class Encoder:
                 rows = np.arange(len(live))
                 if not len(live):
                     break
+            if merges is not None:
+                merges.append((live, ids[rows, best].astype(np.int64) << 32 | ids[rows, best + 1], at[rows, best]))
             ids[rows, best] = made[rows, best]
             # Take the right part out of each row.
             width = ids.shape[1] - 1
@@ -196,7 +208,7 @@ class Encoder:
             for left in (best - 1, best):
                 ok = np.flatnonzero((left >= 0) & (left + 1 < length))
                 cols = left[ok]
-                r, m = self.candidates(ids[ok, cols], ids[ok, cols + 1], at[ok, cols], variants[live[ok]])
+                r, m = self.candidates(ids[ok, cols], ids[ok, cols + 1], at[ok, cols], None if keys is None else keys[live[ok]])
                 rank[ok, cols], made[ok, cols] = r, m
         counts, starts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         flat, begin = [], 0
@@ -207,19 +219,31 @@ class Encoder:
             begin += int(n.sum())
         return np.concatenate(flat), starts, counts
 
-    def words(self, chunks: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token ids, where each word's begin, their number)."""
+    def words(
+        self, chunks: list[str], keys: np.ndarray | None, merges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token ids, where each word's begin, their number); a key for each word, or no dropout.
+
+        ``merges`` receives those of short words, each word's in order.
+        """
+        keys = None if keys is None else keys.astype(np.uint64)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         starts, counts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         parts, begin = [np.empty(0, np.int32)], 0
-        for n in np.unique(sizes[sizes <= LONG]):
-            which = np.flatnonzero(sizes == n)
-            ids, at, k = self.short_words([chunks[i] for i in which], variants[which])
-            starts[which], counts[which] = begin + at, k
-            parts.append(ids)
-            begin += len(ids)
+        by_size = np.argsort(sizes, kind="stable")
+        by_size = by_size[: np.searchsorted(sizes[by_size], LONG, "right")]
+        for same in np.split(by_size, np.flatnonzero(np.diff(sizes[by_size])) + 1) if len(by_size) else []:
+            step = max(1, BLOCK_CHARS // int(sizes[same[0]]))
+            for which in (same[i : i + step] for i in range(0, len(same), step)):
+                made = None if merges is None else []
+                ids, at, k = self.short_words([chunks[i] for i in which.tolist()], None if keys is None else keys[which], made)
+                starts[which], counts[which] = begin + at, k
+                parts.append(ids)
+                begin += len(ids)
+                if made:
+                    merges.extend((which[w], pair, place) for w, pair, place in made)
         for i in np.flatnonzero(sizes > LONG):
-            ids = np.array(self.long_word(chunks[i], int(variants[i])), np.int32)
+            ids = np.array(self.long_word(chunks[i], None if keys is None else int(keys[i])), np.int32)
             starts[i], counts[i] = begin, len(ids)
             parts.append(ids)
             begin += len(ids)
@@ -237,7 +261,26 @@ class Encoder:
             out[ends[i] : ends[i + 1]] = np.frombuffer(raw, np.uint8).astype(np.int32) + self.v.first_byte
         return out, ends[starts], ends[starts + counts] - ends[starts]
 
-    def texts(self, texts: list[str], salts: np.ndarray, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+    def changed(self, word: np.ndarray, keys: np.ndarray, merges: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_words: int) -> np.ndarray:
+        """Whether an occurrence of a word skips one of the merges it has without dropout."""
+        found = np.zeros(len(word), bool)
+        if not merges:
+            return found
+        of, pair, at = (np.concatenate(x) for x in zip(*merges, strict=True))
+        order = np.argsort(of, kind="stable")
+        pair, at = pair[order], at[order]
+        steps = np.bincount(of, minlength=n_words)
+        begin = np.cumsum(steps) - steps
+        left = np.arange(len(word))
+        for k in range(int(steps.max())):
+            left = left[steps[word[left]] > k]
+            step = begin[word[left]] + k
+            gone = self.skipped(pair[step], at[step], keys[left])
+            found[left[gone]] = True
+            left = left[~gone]
+        return found
+
+    def texts(self, texts: list[str], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all texts on end, number of tokens of each)."""
         known: dict[str, int] = defaultdict(itertools.count().__next__)
         place, per_text = [], []
@@ -248,15 +291,29 @@ class Encoder:
         per_text = np.array(per_text, np.int64)
         if not place:
             return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
-        start = np.repeat(np.cumsum(per_text) - per_text, per_text)
-        nth = np.arange(len(place)) - start
-        turn = _mix(np.repeat(salts, per_text) + nth.astype(np.uint64)) % np.uint64(variants if self.drops else 1)
-        code = np.array(place) * variants + turn.astype(np.int64)
-        used, back = np.unique(code, return_inverse=True)
-        names = list(known)
-        flat, begins, counts = self.words([names[c] for c in (used // variants).tolist()], used % variants)
-        n = counts[back]
-        out = flat[np.repeat(begins[back] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        word, names = np.array(place), list(known)
+        if not self.drops:
+            flat, begins, counts = self.words(names, None)
+            begins, n = begins[word], counts[word]
+        else:
+            start = np.repeat(np.cumsum(per_text) - per_text, per_text)
+            keys = _mix(np.repeat(salts, per_text) + (np.arange(len(place)) - start).astype(np.uint64))
+            # Long words have so many merges that hardly an occurrence skips none.
+            short = np.flatnonzero(np.fromiter(map(len, names), np.int64, len(names)) <= LONG)
+            row = np.full(len(names), -1)
+            row[short] = np.arange(len(short))
+            merges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            plain, plain_begins, plain_counts = self.words([names[i] for i in short.tolist()], None, merges)
+            own = row[word] < 0
+            shared = np.flatnonzero(~own)
+            own[shared] = self.changed(row[word[shared]], keys[shared], merges, len(short))
+            begins, n = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+            at = row[word[~own]]
+            begins[~own], n[~own] = plain_begins[at], plain_counts[at]
+            flat, own_begins, n[own] = self.words([names[i] for i in word[own].tolist()], keys[own])
+            begins[own] = len(plain) + own_begins
+            flat = np.concatenate([plain, flat])
+        out = flat[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         text_of = np.repeat(np.arange(len(texts)), per_text)
         return out, np.bincount(text_of, n, len(texts)).astype(np.int64)
 
@@ -309,7 +366,8 @@ def encode(
                 rest = [batch.column(i).slice(part.start, len(back)) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*rest, lists, pa.array(back, pa.bool_())], [*names, "token_ids", "decodes"])
 
-    salt = F.xxhash64(F.lit(seed), F.col(id_col))
+    # Documents without id are told apart by their text.
+    salt = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
     schema = docs.select(names).schema.add("token_ids", T.ArrayType(T.IntegerType())).add("decodes", T.BooleanType())
     return docs.select(*names, salt.alias(free_name(docs, "__salt"))).mapInArrow(run, schema)
 

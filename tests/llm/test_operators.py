@@ -432,6 +432,27 @@ def test_pieces_vary_by_key_and_repeat_by_seed():
         assert flat[s : s + n].tolist() == encoder.long_word(chunk, int(v))
 
 
+@needs_model
+def test_pieces_drop_per_occurrence(spark):
+    encoder = pieces.Encoder(pieces.load_vocabulary(), 0.1, seed=1)
+    plain = pieces.Encoder(pieces.load_vocabulary(), 0.0)
+    salts = np.array([5, 9], np.uint64)
+    keys = pieces._mix(salts[:, None] + np.arange(3000, dtype=np.uint64))
+    for word in (" of", " the", " station", " " + "ab" * 30):
+        n = 3000 if len(word) < pieces.LONG else 5
+        ids, counts = encoder.texts([(word * n)[1:]] * 2, salts)
+        want = [encoder.long_word(word, int(k)) for k in keys[:, :n].ravel()]
+        assert ids.tolist() == [i for x in want for i in x] and counts.sum() == len(ids)
+        if n == 3000:
+            whole = plain.long_word(word, 0)
+            share = sum(x == whole for x in want) / len(want)
+            least = 0.9 ** (len(word) - len(whole))
+            assert least - 0.03 < share < 0.98  # other merges may lead to the same pieces
+    docs = spark.createDataFrame([(None, "of " * 200), (None, "of " * 200 + "x")], "doc_id long, text string")
+    a, b = [r.token_ids for r in pieces.encode(docs).collect()]
+    assert a[:200] != b[:200]
+
+
 # 9 SimHash
 
 
