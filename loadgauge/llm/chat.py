@@ -95,15 +95,20 @@ def _spans_by_block(template: Template, turns: Sequence[Turn]) -> tuple[str, lis
             return template(turns), None
         head = list(turns[:1]) + list(turns[max(1, begin - 1) : begin]) if begin else []
         for short in (True, False):
-            last, found = template(head if short else turns[:begin]) if begin else "", []
             history = head if short else list(turns[:begin])
-            for i in range(begin, end):
-                now = template(history + list(turns[begin : i + 1]))
-                if not now.startswith(last):
-                    found = []
-                    break
-                found.append(now[len(last) :])
-                last = now
+            try:
+                last, found = template(history) if begin else "", []
+                for i in range(begin, end):
+                    now = template(history + list(turns[begin : i + 1]))
+                    if not now.startswith(last):
+                        found = []
+                        break
+                    found.append(now[len(last) :])
+                    last = now
+            except Exception:  # a template may refuse a history that never was
+                if not short or not begin:
+                    raise
+                found = []
             if "".join(found) == out[len(before) :] and len(found) == end - begin:
                 break
         else:
@@ -117,29 +122,51 @@ def _spans_by_block(template: Template, turns: Sequence[Turn]) -> tuple[str, lis
 
 
 def text_span(template: Template, turns: Sequence[Turn], i: int, output: str, span: tuple[int, int]) -> tuple[int, int] | None:
-    """Where the text of turn i lies in its span, by rendering the turn with a mark in its place."""
+    """Where the text of turn i lies in its span, by rendering the turn with a mark in its place.
+
+    From turn BLOCK on the history is first cut to two turns.  That counts only if the turn then
+    reads exactly as in its span; else, or if the template refuses it, the true history is used.
+    """
     role, text = turns[i]
     mark = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in text and c not in output[span[0] : span[1]])
-    history = list(turns[:i]) if i < BLOCK else list(turns[:1]) + list(turns[i - 1 : i])
-    shown = template([*history, (role, mark)])
-    start = len(template(history)) if history else 0
-    at = shown.find(mark, start)
-    if at < 0:
-        return None
-    before, after = shown[start:at], shown[at + 1 :]
     piece = output[span[0] : span[1]]
-    if not (piece.startswith(before) and piece.endswith(after) and len(piece) >= len(before) + len(after)):
-        return None
-    return span[0] + len(before), span[1] - len(after)
+
+    def found(history: list[Turn], cut: bool) -> tuple[int, int] | None:
+        start = len(template(history)) if history else 0
+        if cut and template([*history, (role, text)])[start:] != piece:
+            return None
+        shown = template([*history, (role, mark)])
+        at = shown.find(mark, start)
+        if at < 0:
+            return None
+        before, after = shown[start:at], shown[at + 1 :]
+        if not (piece.startswith(before) and piece.endswith(after) and len(piece) >= len(before) + len(after)):
+            return None
+        return span[0] + len(before), span[1] - len(after)
+
+    if i >= BLOCK:
+        try:
+            place = found(list(turns[:1]) + list(turns[i - 1 : i]), True)
+        except Exception:  # a template may refuse a history that never was
+            place = None
+        if place is not None:
+            return place
+    return found(list(turns[:i]), False)
 
 
 def rendered(template: Template, turns: Sequence[Turn], learned: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], bool]:
-    """(output, turn spans, loss spans, rewrites history)."""
+    """(output, turn spans, loss spans, rewrites history).
+
+    A learned turn whose text is not found in its span raises: its loss would be missing.
+    """
     output, spans = turn_spans(template, turns)
     if spans is None:
         return output, [], [], True
     loss = [text_span(template, turns, i, output, spans[i]) for i, (role, _) in enumerate(turns) if role == learned]
-    return output, spans, [x for x in loss if x is not None], False
+    if None in loss:
+        turn = [i for i, (role, _) in enumerate(turns) if role == learned][loss.index(None)]
+        raise ValueError(f"the text of turn {turn} is not found in what the template makes of it")
+    return output, spans, loss, False
 
 
 _SPANS = "array<struct<start:int,stop:int>>"

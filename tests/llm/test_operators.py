@@ -190,6 +190,28 @@ def test_chat_spans_by_block_equal_whole_prefixes():
     assert [output[a:b] for a, b in found] == [f"{i}:t{i}\n" for i in range(600)]
 
 
+def test_chat_masks_turns_whose_text_depends_on_history():
+    def numbered(turns):
+        return "".join(f"{i}:{text}\n" for i, (_, text) in enumerate(turns))
+
+    def number_behind(turns):
+        return "".join(f"{text}{i}\n" for i, (_, text) in enumerate(turns))
+
+    def strict(turns):
+        if any(role != ("user", "assistant")[i % 2] for i, (role, _) in enumerate(turns)):
+            raise ValueError("roles must alternate")
+        return chat.marked(turns)
+
+    for n in (400, 600):
+        turns = [(("user", "assistant")[i % 2], f"says {i}") for i in range(n)]
+        for template in (numbered, number_behind, strict):
+            output, spans, loss, rewrites = chat.rendered(template, turns, "assistant")
+            assert not rewrites and len(spans) == n
+            assert [output[a:b] for a, b in loss] == [text for role, text in turns if role == "assistant"]
+    with pytest.raises(ValueError, match="turn 1 "):
+        chat.rendered(lambda turns: "".join(f"{text[::-1]}!{len(text)}\n" for _, text in turns), [("user", "ab"), ("assistant", "cd")], "assistant")
+
+
 def test_chat_of_nothing(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_chats(empty)).collect() == []
