@@ -20,6 +20,11 @@ from loadgauge.plans.joining import settle
 
 SAMPLE_ROWS = 2000
 WINDOW = 8
+# Letters of scripts that write words without spaces between them.
+UNSPACED = (
+    r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+    r"\p{IsJavanese}\p{IsBalinese}\p{IsNew_Tai_Lue}\p{IsTai_Le}\p{IsTai_Tham}ー&&\p{L}]"
+)
 
 
 @dataclass(frozen=True)
@@ -95,19 +100,22 @@ def base_rules(words: Column, n_words: Column) -> list[Rule]:
 def content_rules(text: Column, words: Column, n_words: Column) -> list[Rule]:
     """Rules against marked-up, shouted, tabular and repetitive texts.
 
-    The limits leave room for text in any alphabet: letters without case are never capitals.
+    The limits leave room for text in any alphabet: capitals are measured against all letters,
+    with case or without, and words only where most letters are of scripts that part them by
+    spaces.  For text in cased letters alone this asks for more capitals than small letters.
     """
     capitals = F.regexp_count(text, F.lit(r"\p{Lu}"))
-    small = F.regexp_count(text, F.lit(r"\p{Ll}"))
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    unspaced = F.regexp_count(text, F.lit(UNSPACED))
     marks = F.regexp_count(text, F.lit(r"[!?]"))
     chars = word_chars(words)
     dup = let(lines_of(text), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 40 * F.size(x))
     return [
         Rule("symbols", 100 * n_symbols(text) > 20 * n_words),
         Rule("dup_lines", dup),
-        Rule("capitals", capitals > small),
+        Rule("capitals", 2 * capitals > letters),
         Rule("marks", 100 * marks > 50 * n_words),
-        Rule("word_length", (chars < 2 * n_words) | (chars > 14 * n_words)),
+        Rule("word_length", ((chars < 2 * n_words) | (chars > 14 * n_words)) & (2 * unspaced <= letters)),
     ]
 
 

@@ -319,6 +319,22 @@ def test_quality_order_is_rejection_per_cost(spark):
     assert [r.name for r in quality.order_rules(rows.limit(0), [other, same])] == ["other", "same"]
 
 
+def test_quality_keeps_clean_texts_of_any_script(spark):
+    def many(alphabet, shortest, longest, seed=1, n=60):
+        r = random.Random(seed)
+        return " ".join("".join(r.choices(alphabet, k=r.randint(shortest, longest))) for _ in range(n))
+
+    good = [
+        "GPS NATO " + many("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", 3, 8), "GPS NATO " + many("कखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", 3, 8),
+        "GPS NATO " + many("가나다라마바사아자차카타파하", 2, 4), "GPS " + many("的一是不了人我在有他这中大来上国", 16, 30),
+        many("あいうえおかきくけこアイウエオカ日本語ー", 16, 30), many("กขคงจฉชซญดตถทธนบปผพภมยรลวสห", 16, 40),
+    ]
+    bad = [many("ABCDEFGH", 3, 8), many("abcdefgh", 16, 30), many("abcdefgh", 1, 1), "的 " + many("abcdefgh", 16, 30)]
+    docs = doc_table(spark, [(i, t, "web") for i, t in enumerate(good + bad)])
+    assert {r.doc_id for r in quality.good_documents(docs).collect()} == set(range(len(good)))
+    assert {r.doc_id for r in quality.quality_report(docs).filter("kept").collect()} == set(range(len(good)))
+
+
 def test_quality_of_nothing(nothing):
     assert quality.quality_report(nothing).collect() == [] and quality.good_documents(nothing).collect() == []
 
