@@ -1,7 +1,7 @@
 """Language identification: known words by log frequency, others by backoff to n-grams.
 
-Training counts words per language on a bounded, hash-chosen sample of labelled documents and
-keeps the most frequent; their n-grams are counted with the words' weight.  The model is then a
+Training counts words on a bounded, hash-chosen sample of the labelled documents of each language
+and keeps the most frequent of each; their n-grams are counted with the words' weight.  The model is then a
 table of log frequencies with a row per word and per n-gram.  A text adds up one row per word: the
 word's own if it is known, else the mean over its longest n-grams that are known, shorter ones
 only if too few of the longer are.
@@ -9,20 +9,21 @@ only if too few of the longer are.
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadgauge.plans.joining import settle
 
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 1500  # of each language
 MOST_WORDS = 60_000
 MOST_GRAMS = 120_000
 LONGEST = 5
@@ -70,13 +71,16 @@ def _logs(counts: dict[str, dict[str, int]], langs: list[str]) -> tuple[dict[str
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
     """Fit on labelled rows (doc_id, text, lang) outside the held-out fold.
 
-    About ``sample_docs`` documents take part, chosen by a hash of their id, or all if there are
-    fewer; only the counts of the ``most_words`` most frequent words reach the driver.  Without
-    labelled rows the model has no language.
+    About ``sample_docs`` documents of each language take part, chosen by a hash of their id (of
+    their text if they have none), or all if there are fewer.  ``most_words`` and ``most_grams``
+    are shared evenly by the languages: each keeps its own most frequent, and only the counts of
+    these words reach the driver.  Without labelled rows the model has no language.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = min(1.0, sample_docs / max(1, labelled.count()))
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sizes = settle(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("__size")))
+    draw = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    drawn = labelled.select("text", "lang", F.shiftrightunsigned(draw, 1).alias("__draw")).join(sizes, "lang")
+    chosen = drawn.filter(F.col("__draw") / F.lit(2.0**63) * F.col("__size") < sample_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +94,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_words: int = MOS
 
     counted = chosen.select("text", "lang").mapInArrow(count, "lang string, word string, n long")
     per_word = counted.groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    per_word = settle(per_word.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
-    rows = per_word.orderBy(F.desc("total"), "word").limit(most_words).collect()
-    words = {r.word: r.by for r in rows}
+    per_word = settle(per_word.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
+    quota = -(-most_words // max(1, sizes.count()))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    ranked = per_word.select("word", "by", F.explode("by").alias("lang", "n")).withColumn("place", place)
+    words = {r.word: r.by for r in ranked.filter(F.col("place") <= quota).select("word", "by").collect()}
     langs = sorted({lang for by in words.values() for lang in by})
     grams: dict[str, Counter] = {}
     for word, by in words.items():
@@ -100,8 +106,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_words: int = MOS
             for gram in grams_of(word, n):
                 grams.setdefault(gram, Counter()).update(by)
     if len(grams) > most_grams:
-        kept = sorted(grams, key=lambda g: (-grams[g].total(), g))[:most_grams]
-        grams = {g: grams[g] for g in kept}
+        of_lang: dict[str, list[tuple[int, str]]] = defaultdict(list)
+        for gram, by in grams.items():
+            for lang, n in by.items():
+                of_lang[lang].append((-n, gram))
+        most = -(-most_grams // len(langs))
+        kept = {gram for found in of_lang.values() for _, gram in heapq.nsmallest(most, found)}
+        grams = {g: by for g, by in grams.items() if g in kept}
     # A word seen once says little; it is left to its n-grams.
     known = {w: by for w, by in words.items() if sum(by.values()) > 1}
     word_rows, word_logs = _logs(known, langs)

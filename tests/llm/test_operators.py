@@ -418,6 +418,23 @@ def test_language_backs_off_to_shorter_grams(spark):
     assert scorer.predict("zzzz qqq")[0] in scorer.model.langs
 
 
+def test_language_knows_rare_languages(spark):
+    def text(alphabet, seed):
+        r = random.Random(seed)
+        return " ".join("".join(r.choices(alphabet, k=r.randint(2, 5))) for _ in range(30))
+
+    common, rare = "abcdefgh", "klmnopqr"
+    rows = [(i if i % 2 else None, text(common, i), "aa") for i in range(3000)] + [(None, text(rare, -i), "bb") for i in range(1, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, sample_docs=40, most_words=400, most_grams=400)
+    assert model.langs == ["aa", "bb"] and len(model.grams) <= 400
+    scorer = language.Scorer(model)
+    assert all(scorer.predict(text(rare, 10_000 + i))[0] == "bb" and scorer.predict(text(common, 10_000 + i))[0] == "aa" for i in range(20))
+    # About 40 documents of the common language, not none or all of those without id.
+    counts = np.exp(language.train(docs, sample_docs=300).word_logs).shape[0]
+    assert 0 < counts < np.exp(language.train(docs, sample_docs=10_000).word_logs).shape[0]
+
+
 def test_language_without_labels(spark, nothing):
     model = language.train(nothing)
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
