@@ -28,10 +28,13 @@ def stream_jtl_csv(
     delimiter: str = ",",
     run_id: Column | None = None,
     files_per_trigger: int = 1000,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Raw strings with run_id from CSV files of one header, as they land in a folder.
 
-    ``run_id`` is an expression over source_file; by default each file is a run.
+    ``run_id`` is an expression over source_file; by default each file is a run.  Line breaks
+    inside quotes belong to their field, so a file is read whole by one task; ``multi_line=False``
+    says that no file has any, and lets them be split.
     """
     names = header_columns(header, delimiter)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
@@ -40,6 +43,7 @@ def stream_jtl_csv(
         .option("header", True)
         .option("sep", delimiter)
         .option("escape", '"')
+        .option("multiLine", multi_line)
         .option("maxFilesPerTrigger", files_per_trigger)
         .csv(folder)
     )

@@ -379,3 +379,19 @@ def test_live_metrics_do_not_depend_on_the_batches(spark, tmp_path):
         live.write_live(source, f"{tmp_path}/out{n}", f"{tmp_path}/state{n}").awaitTermination()
         found.append(sorted(live.read_live(spark, f"{tmp_path}/out{n}").collect()))
     assert found[0] == found[1] and sum(r["n"] for r in found[0]) == 150
+
+
+def test_live_rows_keep_line_breaks_in_quotes(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    header = "timeStamp,elapsed,label,failureMessage,success,bytes"
+    rows = [f'{MS},100,Home,"first ""line""\nsecond, line",false,10', f"{MS + 1},x,API,,true,20", f'{MS + 2},300,"a\r\nb",,true,30']
+    write(inbox, "a.csv", "\n".join([header, *rows]) + "\n")
+    write(inbox, "b.csv", "\n".join([header, f"{MS + 3},400,Plain,,true,40"]) + "\n")
+    source = live.stream_jtl_csv(spark, str(inbox), header, run_id=F.lit("r"))
+    live.write_live(source, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    found = live.live_samples(spark, f"{tmp_path}/out").orderBy("timestamp_ms").collect()
+    assert [(r.elapsed, r.success, r.bytes) for r in found] == [(100, False, 10), (300, True, 30), (400, True, 40)]
+    assert found[0].failure_message == 'first "line"\nsecond, line' and found[1].label.split() == ["a", "b"]
+    assert live.live_quarantine(spark, f"{tmp_path}/out").count() == 1
+    assert live.read_live(spark, f"{tmp_path}/out").agg(F.sum("errors")).first()[0] == 1
