@@ -12,11 +12,14 @@ import numpy as np
 # Elements of running text; every other element bounds a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is never text of the page.
-SKIPPED = frozenset("script style noscript template title svg math iframe object textarea canvas audio video xmp".split())
+SKIPPED = frozenset("script style noscript template title svg iframe object textarea canvas audio video annotation annotation-xml".split())
+# Elements that run to the end of the page if nothing closes them; without an end the others hide nothing.
+TO_THE_END = frozenset("script style noscript template title iframe textarea xmp".split())
 # A start of the key ends an open element of the value, unless a bound lies between.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -32,7 +35,8 @@ DIM = PATH_DIM + WORD_DIM + NUMBERS
 
 _ATTR = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-_TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+# A quote opens a value only directly behind the equals sign.
+_TAG_END = re.compile(r"""(?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)|=)*+>""")
 _PARTS = re.compile(r"[a-z]+")
 _WORDS = re.compile(r"\w+")
 
@@ -120,7 +124,7 @@ def leaves_of(page: str) -> list[Leaf]:
     """The leaf blocks of a page in order: decoded, white space collapsed, empty ones left out.
 
     One pass over the page, whatever its faults: unclosed quotes end at the next ``>``, unclosed
-    elements where HTML lets them end, comments and skipped elements at the end of the page.
+    elements where HTML lets them end, comments and raw text at the end of the page.
     """
     out = _Blocks()
     at, quoted, lower = 0, True, None
@@ -154,12 +158,16 @@ def leaves_of(page: str) -> list[Leaf]:
         at = stop
         if closing:
             out.end(tag)
-        elif tag in SKIPPED:
+        elif tag in SKIPPED or tag == "xmp":
             if page[stop - 2 : stop] != "/>":
                 if lower is None:
                     lower = page.lower() if len(page.lower()) == len(page) else page
                 end_at = lower.find(f"</{tag}", stop)
-                at = len(page) if end_at < 0 else end_at
+                if end_at >= 0 or tag in TO_THE_END:
+                    at = len(page) if end_at < 0 else end_at
+                if tag == "xmp":  # shown as it stands
+                    out.start(tag, page[name.end() : stop - 1])
+                    out.text(page[stop:at].replace("&", "&amp;"))
         else:
             out.start(tag, page[name.end() : stop - 1])
     out.flush()

@@ -613,6 +613,19 @@ def test_leaves_of_broken_pages():
     assert texts("<p " * 20_000) == []
 
 
+def test_leaves_keep_text_behind_faults():
+    def texts(page):
+        return [x.text for x in html_blocks.leaves_of(page)]
+
+    assert texts("<p title=John's>Main text. I don't know.</p><p>b</p>") == ["Main text. I don't know.", "b"]
+    assert texts("<p title = 'a>b' x=\"c>d\">Text</p><a href=x?y=\"z>more</a>") == ["Text", "more"]
+    for tag in ("svg", "math", "video", "audio", "object", "canvas"):
+        assert texts(f"<p>a</p><{tag} x=1><p>b</p>") == ["a", "b"]
+        assert texts(f"<p>a</p><{tag}></{tag}><p>b</p>") == ["a", "b"]
+    assert texts("<p>a</p><script>if (a < b) <p>b</p>") == ["a"]
+    assert texts("<p>As <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><xmp><b>&amp;</b></xmp><p>c</p>") == ["As x=1 holds", "<b>&amp;</b>", "c"]
+
+
 def test_main_text_of_a_page(spark, weights):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p></p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
