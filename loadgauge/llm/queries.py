@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadgauge.llm import chat, html_extract, language, mixing, neighbours, pieces, quality, simhash, substrings, warc
+from loadgauge.llm import chat, html_extract, language, mixing, neighbours, pieces, quality, simhash, substrings, token_counts, warc
 from loadgauge.llm.common import n_words_of, table
 
 
@@ -62,6 +62,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.train(pages))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_chat_format": op2_chat_format,
@@ -73,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_main_text": op10_main_text,
+    "op11_token_counts": op11_token_counts,
 }
