@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadgauge.llm import chat, html_extract, language, mixing, neighbours, pieces, quality, simhash, substrings, token_counts, warc
+from loadgauge.llm import chat, html_extract, language, mixing, neighbours, pieces, quality, simhash, substrings, token_counts, warc, whitening
 from loadgauge.llm.common import n_words_of, table
 
 
@@ -66,6 +66,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_chat_format": op2_chat_format,
@@ -78,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_groups": op9_simhash_groups,
     "op10_main_text": op10_main_text,
     "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
 }
