@@ -106,10 +106,45 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM firsts
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), totals AS (
+  SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM pieces GROUP BY lang
+), starts AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces
+), counted AS (
+  SELECT lang, words[i:i + k - 1] AS ws, CAST(count(*) AS HUGEINT) AS f FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(words)
+  GROUP BY lang, words[i:i + k - 1] HAVING count(*) >= 100
+), cands AS (
+  SELECT lang, ws, f AS a FROM counted WHERE len(ws) > 1
+), cuts AS (
+  SELECT c.lang, c.ws, c.a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.a * n) // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM cands) c
+  JOIN counted l ON l.lang = c.lang AND l.ws = c.ws[1:k] JOIN counted r ON r.lang = c.lang AND r.ws = c.ws[k + 1:]
+  JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, ws[i:i + m - 1] AS ws, max(a) AS most FROM (
+    SELECT *, unnest(range(1, len(ws) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(ws))) AS m FROM cands)) GROUP BY lang, ws[i:i + m - 1]
+), ranked AS (
+  SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, a, l, r, n, score,
+         row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(array_to_string(b.ws, ' '))) AS rank
+  FROM best b LEFT JOIN inner_parts i ON i.lang = b.lang AND i.ws = b.ws WHERE i.most IS NULL OR 100 * i.most < 100 * a
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_source_mix": MIX,
     "op2_chat_format": CHAT,
     "op3_warc": WARC,
     "op5_quality_cascade": QUALITY,
     "op6_substring_dedup": SUBSTRINGS,
+    "op13_collocations": COLLOCATIONS,
 }

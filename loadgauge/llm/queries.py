@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadgauge.llm import chat, html_extract, language, mixing, neighbours, pieces, quality, simhash, substrings, token_counts, warc, whitening
+from loadgauge.llm import (
+    chat,
+    collocations,
+    html_extract,
+    language,
+    mixing,
+    neighbours,
+    pieces,
+    quality,
+    simhash,
+    substrings,
+    token_counts,
+    warc,
+    whitening,
+)
 from loadgauge.llm.common import n_words_of, table
 
 
@@ -71,6 +85,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_chat_format": op2_chat_format,
@@ -84,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
     "op11_token_counts": op11_token_counts,
     "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
