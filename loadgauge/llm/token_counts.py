@@ -171,7 +171,7 @@ def _spliced(pieces: DataFrame, counter: TokenCounter) -> DataFrame:
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["digest", "edge", "at", "n", "last", "size"])
 
-    ends = pieces.select("digest", "no", "begin", "last", "overlap", "piece").mapInArrow(run, _EDGE)
+    ends = settle(pieces.select("digest", "no", "begin", "last", "overlap", "piece").mapInArrow(run, _EDGE))
     # The left chunk's rows count tokens up to a place, the right one's take them away.
     place = F.explode(F.arrays_zip("at", "n")).alias("p")
     shared = ends.filter("edge >= 0").select("digest", "edge", place).groupBy("digest", "edge", "p.at").agg(
