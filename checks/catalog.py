@@ -1037,6 +1037,23 @@ check(
     + ", CAST(NULL AS VARCHAR) AS unread_xml FROM samples",
     kind="raw",
 )
+XML_AS_READ = "SELECT " + ", ".join(f"nullif({c}, '') AS {c}" for c in NAMES) + ", CAST(NULL AS VARCHAR) AS unread_xml FROM samples"
+check(
+    "i4_xml_cdata",
+    lambda s: read_jtl_xml(s.sparkSession, inputs.write_cdata_xml(s)).select(*NAMES, "unread_xml"),
+    XML_AS_READ.replace(
+        "nullif(failure_message, '')",
+        """CASE WHEN event_id % 5 = 0 THEN 'at ' || CAST(event_id AS VARCHAR) || '> <sample t="1" lb="ghost"/> <!-- ]] &lt; </failureMessage>'
+        ELSE nullif(failure_message, '') END""",
+    ),
+    kind="raw",
+)
+check(
+    "i4_xml_comments",
+    lambda s: read_jtl_xml(s.sparkSession, inputs.write_commented_xml(s)).select(*NAMES, "unread_xml"),
+    XML_AS_READ + " WHERE event_id % 11 <> 0",
+    kind="raw",
+)
 check(
     "i1_classify_inputs",
     _classified,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadgauge.session import shared_folder
@@ -207,11 +207,14 @@ def write_xml_files(raw: DataFrame) -> str:
     return folder
 
 
-def write_deep_xml(raw: DataFrame) -> str:
-    """XML of the raw rows, ten deep, both tags in turn, child texts behind the nested samples."""
+def _xml_elements(raw: DataFrame, failure: Column | None = None) -> DataFrame:
+    """run_id, event_id and each row's begin tag, child texts and end tag; both tags in turn.
+
+    ``failure`` is the XML of the failure's text, by default the escaped text.
+    """
     from loadgauge.model import XML_ATTRIBUTES
 
-    def escaped(name: str):
+    def escaped(name: str) -> Column:
         text = F.col(name)
         for char, entity in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
             text = F.replace(text, F.lit(char), F.lit(entity))
@@ -222,15 +225,42 @@ def write_deep_xml(raw: DataFrame) -> str:
         F.when(F.col(c).isNotNull(), F.concat(F.lit(f' {a}="'), escaped(c), F.lit('"'))).otherwise("") for a, c in XML_ATTRIBUTES.items()
     ]
     texts = [
-        F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{t}>"), escaped(c), F.lit(f"</{t}>"))).otherwise("")
-        for c, t in (("failure_message", "failureMessage"), ("url", "java.net.URL"))
+        F.when(text.isNotNull(), F.concat(F.lit(f"<{t}>"), text, F.lit(f"</{t}>"))).otherwise("")
+        for text, t in ((escaped("failure_message") if failure is None else failure, "failureMessage"), (escaped("url"), "java.net.URL"))
     ]
-    parts = raw.select(
-        "run_id", F.expr("event_id div 10").alias("nest"), "event_id",
-        F.concat(F.lit("<"), tag, *attributes, F.lit(">")).alias("begin"),
-        F.concat(*texts, F.lit("</"), tag, F.lit(">")).alias("end"),
+    return raw.select(
+        "run_id", "event_id", F.concat(F.lit("<"), tag, *attributes, F.lit(">")).alias("begin"), F.concat(*texts).alias("texts"),
+        F.concat(F.lit("</"), tag, F.lit(">")).alias("end"),
     )
+
+
+def write_deep_xml(raw: DataFrame) -> str:
+    """XML of the raw rows, ten deep, both tags in turn, child texts behind the nested samples."""
+    parts = _xml_elements(raw).select(
+        "run_id", F.expr("event_id div 10").alias("nest"), "event_id", "begin", F.concat("texts", "end").alias("end")
+    )
     nests = parts.groupBy("run_id", "nest").agg(F.sort_array(F.collect_list(F.struct("event_id", "begin", "end"))).alias("x"))
     folder = fresh_folder(raw.sparkSession, "deep-xml")
     nests.select(F.concat(F.array_join("x.begin", ""), F.array_join(F.reverse("x.end"), ""))).write.text(f"{folder}/run-x")
     return f"{folder}/run-x"
+
+
+def write_cdata_xml(raw: DataFrame) -> str:
+    """XML of the raw rows; every fifth failure's text is markup in CDATA, behind plain text."""
+    event = F.col("event_id").cast("string")
+    cdata = F.concat(F.lit("at "), event, F.lit('&gt; <![CDATA[<sample t="1" lb="ghost"/> <!-- ]] &lt; ]]><![CDATA[</failureMessage>]]>'))
+    plain = F.replace(F.replace("failure_message", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    parts = _xml_elements(raw, F.when(F.col("event_id") % 5 == 0, cdata).otherwise(plain))
+    folder = fresh_folder(raw.sparkSession, "cdata-xml")
+    parts.select(F.concat("begin", "texts", "end")).write.text(f"{folder}/run-x")
+    return f"{folder}/run-x"
+
+
+def write_commented_xml(raw: DataFrame) -> str:
+    """XML of the raw rows; those of every eleventh event are commented out, others hold comments."""
+    parts = _xml_elements(raw)
+    whole = F.concat("begin", F.lit('<!-- <sample t="1" lb="ghost"/> <![CDATA[ -->'), "texts", F.lit("<?note <sample/> ?>"), "end")
+    hidden = F.concat(F.lit("<!-- old: "), "begin", "texts", F.lit("<![CDATA[ ]]>"), "end", F.lit(" -->"))
+    folder = fresh_folder(raw.sparkSession, "commented-xml")
+    parts.select(F.when(F.col("event_id") % 11 == 0, hidden).otherwise(whole)).write.text(f"{folder}/run-x")
+    return f"{folder}/run-x"

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from loadgauge.model import XML_ATTRIBUTES
 from loadgauge.plans.joining import settle
+from loadgauge.sources.xml_sections import MARKUP, closes, continued_texts, opens, with_states
 
 # The element and child names of a result file.
 TAGS = ["httpSample", "sample"]
@@ -38,17 +39,24 @@ def _records(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     step = F.when(F.col("name").rlike("^[!?]") | ~whole | (own_end & ~F.col("closing")), 0)
     step = step.when(F.col("closing"), -1).otherwise(1)
     sample = F.col("name").isin(TAGS) & ~F.col("closing")
-    behind = F.expr("substring(value, length(head) + 1)")
-    inner = F.expr("rtrim('/', substring(head, 1, length(head) - 1))")
     return tags.select(
         "source_file", "split", "id", step.alias("step"), sample.alias("is_sample"),
         F.when(F.col("name").isin(FAILURE, URL) & (step == 1), F.col("name")).alias("child"),
-        F.when(sample & whole, F.concat(F.lit("<"), inner, F.lit("/>"))).alias("element"),
-        F.when(F.col("name").isin(FAILURE, URL), behind).alias("text"),
-        F.when(sample & ~whole, value).alias("unread_xml"),
+        F.length("head").alias("head_size"), opens(value).alias("opens"), closes(value).alias("closes"), "value",
     )
 
 
+def _tags(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """The stored records; those that begin inside a comment, CDATA section or instruction are no tags."""
+    stated = with_states(settle(_records(spark, paths)))
+    tag = F.col("state") == MARKUP
+    return stated.withColumns({
+        "step": F.when(tag, F.col("step")).otherwise(0),
+        "is_sample": F.col("is_sample") & tag,
+        "child": F.when(tag, F.col("child")),
+    })
+
+
 def _parents(records: DataFrame) -> DataFrame:
     """id of each child text and of the sample whose direct child it is.
 
@@ -89,20 +97,30 @@ def read_jtl_xml(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
 
     The files are read once, as text that ends at every ``<``; so Spark splits them anywhere, and
     each record holds one tag with all its attributes, at whatever depth.  Child texts join the
-    sample that they lie in directly; of several, the first counts.  A sample tag that the end
-    of the file cuts off, or that is no XML, comes out as a row with its text in unread_xml, which
-    cleaning sets aside with a reason.  A ``<`` inside a comment or a CDATA section starts a
-    record like any other, and a child's text is what stands before its first inner tag or CDATA.
+    sample that they lie in directly; of several, the first counts.  A child's text is what stands
+    before its first inner tag or comment, with the content of CDATA sections as it is.  What stands in
+    comments, CDATA sections and processing instructions is no sample, also where a section
+    goes on over splits.  A sample tag that the end of the file cuts off, or that is no XML, and the
+    beginning of a section that is never closed, come out as rows with their text in unread_xml,
+    which cleaning sets aside with a reason.
     """
-    records = settle(_records(spark, paths))
-    texts = records.filter("child is not null").select("id", "child", "text")
+    records = _tags(spark, paths)
+    behind = F.expr("substring(value, head_size + 1)")
+    texts = records.filter("child is not null").select("id", "child", behind.alias("text"))
+    more = continued_texts(records)
+    if more is not None:
+        texts = settle(texts.join(more, "id", "left").select("id", "child", F.concat("text", F.coalesce("more", F.lit(""))).alias("text")))
     children = settle(texts.select("id", "child").join(_parents(records), "id"))
     first = children.groupBy("parent", "child").agg(F.min("id").alias("id"))
+    whole = F.col("head_size") > 0
+    element = F.concat(F.lit("<"), F.expr("rtrim('/', substring(value, 1, head_size - 1))"), F.lit("/>"))
+    cut_off = F.col("unclosed") | ~whole
     fields = [T.StructField(f"_{name}", T.StringType()) for name in XML_ATTRIBUTES]
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"attributePrefix": "_", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": _CORRUPT}
-    parsed = records.filter("is_sample").withColumn("e", F.from_xml("element", schema, options))
-    unread = F.coalesce("unread_xml", F.col(f"e.{_CORRUPT}"))
+    found = records.filter("is_sample OR unclosed").select("id", "source_file", F.when(~cut_off, element).alias("element"), F.when(cut_off, F.col("value")).alias("cut"))
+    parsed = found.withColumn("e", F.from_xml("element", schema, options))
+    unread = F.coalesce("cut", F.col(f"e.{_CORRUPT}"))
     samples = parsed.select("id", "source_file", "e", unread.alias("unread_xml"))
     for child, name in ((FAILURE, "failure_message"), (URL, "url")):
         said = first.filter(F.col("child") == child).drop("child").join(texts.drop("child"), "id")
