@@ -37,10 +37,10 @@ WORDS = 1 << 20  # words of a shard of the vocabulary
 HASHES = 1 << 22  # hashes of a shard of frequent ones
 SEQUENCES = 1 << 18  # candidates of one trie
 BITS = 24  # the bitmaps of frequent phrases have 2^24 bits
-BLOCK_BYTES = 1 << 18
-HELD_BYTES = 1 << 23  # texts of all languages that a task holds back to fill blocks
-HELD_COUNTS = 1 << 19  # distinct words or phrases that a task adds up before it sends them
-HELD_HASHES = 1 << 21
+BLOCK_BYTES = 1 << 17
+HELD_BYTES = 1 << 22  # texts of all languages that a task holds back to fill blocks
+HELD_COUNTS = 1 << 16  # distinct words or phrases that a task adds up before it sends them
+HELD_HASHES = 1 << 19
 
 # Bytes that UTF-8 never has: a break between pieces, and the mark of a language's entry.
 _BREAK, _LANG = b"\xff", b"\xfe"
@@ -94,6 +94,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
             yield lang.as_py(), text.as_py()
 
 
+def _summed(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: the sum of the tasks' counts.
+
+    Each task has added up its own already; dealt out before they are grouped, the rows
+    are not held in a second table before the shuffle.  The parts are no fewer than Spark's own and small.
+    """
+    spark = counts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return counts.repartition(parts, *keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def _lang_word(lang: str) -> bytes:
     return _LANG + lang.encode().hex().encode()
 
@@ -101,27 +112,23 @@ def _lang_word(lang: str) -> bytes:
 def word_counts(texts: DataFrame, min_count: int) -> DataFrame:
     """lang, word (bytes), n of the frequent words; word is null for the sum over all words of a lang."""
 
-    def rows_of(counts: Counter) -> pa.RecordBatch:
-        langs, words = zip(*counts, strict=True) if counts else ((), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"]
-        )
+    def rows_of(by_lang: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        while by_lang:
+            lang, counts = by_lang.popitem()
+            del counts[_BREAK]
+            counts[None] = counts.total()
+            columns = [pa.repeat(pa.scalar(lang), len(counts)), pa.array(counts, pa.binary()), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang: dict[str, Counter] = {}
         for lang, words, seen in word_blocks(_texts(batches), 0):
             by_lang.setdefault(lang, Counter()).update(words[seen:])
             if sum(map(len, by_lang.values())) > HELD_COUNTS:
-                yield from map(rows_of, keyed(by_lang))
-                by_lang = {}
-        yield from map(rows_of, keyed(by_lang))
-
-    def keyed(by_lang: dict[str, Counter]) -> Iterator[Counter]:
-        for lang, counts in by_lang.items():
-            del counts[_BREAK]
-            yield Counter({(lang, word): n for word, n in counts.items()} | {(lang, None): counts.total()})
+                yield from rows_of(by_lang)
+        yield from rows_of(by_lang)
 
-    found = texts.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = _summed(texts.mapInArrow(count, "lang string, word binary, n long"), ["lang", "word"])
     return settle(found.filter(F.col("word").isNull() | (F.col("n") >= min_count)))
 
 
@@ -259,7 +266,7 @@ def frequent_hashes(blocks: DataFrame, bitmaps: Broadcast, min_count: int) -> Da
                     keys, counts, held = [], [], 0
         yield from rows_of(keys, counts)
 
-    sums = blocks.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    sums = _summed(blocks.mapInArrow(count, "h long, n long"), ["h"])
     return settle(sums.filter(F.col("n") >= min_count).select("h"))
 
 
