@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadgauge.model import HEADER_NAMES, SAMPLES_SCHEMA
+from loadgauge.plans.joining import settle
 
 CANONICAL = SAMPLES_SCHEMA.fieldNames()
 
@@ -72,3 +74,90 @@ def read_jtl_csv(
     )
     source = F.col("_metadata.file_path").alias("source_file")
     return raw.select(*canonical_columns(column_positions(names)), source)
+
+
+def _open_quotes(line: Column, delimiter: str) -> tuple[Column, Column]:
+    """Whether a line leaves a quoted field open, if it begins outside of one, and if inside.
+
+    Only a quote at the beginning of a field opens it; any other is text, as for Spark's parser.
+    """
+    other = rf"[^{re.escape(delimiter)}]*+"
+    quoted = r'"(?:[^"]|"")*+"'
+    field = rf'(?:{quoted}{other}|(?!"){other})'
+    rest = rf"{re.escape(delimiter)}(?:{field}{re.escape(delimiter)})*+"
+    opened = r'"(?:[^"]|"")*+$'
+    outside = F.rlike(line, F.lit(rf"(?s)^(?:{field}{re.escape(delimiter)})*+{opened}"))
+    inside = F.rlike(line, F.lit(rf'(?s)^(?:(?:[^"]|"")*+$|(?:[^"]|"")*+"{other}{rest}{opened})'))
+    return outside, inside
+
+
+def _records(lines: DataFrame, delimiter: str) -> DataFrame:
+    """lines(source_file, split, id, value) -> source_file, split, id, value, a row per record.
+
+    A line maps the state it begins in (outside or inside quotes) to the one it ends in: it keeps it,
+    swaps it, or fixes it.  So the state behind a line is that of the last line before it that
+    fixed one, swapped as often as lines since then swap; the splits of a file are put together by the
+    same rule.  Lines of records of one line stay where they are; the others go on to their first.
+    """
+    outside, inside = _open_quotes(F.col("value"), delimiter)
+    file_split = ["source_file", "split"]
+    kinds = lines.select(*file_split, "id", outside.alias("out"), inside.alias("in"))
+    kinds = settle(kinds.select(*file_split, "id", (F.col("out") & ~F.col("in")).cast("int").alias("swap"), F.when(F.col("out") == F.col("in"), F.col("out").cast("int")).alias("fixed"), "out"))
+
+    def state(window, swap: Column, fixed: Column) -> Column:
+        # A fixed state, freed of the swaps up to its place; those up to here are added again.
+        swaps = F.coalesce(F.sum(swap).over(window), F.lit(0))
+        return F.struct(swaps.alias("swaps"), F.last(fixed, ignorenulls=True).over(window).alias("fixed"))
+
+    in_split = Window.partitionBy(*file_split).orderBy("id")
+    running = kinds.withColumn("upto", F.sum("swap").over(in_split.rowsBetween(Window.unboundedPreceding, 0)))
+    running = running.withColumn("fixed", F.pmod(F.col("fixed") - F.col("upto"), F.lit(2)))
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    running = running.withColumn("s", state(before, F.col("swap"), F.col("fixed")))
+    ends = running.groupBy(*file_split).agg(F.sum("swap").alias("swap"), F.max_by("fixed", F.when(F.col("fixed").isNotNull(), F.col("id"))).alias("fixed"))
+    by_split = Window.partitionBy("source_file").orderBy("split")
+    ends = ends.withColumn("upto", F.sum("swap").over(by_split.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = ends.withColumn("fixed", F.pmod(F.col("fixed") - F.coalesce("upto", F.lit(0)), F.lit(2)))
+    first = ends.select(*file_split, state(by_split.rowsBetween(Window.unboundedPreceding, -1), F.col("swap"), F.col("fixed")).alias("f"))
+    entered = F.pmod(F.coalesce("f.fixed", F.lit(0)) + F.col("f.swaps"), F.lit(2))
+    begun = running.join(first.select(*file_split, entered.alias("entered")), file_split)
+    within = F.pmod(F.coalesce("s.fixed", "entered") + F.col("s.swaps"), F.lit(2)) == 1
+    begun = begun.select(*file_split, "id", within.alias("within"), F.col("out"))
+    upto_here = in_split.rowsBetween(Window.unboundedPreceding, 0)
+    owner = F.last(F.when(~F.col("within"), F.col("id")), ignorenulls=True)
+    placed = begun.withColumn("owner", owner.over(upto_here))
+    lasts = placed.groupBy(*file_split).agg(F.max("owner").alias("last"))
+    carried = F.last("last", ignorenulls=True).over(by_split.rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.join(lasts.select(*file_split, carried.alias("carried")), file_split)
+    parts = settle(placed.filter("within OR out").select("id", F.coalesce("owner", "carried").alias("owner")))
+    alone = lines.join(parts, "id", "left_anti").select(*file_split, "id", "value")
+    part = F.struct("split", "id", "value")
+    joined = lines.join(parts, "id").groupBy("source_file", "owner").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    joined = joined.select("source_file", F.get("parts.split", F.lit(0)).alias("split"), F.col("owner").alias("id"), F.array_join("parts.value", "\n").alias("value"))
+    return alone.unionByName(joined)
+
+
+def read_broken_csv(spark: SparkSession, paths: Sequence[str] | str, header: str, delimiter: str = ",") -> DataFrame:
+    """Like ``read_jtl_csv`` with ``multi_line``, but a file is worked on in as many tasks as it has splits.
+
+    Lines are read as text and put together to records, also over splits.  Line breaks inside quotes
+    stay as the file has them (Spark's parser shortens those of two characters).  The first record of a
+    file that is not blank is its header.  A quote that is never closed takes the rest of its file, as
+    it does for Spark's parser.
+    """
+    names = header_columns(header, delimiter)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    found = spark.read.option("lineSep", "\n").text(paths if isinstance(paths, str) else list(paths))
+    lines = settle(
+        found.select(
+            F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("id"), "value",
+        )
+    )
+    records = _records(lines, delimiter).filter(F.trim(F.replace("value", F.lit("\r"))) != "")
+    headers = records.groupBy("source_file").agg(F.min(F.struct("split", "id")).alias("h")).select(F.col("h.id").alias("id"))
+    rows = records.join(settle(headers), "id", "left_anti")
+    text = F.when(F.endswith("value", F.lit("\r")), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+    parsed = rows.select(F.from_csv(text, schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r"), "source_file")
+    return parsed.select("r.*", "source_file").select(*canonical_columns(column_positions(names)), "source_file")

@@ -16,7 +16,7 @@ from loadgauge.model import QUARANTINE_SCHEMA, SAMPLES_SCHEMA
 from loadgauge.operators.summary import label_aggregate
 from loadgauge.plans.joining import settle
 from loadgauge.sources.cleaning import assess
-from loadgauge.sources.csv_files import read_jtl_csv
+from loadgauge.sources.csv_files import read_broken_csv, read_jtl_csv
 from loadgauge.sources.detect import classify_inputs, literal_path
 from loadgauge.sources.tables import RUN
 from loadgauge.sources.xml_files import read_jtl_xml
@@ -57,8 +57,9 @@ def read_raw(
     """Raw strings of all files, with source_file; one scan per kind of file.
 
     Only file names come to the driver, grouped by format, delimiter and header.  CSV files with
-    line breaks inside quotes are found by a pass over their lines and read whole by one task
-    each, the others are split; ``multi_line`` says instead that all or none have any.  A file
+    line breaks inside quotes are found by a pass over their lines and put together from lines, the
+    others go to Spark's parser; ``multi_line`` says instead that all or none have any.  Either are
+    split.  A file
     that is neither CSV nor XML raises.  ``kinds`` is the result of ``classify_inputs``.
     """
     kinds = classify_inputs(spark, paths) if kinds is None else kinds
@@ -77,7 +78,8 @@ def read_raw(
             for whole in (True, False):
                 part = [n for n, p in zip(names, group.paths, strict=True) if (bool(multi_line) or _plain_path(p) in broken) == whole]
                 if part:
-                    scans.append(read_jtl_csv(spark, part, group.header, mark, whole))
+                    read = read_broken_csv if whole else read_jtl_csv
+                    scans.append(read(spark, part, group.header, mark))
         elif group.format == "xml":
             scans.append(read_jtl_xml(spark, names))
         else:
