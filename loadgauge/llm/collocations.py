@@ -36,6 +36,7 @@ NO_LANG = "und"
 WORDS = 1 << 20  # words of a shard of the vocabulary
 HASHES = 1 << 22  # hashes of a shard of frequent ones
 SEQUENCES = 1 << 18  # candidates of one trie
+SLICE = 1 << 12  # states whose counts travel together
 BITS = 24  # the bitmaps of frequent phrases have 2^24 bits
 BLOCK_BYTES = 1 << 17
 HELD_BYTES = 1 << 22  # texts of all languages that a task holds back to fill blocks
@@ -420,6 +421,18 @@ def end_states(trie: DoubleArray, ids: np.ndarray, seen: int, length: int) -> np
     return states[at + length - 1 >= seen]
 
 
+def _slice_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """state, f: the tasks' slices added up, however many tasks there were."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for place, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = np.frombuffer(counts.as_buffer(), "<i8")
+            sums[place] = sums[place] + part if place in sums else part
+    for place, part in sums.items():
+        states = np.flatnonzero(part)
+        yield pa.RecordBatch.from_arrays([pa.array((states + place * SLICE).astype(np.int32)), pa.array(part[states])], ["state", "f"])
+
+
 def counted_phrases(blocks: DataFrame, found: DataFrame, length: int, min_count: int, shard: int = SEQUENCES) -> DataFrame | None:
     """phrase, f of the candidates that are frequent; None without candidates."""
     spark = blocks.sparkSession
@@ -443,10 +456,14 @@ def counted_phrases(blocks: DataFrame, found: DataFrame, length: int, min_count:
                     held = []
             if held:
                 total += np.bincount(np.concatenate(held), minlength=len(total))
-            states = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(states.astype(np.int32)), pa.array(total[states])], ["state", "f"])
-
-        sums = blocks.mapInArrow(count, "state int, f long").groupBy("state").agg(F.sum("f").alias("f"))
+            for place in range(0, len(total), SLICE):
+                part = total[place : place + SLICE]
+                if part.any():
+                    columns = [pa.array([place // SLICE], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["slice", "counts"])
+
+        slices = blocks.mapInArrow(count, "slice int, counts binary")
+        sums = slices.repartition(spark.sparkContext.defaultParallelism, "slice").mapInArrow(_slice_sums, "state int, f long")
         # At most a row per candidate of the shard.
         rows = sums.filter(F.col("f") >= min_count).toArrow()
         f_of = np.zeros(len(trie.check), np.int64)
