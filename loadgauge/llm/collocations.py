@@ -279,7 +279,12 @@ def candidates(blocks: DataFrame, bitmaps: Broadcast, hashes: DataFrame, length:
         sent = spark.sparkContext.broadcast(np.sort(part.column("h").to_numpy().view(np.uint64)))
 
         def read(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            wanted, rows = sent.value, set()
+            wanted, held, size = sent.value, [], 0
+
+            def batch_of() -> pa.RecordBatch:
+                rows = np.unique(np.concatenate(held)) if held else np.empty(0, f"V{4 * length + 4}")
+                return _phrase_batch(rows.view("<i4").reshape(-1, length + 1))
+
             for seen, ids in _id_arrays(batches):
                 at, h = safe_positions(ids, seen, bitmaps.value)
                 at = at[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h] if len(wanted) else at[:0]
@@ -287,13 +292,19 @@ def candidates(blocks: DataFrame, bitmaps: Broadcast, hashes: DataFrame, length:
                 phrases[:, 0] = ids[0]
                 for i in range(length):
                     phrases[:, i + 1] = ids[at + i + 1]
-                rows.update(np.unique(phrases.view(f"V{4 * length + 4}")).tolist())
-                if len(rows) > HELD_COUNTS:
-                    yield _phrase_batch(np.frombuffer(b"".join(rows), "<i4").reshape(-1, length + 1))
-                    rows = set()
-            yield _phrase_batch(np.frombuffer(b"".join(rows), "<i4").reshape(-1, length + 1))
-
-        rows = settle(blocks.mapInArrow(read, "phrase array<int>").distinct())
+                held.append(np.unique(phrases.view(f"V{4 * length + 4}")))
+                size += len(held[-1])
+                if size > HELD_HASHES:
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0])
+                    if size > HELD_HASHES // 2:
+                        yield batch_of()
+                        held, size = [], 0
+            yield batch_of()
+
+        # No more tasks than cores: each names a candidate once, however often it meets it.
+        few = blocks.coalesce(max(1, spark.sparkContext.defaultParallelism))
+        rows = settle(few.mapInArrow(read, "phrase array<int>").distinct())
         found = rows if found is None else found.unionByName(rows)
     return found
 
