@@ -1017,6 +1017,12 @@ check(
     || '"second" ' || CAST(event_id AS VARCHAR) ELSE nullif(failure_message, '') END"""),
     kind="raw",
 )
+check(
+    "i2_csv_many_headers",
+    lambda s: ingest.read_raw(s.sparkSession, [f"{inputs.write_varied_csv(s)}/*"]).select(*NAMES),
+    AS_READ.replace("SELECT run_id, ", "SELECT "),
+    kind="raw",
+)
 check(
     "i3_map_columns",
     _mapped,

@@ -173,6 +173,30 @@ def write_csv_files(raw: DataFrame) -> str:
     return folder
 
 
+VARIANTS = 30
+
+
+def write_varied_csv(raw: DataFrame) -> str:
+    """CSV files of the raw rows, a folder per variant: columns turned round by another number, other delimiters."""
+    folder, names = fresh_folder(raw.sparkSession, "varied"), list(CSV_NAMES)
+    variant = F.col("event_id") % VARIANTS
+    line = header = None
+    for v in range(VARIANTS):
+        turned = names[v % len(names) :] + names[: v % len(names)]
+        mark = ",;\t"[v % 3]
+        title = F.lit(mark.join(["dataType", *[CSV_NAMES[c] for c in turned], f"extra{v}"]))
+        cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in turned]
+        row = F.concat_ws(mark, F.lit("text"), *cells, F.lit("more"))
+        is_it = F.col("variant") == v
+        line = F.when(is_it, row) if line is None else line.when(is_it, row)
+        header = F.when(is_it, title) if header is None else header.when(is_it, title)
+    rows = raw.withColumn("variant", variant).select("variant", F.col("event_id").alias("at"), line.alias("value"))
+    heads = rows.select("variant").distinct().select("variant", F.lit(-1).cast("long").alias("at"), header.alias("value"))
+    whole = rows.unionByName(heads).repartition("variant").sortWithinPartitions("variant", "at")
+    whole.select("variant", "value").write.partitionBy("variant").text(folder)
+    return folder
+
+
 def run_of_folder(path):
     return F.element_at(F.split(path, "/"), -2)
 

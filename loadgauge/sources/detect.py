@@ -22,7 +22,7 @@ LONGEST_HEAD = 1 << 20
 # The functions below travel to the executors, which need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KINDS_SCHEMA = "path string, bytes long, format string, delimiter string, header string"
+KINDS_SCHEMA = "path string, bytes long, format string, delimiter string, header string, source_file string"
 
 
 def file_format(head: bytes) -> str:
@@ -78,22 +78,23 @@ def _read_head(path: str) -> bytes:
 def _classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for path, size in zip(batch["path"], batch["bytes"], strict=True):
+        for path, size, source in zip(batch["path"], batch["bytes"], batch["source_file"], strict=True):
             head = _read_head(path)
             kind, delimiter, header = file_format(head), None, None
             if kind == "csv":
                 text = head.decode("utf-8-sig", errors="replace").lstrip("\r\n")
                 delimiter = csv_delimiter(text)
                 header = text.split("\n", 1)[0].rstrip("\r")
-            rows.append((path, size, kind, delimiter, header))
-        yield pd.DataFrame(rows, columns=["path", "bytes", "format", "delimiter", "header"])
+            rows.append((path, size, kind, delimiter, header, source))
+        yield pd.DataFrame(rows, columns=["path", "bytes", "format", "delimiter", "header", "source_file"])
 
 
 def classify_inputs(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """path, bytes, format, delimiter, header of every file below the paths.
+    """path, bytes, format, delimiter, header, source_file of every file below the paths.
 
     Spark lists the files; each task opens its share of them and reads only the head.
+    ``source_file`` is the path as Spark's readers give it beside the rows they read.
     """
     files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
-    listed = files.select("path", F.col("length").alias("bytes"))
+    listed = files.select("path", F.col("length").alias("bytes"), F.col("_metadata.file_path").alias("source_file"))
     return listed.mapInPandas(_classify, KINDS_SCHEMA)

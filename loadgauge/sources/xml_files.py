@@ -22,9 +22,12 @@ _NAME = r"^/?([^\s/>]+)"
 _CORRUPT = "_corrupt_record"
 
 
-def _records(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+def _records(spark: SparkSession, paths: Sequence[str] | str, files: DataFrame | None) -> DataFrame:
     """One row per tag, in the order of (source_file, split, id), with the text behind it."""
     found = spark.read.option("lineSep", "<").text(paths if isinstance(paths, str) else list(paths))
+    if files is not None:
+        named = found.select("*", "_metadata").withColumn("source_file", F.col("_metadata.file_path"))
+        found = named.join(files.select("source_file"), "source_file", "left_semi")
     value = F.col("value")
     tags = found.select(
         F.col("_metadata.file_path").alias("source_file"),
@@ -46,9 +49,9 @@ def _records(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     )
 
 
-def _tags(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+def _tags(spark: SparkSession, paths: Sequence[str] | str, files: DataFrame | None) -> DataFrame:
     """The stored records; those that begin inside a comment, CDATA section or instruction are no tags."""
-    stated = with_states(settle(_records(spark, paths)))
+    stated = with_states(settle(_records(spark, paths, files)))
     tag = F.col("state") == MARKUP
     return stated.withColumns({
         "step": F.when(tag, F.col("step")).otherwise(0),
@@ -92,7 +95,7 @@ def _parents(records: DataFrame) -> DataFrame:
     return found.select("id", F.col("up.id").alias("parent"))
 
 
-def read_jtl_xml(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+def read_jtl_xml(spark: SparkSession, paths: Sequence[str] | str, files: DataFrame | None = None) -> DataFrame:
     """Canonical raw strings, source_file and unread_xml from XML files.
 
     The files are read once, as text that ends at every ``<``; so Spark splits them anywhere, and
@@ -102,9 +105,9 @@ def read_jtl_xml(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     comments, CDATA sections and processing instructions is no sample, also where a section
     goes on over splits.  A sample tag that the end of the file cuts off, or that is no XML, and the
     beginning of a section that is never closed, come out as rows with their text in unread_xml,
-    which cleaning sets aside with a reason.
+    which cleaning sets aside with a reason.  ``files`` (source_file) leaves out other files below the paths.
     """
-    records = _tags(spark, paths)
+    records = _tags(spark, paths, files)
     behind = F.expr("substring(value, head_size + 1)")
     texts = records.filter("child is not null").select("id", "child", behind.alias("text"))
     more = continued_texts(records)
