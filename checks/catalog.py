@@ -976,7 +976,7 @@ def _quarantined(s: DataFrame) -> DataFrame:
     return tables.read_quarantine(s.sparkSession, path).drop("row_index")
 
 
-def _streams(s: DataFrame) -> list[str]:
+def _streams(s: DataFrame, merge_every: int = live.MERGE_EVERY) -> list[str]:
     """All runs as streams, one per header, a file at a time, the oldest run last."""
     spark, folder, outs = s.sparkSession, inputs.write_csv_files(s), []
     for run, (columns, delimiter) in reversed(inputs.CSV_LAYOUTS.items()):
@@ -985,7 +985,7 @@ def _streams(s: DataFrame) -> list[str]:
             spark, f"{folder}/{run}", header, delimiter, inputs.run_of_folder(F.col("source_file")), files_per_trigger=1
         )
         outs.append(inputs.fresh_folder(spark, "live"))
-        live.write_live(raw, outs[-1], inputs.fresh_folder(spark, "state")).awaitTermination()
+        live.write_live(raw, outs[-1], inputs.fresh_folder(spark, "state"), merge_every=merge_every).awaitTermination()
     return outs
 
 
@@ -994,6 +994,11 @@ def _streamed(s: DataFrame) -> DataFrame:
     return live.bucket_metrics(reduce(DataFrame.unionByName, counts))
 
 
+def _merged_labels(s: DataFrame) -> DataFrame:
+    found = [live.live_samples(s.sparkSession, out) for out in _streams(s, merge_every=2)]
+    return summary.label_summary(reduce(DataFrame.unionByName, found))
+
+
 def _streamed_quarantine(s: DataFrame) -> DataFrame:
     found = [live.live_quarantine(s.sparkSession, out) for out in _streams(s)]
     return reduce(DataFrame.unionByName, found).select("run_id", "reason")
@@ -1114,6 +1119,13 @@ check(
     "error_rate p50 p90 p95 p99",
     "raw",
 )
+check(
+    "s1_merged_batches",
+    _merged_labels,
+    LABEL_SUMMARY.replace("FROM samples", f"FROM ({GOOD}) g"),
+    LABEL_SUMMARY_DOUBLES,
+    "raw",
+)
 check(
     "s1_live_quarantine",
     _streamed_quarantine,

@@ -17,7 +17,9 @@ from loadgauge.plans.histogram import quantile, ranked
 from loadgauge.sources.cleaning import REASON_FIELDS, assess
 from loadgauge.sources.csv_files import canonical_columns, column_positions, header_columns
 from loadgauge.sources.ingest import run_of_file
+from loadgauge.streaming.compaction import KIND, compact, read_manifest, stored
 
+MERGE_EVERY = 16
 LEVELS = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
@@ -54,7 +56,13 @@ def stream_jtl_csv(
 
 
 def write_live(
-    raw: DataFrame, out: str, checkpoint: str, b: int = 10, keys: Sequence[str] = RUN_KEYS, trigger: dict | None = None
+    raw: DataFrame,
+    out: str,
+    checkpoint: str,
+    b: int = 10,
+    keys: Sequence[str] = RUN_KEYS,
+    trigger: dict | None = None,
+    merge_every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """Start the query that stores a raw stream below ``out``: samples, quarantine and counts.
 
@@ -62,11 +70,16 @@ def write_live(
     and its own counts per (keys, bucket, elapsed), which readers add up.  So the result does not
     depend on how files fall into batches, and runs may arrive in any order.  A repeated batch
     replaces its folders.  The folders carry the name of their checkpoint; going on with another
-    checkpoint would read all files again, and is refused.
+    checkpoint would read all files again, and is refused.  After ``merge_every`` batches their
+    folders are merged (see ``compaction``), so a stream of any age leaves few.
     """
+    if merge_every < 2:
+        raise ValueError("merge_every must be 2 or more")
     spark = raw.sparkSession
     stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
-    if _stored(spark, f"{out}/counts") and spark.read.parquet(f"{out}/counts").filter(F.col("stream") != stream).take(1):
+    manifest = read_manifest(spark, out)
+    batches = _stored(spark, f"{out}/counts") and spark.read.parquet(f"{out}/counts").filter(F.col("stream") != stream).take(1)
+    if batches or (manifest and manifest.stream != stream):
         raise ValueError(f"{out} belongs to another checkpoint")
 
     def save(batch: DataFrame, number: int) -> None:
@@ -80,6 +93,9 @@ def write_live(
             F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors")
         )
         counts.write.mode("overwrite").parquet(f"{out}/counts/{place}")
+        # Only the batches before this one: it may run again, they may not.
+        schemas = {"rows": T.StructType([f for f in assessed.schema if f != KIND] + [KIND]), "counts": counts.schema}
+        compact(batch.sparkSession, out, stream, number, schemas, merge_every)
 
     return (
         raw.writeStream.foreachBatch(save)
@@ -100,7 +116,7 @@ def _stored(spark: SparkSession, path: str) -> bool:
 def read_live(spark: SparkSession, out: str, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """keys, bucket, elapsed, n, errors: the counts of all batches so far."""
     return (
-        spark.read.parquet(f"{out}/counts")
+        stored(spark, out, "counts")
         .groupBy(*run_keys(keys), F.timestamp_millis("bucket").alias("bucket"), "elapsed")
         .agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
     )
@@ -108,12 +124,12 @@ def read_live(spark: SparkSession, out: str, keys: Sequence[str] = RUN_KEYS) ->
 
 def live_samples(spark: SparkSession, out: str) -> DataFrame:
     """The good rows of all batches so far."""
-    return spark.read.parquet(f"{out}/rows").filter("kind = 'samples'").drop("kind", "stream", "batch", *REASON_FIELDS)
+    return stored(spark, out, "rows").filter("kind = 'samples'").drop("kind", *REASON_FIELDS)
 
 
 def live_quarantine(spark: SparkSession, out: str) -> DataFrame:
     """The bad rows of all batches so far, with reason and text as read."""
-    return spark.read.parquet(f"{out}/rows").filter("kind = 'quarantine'").select("run_id", *REASON_FIELDS)
+    return stored(spark, out, "rows").filter("kind = 'quarantine'").select("run_id", *REASON_FIELDS)
 
 
 def bucket_metrics(counts: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
