@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadgauge.plans.joining import settle
+
 SPACES = " \t\n\x0b\x0c\r"
 # Words are runs of anything but the six ASCII spaces.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -57,3 +59,23 @@ def one_row_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(first)
     keyed = keyed.select(id_col, "__row.*").select(docs.columns)
     return keyed.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def with_row_key(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` that tells every row apart and rises with ``id_col``.
+
+    Where no id is null or repeated, it is the id.  Else the table is stored in the order of its
+    ids (null last), then of a digest of all columns, and ``name`` is a long that rises in that
+    order; rows equal in every column are dealt keys by their place, so a share of rows without id
+    spreads over all tasks.
+    """
+    unnamed = docs.filter(F.col(id_col).isNull())
+    repeated = docs.groupBy(id_col).count().filter("count > 1")
+    if not unnamed.take(1) and not repeated.take(1):
+        return docs.withColumn(name, F.col(id_col))
+    digest, place = free_name(docs, "__digest"), free_name(docs, "__place")
+    all_columns = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+    order = [F.col(id_col).isNull(), F.col(id_col), F.col(digest), F.col(place)]
+    rows = docs.withColumns({digest: F.sha2(all_columns, 256), place: F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return settle(rows.drop(digest, place).withColumn(name, F.monotonically_increasing_id()))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadgauge.llm.common import free_name, n_words_of, one_row_per_id, words_of
+from loadgauge.llm.common import free_name, n_words_of, with_row_key, words_of
 from loadgauge.plans.joining import join_facts, settle
 
 WEIGHTS = (5, 2, 1)
@@ -102,11 +102,12 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, the last epoch cut in part.
 
     A document that the budget cuts appears once more with its first words only, up to the cut.
-    Rows that repeat an id count as one document; rows without id cannot be placed again and are
-    left out.  The columns of ``docs`` stay as they are.
+    Every row is a document, with or without id, repeated or not.  The columns of ``docs`` stay as
+    they are.
     """
-    docs = one_row_per_id(docs.filter(F.col("doc_id").isNotNull()), "doc_id", "text")
-    plan = mix(docs, n_words_of(F.col("text")), **options).filter("taken > 0")
+    columns, key = docs.columns, free_name(docs, "__key")
+    docs = with_row_key(docs, "doc_id", key)
+    plan = mix(docs, n_words_of(F.col("text")), id_col=key, **options).filter("taken > 0")
     ident, size, taken, keep = (free_name(docs, n) for n in ("__id", "__size", "__taken", "__keep"))
     plan = plan.select(F.col("doc_id").alias(ident), F.col("size").alias(size), F.col("taken").alias(taken))
     whole = F.floor(F.col(taken) / F.col(size)).cast("int")
@@ -114,7 +115,7 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     copies = F.array_repeat(F.col(size), whole)
     copies = F.when(cut > 0, F.concat(copies, F.array(cut))).otherwise(copies)
     planned = plan.select(ident, size, F.explode(copies).alias(keep))
-    joined = docs.join(planned, docs["doc_id"] == planned[ident])
+    joined = docs.join(planned, docs[key] == planned[ident])
     words = F.slice(words_of(F.col("text")), 1, F.col(keep).cast("int"))
     text = F.when(F.col(keep) == F.col(size), F.col("text")).otherwise(F.array_join(words, " "))
-    return joined.withColumn("text", text).select(docs.columns)
+    return joined.withColumn("text", text).select(columns)

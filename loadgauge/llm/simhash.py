@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadgauge.llm.common import WORD_BYTES, free_name, one_row_per_id
+from loadgauge.llm.common import WORD_BYTES, free_name, with_row_key
 from loadgauge.llm.components import components
 from loadgauge.plans.joining import settle
 
@@ -191,13 +191,14 @@ def hex_digits(fp: Column) -> Column:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of their group; the columns of ``docs`` as they are.
+    """One document of each group, that with the smallest id; the columns of ``docs`` as they are.
 
-    Rows that repeat an id count as one document, with the least text; rows without id go, as
-    nothing tells them apart.
+    Every row is a document.  Of rows that share their group's smallest id, one stays; groups
+    whose rows all lack an id keep one as well.
     """
-    docs = one_row_per_id(docs, "doc_id", "text")
-    groups = near_duplicates(docs)
-    ident = free_name(docs, "__id")
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(ident)).distinct()
-    return docs.join(keep, docs["doc_id"] == keep[ident], "left_semi").select(docs.columns)
+    key = free_name(docs, "__key")
+    docs_keyed = with_row_key(docs, "doc_id", key)
+    groups = near_duplicates(docs_keyed.select(F.col(key).alias("doc_id"), "text"))
+    ident = free_name(docs_keyed, "__id")
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(ident))
+    return docs_keyed.join(keep, docs_keyed[key] == keep[ident], "left_semi").select(docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadgauge.llm.common import WORD_BYTES, free_name, one_row_per_id
+from loadgauge.llm.common import WORD_BYTES, free_name, with_row_key
 from loadgauge.plans.joining import settle
 
 WINDOW = 50
@@ -215,8 +215,8 @@ def _cut(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile of each document, ids of whole copies, paths of the others), all stored."""
-    profile = settle(profiles(docs.filter(F.col("doc_id").isNotNull())))
+    """(profile of each document, ids of whole copies, paths of the others), all stored; ids are unique."""
+    profile = settle(profiles(docs))
     same = ["t1", "t2", "n_words"]
     groups = profile.filter(F.col("n_words") >= WINDOW).groupBy(*same).agg(
         F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")
@@ -236,14 +236,15 @@ def _spans(found: DataFrame) -> DataFrame:
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256: a row per document.
+    """doc_id, n_words, n_removed, kept_sha256: a row per row of ``docs``.
 
-    A word goes if a window of 50 words around it starts in a document with a smaller id.  Null
-    and blank texts have no words and the digest of the empty string; texts under 50 words stay.
-    Rows that repeat an id count as one document, with the least text; rows without id are neither
-    source nor cut.  An empty table gives no rows.
+    A word goes if a window of 50 words around it starts in a document with a smaller id.  Every
+    row is a document; those that share an id, or have none, come in the order of ``with_row_key``,
+    those without an id last.  Null and blank texts have no words and the digest of the empty
+    string; texts under 50 words stay.  An empty table gives no rows.
     """
-    docs = one_row_per_id(docs.select("doc_id", "text"), "doc_id", "text")
+    named = with_row_key(docs.select("doc_id", "text"), "doc_id", "key")
+    docs = named.select(F.col("key").alias("doc_id"), "text")
     profile, copies, found = repeats(docs)
     cut = _cut(docs.join(_spans(found), "doc_id")).select("doc_id", "n_removed", F.col("kept_sha256").alias("cut_sha"))
     gone = copies.select("doc_id", F.lit(digest([])).alias("empty_sha"))
@@ -254,21 +255,24 @@ def repeat_report(docs: DataFrame) -> DataFrame:
         F.when(F.col("empty_sha").isNotNull(), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.coalesce("empty_sha", "cut_sha", "kept_sha256").alias("kept_sha256"),
     )
-    unnamed = profiles(docs.filter(F.col("doc_id").isNull()))
-    return report.unionByName(unnamed.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
+    report = report.withColumnRenamed("doc_id", "key")
+    return named.select("key", "doc_id").join(report, "key").select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """The documents without repeated passages; those left without a word go.
 
-    A text that loses nothing keeps its form; else its words are joined by single spaces.
+    A text that loses nothing keeps its form; else its words are joined by single spaces.  Every
+    row is a document, as in ``repeat_report``; blank and null texts stay.
     """
-    docs = one_row_per_id(docs, "doc_id", "text")
-    _, copies, found = repeats(docs)
-    spans = _spans(found)
-    left = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
-    cut = settle(_cut(left.select("doc_id", "text").join(spans, "doc_id")))
+    columns, key = docs.columns, free_name(docs, "__key")
+    docs = with_row_key(docs, "doc_id", key)
+    texts = docs.select(F.col(key).alias("doc_id"), "text")
+    _, copies, found = repeats(texts)
     ident, text = free_name(docs, "__id"), free_name(docs, "__text")
+    copies = copies.select(F.col("doc_id").alias(ident))
+    left = docs.join(copies, docs[key] == copies[ident], "left_anti")
+    cut = settle(_cut(texts.join(_spans(found), "doc_id")))
     cut = cut.select(F.col("doc_id").alias(ident), F.col("kept_text").alias(text))
-    joined = left.join(cut, left["doc_id"] == cut[ident], "left").filter(F.col(text).isNull() | (F.col(text) != ""))
-    return joined.withColumn("text", F.coalesce(text, "text")).select(docs.columns)
+    joined = left.join(cut, left[key] == cut[ident], "left").filter(F.col(text).isNull() | (F.col(text) != ""))
+    return joined.withColumn("text", F.coalesce(text, "text")).select(columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadgauge.llm.common import one_row_per_id
+from loadgauge.llm.common import with_row_key
 from loadgauge.plans.joining import settle
 from loadgauge.session import shared_folder
 
@@ -36,8 +36,8 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-
 _NAMESPACE = uuid.UUID("6f1c1f70-6c3c-5d0e-9f3a-0d6a3f8f2b11")
 
 
-def record_id(page_id: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, str(page_id))}>"
+def record_id(key: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, str(key))}>"
 
 
 def char_cuts(data: bytes, size: int) -> Iterator[bytes]:
@@ -80,13 +80,15 @@ def _record(kind: str, ident: str, fields: list[tuple[str, object]], block: byte
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block
 
 
-def records_of(page_id: int, url: str | None, html: str | None, first: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page, each without the blank lines at its end."""
+def records_of(
+    key: int, page_id: int | None, url: str | None, html: str | None, first: int | None, segment: int = SEGMENT
+) -> Iterator[bytes]:
+    """The records of one page, each without the blank lines at its end; ``key`` names them, ``first`` a page revisited."""
     payload = (html or "").encode()
-    ident = record_id(page_id)
+    ident = record_id(key)
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     fields: list[tuple[str, object]] = [
-        ("WARC-Target-URI", uri), ("X-Page-ID", page_id),
+        ("WARC-Target-URI", uri), *([] if page_id is None else [("X-Page-ID", page_id)]),
         ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(payload).hexdigest()),
     ]
     if first is not None:
@@ -103,29 +105,33 @@ def records_of(page_id: int, url: str | None, html: str | None, first: int | Non
         more: list[tuple[str, object]] = [("WARC-Segment-Origin-ID", ident), ("WARC-Segment-Number", n)]
         if n == len(parts):
             more.append(("WARC-Segment-Total-Length", len(block)))
-        yield _record("continuation", record_id(f"{page_id}/{n}"), more, part)
+        yield _record("continuation", record_id(f"{key}/{n}"), more, part)
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, segment: int = SEGMENT) -> None:
     """Write page_id, url, html as gzipped archives in ``folder``.
 
-    Of pages with equal payloads of at least ``least`` bytes, the one with the smallest page_id
-    is stored.  Null html is an empty payload, a null url an empty address.  Rows that repeat a
-    page_id are one page; rows without one have no record.  An empty table writes an empty folder.
+    Of pages with equal payloads of at least ``least`` bytes, those with the smallest page_id are
+    responses, pages with a larger one revisit the first of them.  Every row has a record of its
+    own: rows that repeat a page_id share what the archive says of it, rows without one are
+    responses and have no such field.  Null html is an empty payload, a null url an empty address.
+    An empty table writes an empty folder.
     """
-    pages = one_row_per_id(pages.select("page_id", "url", "html").filter("page_id is not null"), "page_id", "html")
+    pages = with_row_key(pages.select("page_id", "url", "html"), "page_id", "key")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    narrow = pages.filter(F.octet_length("html") >= least).select("page_id", F.sha2(payload, 256).alias("digest"))
-    narrow = settle(narrow)
-    groups = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    groups = groups.filter("last > first").select("digest", "first")
-    later = settle(narrow.join(groups, "digest").filter("page_id > first").select("page_id", "first"))
+    narrow = pages.filter((F.octet_length("html") >= least) & F.col("page_id").isNotNull())
+    narrow = settle(narrow.select("key", "page_id", F.sha2(payload, 256).alias("digest")))
+    groups = narrow.groupBy("digest").agg(
+        F.min("key").alias("first"), F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")
+    )
+    groups = groups.filter("last_id > first_id").select("digest", "first", "first_id")
+    later = settle(narrow.join(groups, "digest").filter("page_id > first_id").select("key", "first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for page_id, first, url, html in zip(*[c for c in batch.columns], strict=True):
-                for record in records_of(page_id.as_py(), url.as_py(), html.as_py(), first.as_py(), segment):
+            for row in zip(*batch.columns, strict=True):
+                for record in records_of(*[value.as_py() for value in row], segment=segment):
                     out.append(record)
                     held += len(record)
                 if held > 1 << 23:
@@ -133,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, se
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
-    rows = pages.join(later, "page_id", "left").select("page_id", "first", "url", "html")
+    rows = pages.join(later, "key", "left").select("key", "page_id", "url", "html", "first")
     writer = rows.mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("compression", "gzip")
     writer.option("maxRecordsPerFile", RECORDS_PER_FILE).option("zlib.compress.level", "BEST_SPEED").text(folder)
 
@@ -251,7 +257,7 @@ def reassembled(segments: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, damage: a row per page.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, damage: a row per page record.
 
     Revisits take size and digest of the response they refer to; ``damage`` tells of segments that
     do not add up, digests that differ from the stated one, and revisits of nothing.
@@ -266,11 +272,11 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     wrong = F.when(F.col("stated_digest") != F.col("payload_digest"), "digest differs from the stated one")
     responses = settle(responses.withColumn("damage", F.coalesce("damage", wrong)))
     target = responses.select(
-        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest"
+        F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", F.lit(True).alias("found")
     )
     revisits = records.filter("record_type = 'revisit'").select("page_id", "refers_to_id", "stated_digest")
     revisits = revisits.join(target, "refers_to_id", "left")
-    damage = F.when(F.col("refers_to").isNull(), "refers to no response").when(
+    damage = F.when(F.col("found").isNull(), "refers to no response").when(
         F.col("payload_digest") != F.col("stated_digest"), "digest differs from the stated one"
     )
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "damage"]
