@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +32,20 @@ LONGEST = 5
 SMOOTH = 0.5
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+def _ranges(major: str) -> str:
+    """The characters of a Unicode category, as ranges of a pattern."""
+    inside = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == major]
+    parts, begin = [], inside[0]
+    for c, following in zip(inside, [*inside[1:], -1], strict=True):
+        if following != c + 1:
+            parts.append(rf"\U{begin:08x}-\U{c:08x}")
+            begin = following
+    return "".join(parts)
+
+
+# A letter, then letters and the marks that belong to them.
+_LETTERS = re.compile(f"[{_ranges('L')}][{_ranges('L')}{_ranges('M')}]*")
 
 
 @dataclass(frozen=True)
@@ -49,7 +64,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
+    """Runs of letters with their marks, in lower case; signs, digits and fractions are no letters."""
     return [] if text is None else _LETTERS.findall(text.lower())
 
 
