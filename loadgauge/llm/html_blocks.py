@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,10 +18,14 @@ INLINE = frozenset(
     "mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements whose content is never text of the page.
+# Elements whose content is never text of the page; a noscript speaks to readers without
+# scripts, and a template is shown only by one.
 SKIPPED = frozenset("script style noscript template title svg iframe object textarea canvas audio video annotation annotation-xml".split())
 # Elements that run to the end of the page if nothing closes them; without an end the others hide nothing.
 TO_THE_END = frozenset("script style noscript template title iframe textarea xmp".split())
+# Elements of which one may lie in another of its kind, and those that ``/>`` closes.
+NESTED = frozenset("template svg object canvas audio video annotation annotation-xml".split())
+FOREIGN = frozenset("svg annotation annotation-xml".split())
 # A start of the key ends an open element of the value, unless a bound lies between.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -57,28 +63,42 @@ class Leaf:
 class _Open:
     tag: str
     path: frozenset[int]
+    tags: frozenset[str]
 
 
 @dataclass
 class _Blocks:
+    """Leaves so far and the open elements; ``places`` has the places in the stack of each tag, ``bounds``
+    those of the elements that bound blocks, so no step walks over a deep stack."""
+
     leaves: list[Leaf] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", frozenset())])
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", frozenset(), frozenset([""]))])
+    places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
+    bounds: list[int] = field(default_factory=lambda: [0])
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.leaves.append(Leaf(text, self.stack[-1].path, tuple({x.tag for x in self.stack}), self.linked))
+            self.leaves.append(Leaf(text, self.stack[-1].path, tuple(self.stack[-1].tags), self.linked))
         self.pieces, self.linked = [], 0
 
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of ``tags``; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        for x in self.stack[place:]:
+            self.places[x.tag].pop()
+        del self.stack[place:]
+        while self.bounds[-1] >= place:
+            self.bounds.pop()
+
     def pop_to(self, tags: tuple[str, ...], bounds: frozenset[str]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in bounds:
-                return
+        place = self.last(tags)
+        if place and place >= self.last(bounds):
+            self.close(place)
 
     def start(self, tag: str, attrs: str) -> None:
         if tag not in INLINE:
@@ -96,28 +116,45 @@ class _Blocks:
             for name, *values in _ATTR.findall(attrs):
                 for part in _PARTS.findall("".join(values).lower()):
                     own.add(bucket(f"{name.lower() == 'role'}.{part.removesuffix('s')}"))
-        self.stack.append(_Open(tag, self.stack[-1].path | own))
+        above, place = self.stack[-1], len(self.stack)
+        tags = above.tags if tag in above.tags else above.tags | {tag}
+        self.stack.append(_Open(tag, above.path if own <= above.path else above.path | own, tags))
+        self.places[tag].append(place)
+        if tag not in INLINE:
+            self.bounds.append(place)
 
     def end(self, tag: str) -> None:
+        if tag in SKIPPED:  # never opened, and no bound of a block
+            return
         if tag not in INLINE:
             self.flush()
-        same = HEADINGS if tag in HEADINGS else (tag,)
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in same:
-                del self.stack[i:]
-                return
-            if tag in INLINE and self.stack[i].tag not in INLINE:
-                return
+        place = self.last(HEADINGS if tag in HEADINGS else (tag,))
+        if place and (tag not in INLINE or place > self.bounds[-1]):
+            self.close(place)
 
     def text(self, raw: str) -> None:
         shown = html.unescape(raw) if "&" in raw else raw
         self.pieces.append(shown)
-        for x in reversed(self.stack):
-            if x.tag == "a":
-                self.linked += len(shown)
-                return
-            if x.tag not in INLINE:
-                return
+        if self.last("a") > self.bounds[-1]:
+            self.linked += len(shown)
+
+
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where the end tag of a raw-text element begins; -1 if there is none."""
+    found = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE | re.ASCII).search(page, at)
+    return found.start() if found else -1
+
+
+def _nested_ends(page: str, tag: str) -> dict[int, int]:
+    """Start of each element of a kind -> start of the end tag that closes it, for those closed."""
+    ends, opened = {}, []
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*", re.IGNORECASE | re.ASCII).finditer(page):
+        if not m[1]:
+            if tag not in FOREIGN or m[0][-1] != "/":
+                opened.append(m.start())
+        elif opened:
+            ends[opened.pop()] = m.start()
+    return ends
 
 
 def leaves_of(page: str) -> list[Leaf]:
@@ -127,7 +164,8 @@ def leaves_of(page: str) -> list[Leaf]:
     elements where HTML lets them end, comments and raw text at the end of the page.
     """
     out = _Blocks()
-    at, quoted, lower = 0, True, None
+    at, quoted = 0, True
+    nested: dict[str, dict[int, int]] = {}
     while True:
         tag_at = page.find("<", at)
         if tag_at < 0:
@@ -159,15 +197,19 @@ def leaves_of(page: str) -> list[Leaf]:
         if closing:
             out.end(tag)
         elif tag in SKIPPED or tag == "xmp":
-            if page[stop - 2 : stop] != "/>":
-                if lower is None:
-                    lower = page.lower() if len(page.lower()) == len(page) else page
-                end_at = lower.find(f"</{tag}", stop)
-                if end_at >= 0 or tag in TO_THE_END:
-                    at = len(page) if end_at < 0 else end_at
-                if tag == "xmp":  # shown as it stands
-                    out.start(tag, page[name.end() : stop - 1])
-                    out.text(page[stop:at].replace("&", "&amp;"))
+            if tag in FOREIGN and page[stop - 2 : stop] == "/>":
+                continue
+            if tag in NESTED:
+                if tag not in nested:
+                    nested[tag] = _nested_ends(page, tag)
+                end_at = nested[tag].get(tag_at, -1)
+            else:
+                end_at = _raw_end(page, tag, stop)
+            if end_at >= 0 or tag in TO_THE_END:
+                at = len(page) if end_at < 0 else end_at
+            if tag == "xmp":  # shown as it stands
+                out.start(tag, page[name.end() : stop - 1])
+                out.text(page[stop:at].replace("&", "&amp;"))
         else:
             out.start(tag, page[name.end() : stop - 1])
     out.flush()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -718,3 +719,27 @@ def test_warc_has_a_record_for_every_row(spark, doubtful):
     got = warc.archived(clash(pages)).drop("damage")
     assert _rows(got.columns, got.collect()) == _rows(names, found.fetchall())
     assert warc.archived(pages).filter("damage is not null").count() == 0
+
+
+def test_pages_lose_and_leak_no_text():
+    texts = lambda page: [x.text for x in html_blocks.leaves_of(page)]
+    assert texts("<p>One İ.</p><SCRIPT>bad()</SCRIPT><p>Two</p>") == ["One İ.", "Two"]
+    assert texts("<p>a</p><script src=x />var secret=1;</script><p>b</p>") == ["a", "b"]
+    assert texts("<title/>never</title><p>b") == ["b"]
+    assert texts("<p>a</p><object><object>a</object>leak</object><p>b</p>") == ["a", "b"]
+    assert texts("<p>a <svg/> b <svg><svg/><text>no</text></svg> c</p>") == ["a b c"]
+    assert texts("<p>a</p><object><p>b <object>no</object> c") == ["a", "b c"]
+    assert texts("<script>x</scripts>y</script>z") == ["z"]
+
+
+def test_deep_pages_take_linear_time():
+    begin = time.perf_counter()
+    leaves = html_blocks.leaves_of("<div><font>x" * 50_000)
+    assert len(leaves) == 50_000 and time.perf_counter() - begin < 4
+    leaves = html_blocks.leaves_of("<object>x" * 50_000 + "<ul><li>a<li>b</ul>" + "</div>" * 1000)
+    assert [x.text for x in leaves[-2:]] == ["a", "b"] and time.perf_counter() - begin < 8
+
+
+def test_letters_are_letters():
+    assert language.letter_words("½ ² ① 12 _ ٣") == []
+    assert language.letter_words("हिन्दी Été cafe\u0301 x2y") == ["हिन्दी", "été", "cafe\u0301", "x", "y"]
