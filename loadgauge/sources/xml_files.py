@@ -10,11 +10,23 @@ from pyspark.sql import types as T
 
 from loadgauge.model import XML_ATTRIBUTES
 from loadgauge.plans.joining import settle
-from loadgauge.sources.xml_sections import MARKUP, closes, continued_texts, opens, with_states
+from loadgauge.sources.xml_sections import (
+    BLOCK,
+    Blocks,
+    Sections,
+    begins_cdata,
+    block_of,
+    blocks_of,
+    closes,
+    continued_texts,
+    in_markup,
+    opens,
+    sections_of,
+)
 
 # The element and child names of a result file.
 TAGS = ["httpSample", "sample"]
-FAILURE, URL = "failureMessage", "java.net.URL"
+CHILDREN = {"failureMessage": "failure_message", "java.net.URL": "url"}
 
 # A tag up to its end; a > inside quotes does not end it.
 _HEAD = r"""^[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+>"""
@@ -43,55 +55,45 @@ def _records(spark: SparkSession, paths: Sequence[str] | str, files: DataFrame |
     step = step.when(F.col("closing"), -1).otherwise(1)
     sample = F.col("name").isin(TAGS) & ~F.col("closing")
     return tags.select(
-        "source_file", "split", "id", step.alias("step"), sample.alias("is_sample"),
-        F.when(F.col("name").isin(FAILURE, URL) & (step == 1), F.col("name")).alias("child"),
-        F.length("head").alias("head_size"), opens(value).alias("opens"), closes(value).alias("closes"), "value",
+        "source_file", "split", block_of(F.col("id")).alias("block"), "id", step.alias("step"), sample.alias("is_sample"),
+        F.when(F.col("name").isin(list(CHILDREN)) & (step == 1), F.col("name")).alias("child"),
+        F.length("head").alias("head_size"), opens(value).alias("opens"), closes(value).alias("closes"),
+        begins_cdata(value).alias("cdata"), "value",
     )
 
 
-def _tags(spark: SparkSession, paths: Sequence[str] | str, files: DataFrame | None) -> DataFrame:
-    """The stored records; those that begin inside a comment, CDATA section or instruction are no tags."""
-    stated = with_states(settle(_records(spark, paths, files)))
-    tag = F.col("state") == MARKUP
-    return stated.withColumns({
-        "step": F.when(tag, F.col("step")).otherwise(0),
-        "is_sample": F.col("is_sample") & tag,
-        "child": F.when(tag, F.col("child")),
-    })
-
-
-def _parents(records: DataFrame) -> DataFrame:
+def _parents(records: DataFrame, blocks: Blocks, sections: Sections | None) -> DataFrame:
     """id of each child text and of the sample whose direct child it is.
 
-    The depth is a running sum per split plus the sums of the splits before.  The parent of an
-    element is the last one opened one level up: in its own split, else in the latest split before
-    it that opened one.  Only one row per split and level is carried over, so that a file of any
-    size is worked on in as many tasks as it has splits.
+    The depth is a running sum per block plus the sums of the blocks before.  The parent of an
+    element is the last one opened one level up: in its own block, else in the latest block before
+    it that opened one.  Only one row per block and level is carried over, so that a file of any
+    size is worked on in as many tasks as its number of records asks for.
     """
-    tags = records.select("source_file", "split", "id", "step", "is_sample", "child")
-    file_split = ["source_file", "split"]
-    sums = tags.groupBy(*file_split).agg(F.sum("step").alias("steps"))
-    before = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*file_split, F.coalesce(F.sum("steps").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*file_split).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    levels = tags.withColumn("depth", F.sum("step").over(inside)).filter("step = 1").join(offsets, file_split)
+    tags = records.filter("step <> 0").select(*BLOCK, "id", "step", "is_sample", "child")
+    tags = settle(in_markup(tags, blocks, sections))
+    sums = tags.groupBy(*BLOCK).agg(F.sum("step").alias("steps"))
+    before = Window.partitionBy("source_file").orderBy(*BLOCK[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = settle(sums.select(*BLOCK, F.coalesce(F.sum("steps").over(before), F.lit(0)).alias("offset")))
+    inside = Window.partitionBy(*BLOCK).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    levels = blocks.dealt(tags).withColumn("depth", F.sum("step").over(inside)).filter("step = 1").join(offsets, BLOCK)
     levels = levels.withColumn("depth", F.col("depth") + F.col("offset"))
     opened = F.struct("id", "is_sample")
-    rows = levels.select(*file_split, "depth", "id", opened.alias("opened"), F.lit(False).alias("asks")).unionByName(
+    rows = levels.select(*BLOCK, "depth", "id", opened.alias("opened"), F.lit(False).alias("asks")).unionByName(
         levels.filter("child is not null").select(
-            *file_split, (F.col("depth") - 1).alias("depth"), "id", F.lit(None).cast("struct<id:bigint,is_sample:boolean>").alias("opened"),
+            *BLOCK, (F.col("depth") - 1).alias("depth"), "id", F.lit(None).cast("struct<id:bigint,is_sample:boolean>").alias("opened"),
             F.lit(True).alias("asks"),
         )
     )
     # Stored: joined lazily with the carried rows, this union gave some rows twice.
     rows = settle(rows)
-    by_level = Window.partitionBy(*file_split, "depth").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    asked = rows.withColumn("up", F.last("opened", ignorenulls=True).over(by_level)).filter("asks")
-    last = rows.groupBy(*file_split, "depth").agg(F.max("opened").alias("last"))
-    earlier = Window.partitionBy("source_file", "depth").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(*file_split, "depth", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    by_level = Window.partitionBy(*BLOCK, "depth").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    asked = blocks.dealt(rows).withColumn("up", F.last("opened", ignorenulls=True).over(by_level)).filter("asks")
+    last = rows.groupBy(*BLOCK, "depth").agg(F.max("opened").alias("last"))
+    earlier = Window.partitionBy("source_file", "depth").orderBy(*BLOCK[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = settle(last.select(*BLOCK, "depth", F.last("last", ignorenulls=True).over(earlier).alias("carried")))
     up = F.coalesce("up", "carried")
-    found = asked.join(carried, [*file_split, "depth"]).select("id", up.alias("up")).filter("up.is_sample")
+    found = asked.join(carried, [*BLOCK, "depth"]).select("id", up.alias("up")).filter("up.is_sample")
     return found.select("id", F.col("up.id").alias("parent"))
 
 
@@ -107,29 +109,36 @@ def read_jtl_xml(spark: SparkSession, paths: Sequence[str] | str, files: DataFra
     beginning of a section that is never closed, come out as rows with their text in unread_xml,
     which cleaning sets aside with a reason.  ``files`` (source_file) leaves out other files below the paths.
     """
-    records = _tags(spark, paths, files)
+    records = settle(_records(spark, paths, files))
+    blocks = blocks_of(records)
+    sections = sections_of(records, blocks)
     behind = F.expr("substring(value, head_size + 1)")
-    texts = records.filter("child is not null").select("id", "child", behind.alias("text"))
-    more = continued_texts(records)
+    texts = blocks.dealt(records.filter("child is not null").select("id", "child", behind.alias("text")), "id")
+    more = continued_texts(records, blocks, sections)
     if more is not None:
-        texts = settle(texts.join(more, "id", "left").select("id", "child", F.concat("text", F.coalesce("more", F.lit(""))).alias("text")))
-    children = settle(texts.select("id", "child").join(_parents(records), "id"))
-    first = children.groupBy("parent", "child").agg(F.min("id").alias("id"))
+        texts = texts.join(blocks.dealt(more, "id"), "id", "left")
+        texts = texts.select("id", "child", F.concat("text", F.coalesce("more", F.lit(""))).alias("text"))
+    # Only children have a parent, so none that begins inside a section is left.
+    children = texts.join(blocks.dealt(_parents(records, blocks, sections), "id"), "id")
+    said = [F.min_by(F.when(F.col("child") == child, F.col("text")), F.when(F.col("child") == child, F.col("id"))).alias(name) for child, name in CHILDREN.items()]
+    said = blocks.dealt(children, "parent").groupBy("parent").agg(*said).withColumnRenamed("parent", "id")
     whole = F.col("head_size") > 0
     element = F.concat(F.lit("<"), F.expr("rtrim('/', substring(value, 1, head_size - 1))"), F.lit("/>"))
-    cut_off = F.col("unclosed") | ~whole
     fields = [T.StructField(f"_{name}", T.StringType()) for name in XML_ATTRIBUTES]
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"attributePrefix": "_", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": _CORRUPT}
-    found = records.filter("is_sample OR unclosed").select("id", "source_file", F.when(~cut_off, element).alias("element"), F.when(cut_off, F.col("value")).alias("cut"))
+    cut_off = F.when(~whole, F.col("value"))
+    found = records.filter("is_sample").select("id", "source_file", F.when(whole, element).alias("element"), cut_off.alias("cut"))
+    found = in_markup(found, blocks, sections)
+    if sections is not None:
+        lost = records.join(sections.unclosed, "id").select("id", "source_file", F.lit(None).cast("string").alias("element"), F.col("value").alias("cut"))
+        found = blocks.dealt(found.unionByName(lost), "id")
     parsed = found.withColumn("e", F.from_xml("element", schema, options))
     unread = F.coalesce("cut", F.col(f"e.{_CORRUPT}"))
-    samples = parsed.select("id", "source_file", "e", unread.alias("unread_xml"))
-    for child, name in ((FAILURE, "failure_message"), (URL, "url")):
-        said = first.filter(F.col("child") == child).drop("child").join(texts.drop("child"), "id")
-        said = said.select(F.col("parent").alias("id"), F.concat(F.lit("<x><v>"), "text", F.lit("</v></x>")).alias(f"{name}_xml"))
-        inner = F.from_xml(f"{name}_xml", "v string", {"ignoreSurroundingSpaces": "false"})
-        samples = samples.join(said, "id", "left").withColumn(name, inner["v"]).drop(f"{name}_xml")
+    samples = parsed.select("id", "source_file", "e", unread.alias("unread_xml")).join(said, "id", "left")
+    for name in CHILDREN.values():
+        inner = F.from_xml(F.concat(F.lit("<x><v>"), name, F.lit("</v></x>")), "v string", {"ignoreSurroundingSpaces": "false"})
+        samples = samples.withColumn(name, inner["v"])
     return samples.select(
         "source_file",
         *[F.col(f"e._{attribute}").alias(name) for attribute, name in XML_ATTRIBUTES.items()],

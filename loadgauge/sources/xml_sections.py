@@ -3,14 +3,16 @@
 A ``<`` inside such a section begins a record like any other, so what a record means depends on
 the state that the text before it leaves: markup, comment, CDATA or instruction.  Only few records
 change the state: those that open a section without closing it, and those that hold a closing
-mark.  Over these, each split of a file yields a function from the state it is entered in to the
-state it is left in; one row per split, put together in order, gives every split's first
-state, and a second walk the state behind each mark.
+mark.  Over these, each block of a split yields a function from the state it is entered in to the
+state it is left in; one row per block, put together in order, gives every block's first
+state, and a second walk the ranges of records that begin inside a section.  A block has at most
+2^16 records and a task a bounded number of them, whatever the size of splits and files.
 """
 
 from __future__ import annotations
 
 import sys
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MARKUP, COMMENT, CDATA, INSTRUCTION = range(4)
 # How sections begin (behind the <) and end.
 SECTIONS = {COMMENT: ("!--", "-->"), CDATA: ("![CDATA[", "]]>"), INSTRUCTION: ("?", "?>")}
-FILE_SPLIT = ["source_file", "split"]
+# Records are worked on in blocks of ids: a file's records in the order of (split, block, id).
+BLOCK = ["source_file", "split", "block"]
+BLOCK_BITS = 16
+TASK_BITS, LEAST_BITS = 19, 13  # records of a task, and those too few to give them a task
 
 
 def opens(value: Column) -> Column:
@@ -55,89 +60,152 @@ def _behind(state: int, opened: int, closed: int) -> int:
     return MARKUP if closed >> (state - 1) & 1 else state
 
 
+def block_of(record: Column) -> Column:
+    return F.shiftright(record, BLOCK_BITS)
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """One row per block of records, with its first and last id, and the number of tasks for all records.
+
+    That number grows with the records, so that a task's share does not.
+    """
+
+    table: DataFrame
+    tasks: int
+
+    def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.repartition(self.tasks, *(keys or BLOCK))
+
+
+def blocks_of(records: DataFrame) -> Blocks:
+    """The blocks of records(source_file, split, block, id, ...)."""
+    ends = F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n")
+    table = settle(records.groupBy(*BLOCK).agg(*ends))
+    n = table.agg(F.sum("n")).first()[0] or 0
+    cores = records.sparkSession.sparkContext.defaultParallelism
+    return Blocks(table.drop("n"), 1 + min(max(n >> TASK_BITS, cores), n >> LEAST_BITS))
+
+
 def _in_order(table: pa.Table) -> list[tuple[int, int, int]]:
     order = np.argsort(table.column("id").to_numpy(), kind="stable")
     return list(zip(*[table.column(c).take(order).to_pylist() for c in ("id", "opens", "closes")], strict=True))
 
 
-def _function_of_split(table: pa.Table) -> pa.Table:
-    """One row: the state behind the split for each state before it."""
+def _function_of_block(table: pa.Table) -> pa.Table:
+    """One row: the state behind the block for each state before it."""
     states = list(range(len(SECTIONS) + 1))
     for _, opened, closed in _in_order(table):
         states = [_behind(s, opened, closed) for s in states]
-    return pa.table({c: table.column(c)[:1] for c in FILE_SPLIT} | {"left_in": pa.array([states], pa.list_(pa.int32()))})
+    return pa.table({c: table.column(c)[:1] for c in BLOCK} | {"left_in": pa.array([states], pa.list_(pa.int32()))})
 
 
 def _first_states(table: pa.Table) -> pa.Table:
-    """The state at the beginning of each split of a file; splits without marks change nothing."""
-    order = np.argsort(table.column("split").to_numpy(), kind="stable")
-    state, found = MARKUP, []
-    for left_in in table.column("left_in").take(order).to_pylist():
-        found.append(state)
+    """The states before and behind each block of a file; blocks without marks change nothing."""
+    order = np.lexsort([table.column("block").to_numpy(), table.column("split").to_numpy()])
+    state, before, behind = MARKUP, [], []
+    functions = table.column("left_in").take(order).to_pylist()
+    for left_in in functions:
+        before.append(state)
         state = state if left_in is None else left_in[state]
-    columns = {c: table.column(c).take(order) for c in FILE_SPLIT}
-    return pa.table(columns | {"first": pa.array(found, pa.int32())})
+        behind.append(state)
+    columns = {c: table.column(c).take(order) for c in [*BLOCK, "first_id", "last_id"]}
+    states = {"before": pa.array(before, pa.int32()), "behind": pa.array(behind, pa.int32())}
+    return pa.table(columns | states | {"marked": pa.array([f is not None for f in functions], pa.bool_())})
 
 
-def _changes(table: pa.Table) -> pa.Table:
-    """id, after: the records of a split behind which the state is another than before."""
-    state = table.column("first")[0].as_py()
-    found = []
+def _ranges(table: pa.Table) -> pa.Table:
+    """begin, upto, state, opener: the ids of a block that begin inside a section.
+
+    ``opener`` is the record that opens the section, null if an earlier block does; a section that the block's
+    last record opens has no ids here.
+    """
+    state, last = table.column("before")[0].as_py(), table.column("last_id")[0].as_py()
+    begin, opener, found = table.column("first_id")[0].as_py(), None, []
     for record, opened, closed in _in_order(table):
         after = _behind(state, opened, closed)
         if after != state:
-            found.append((record, after))
-        state = after
-    ids, afters = zip(*found, strict=True) if found else ((), ())
-    columns = {c: pa.array([table.column(c)[0].as_py()] * len(ids), table.schema.field(c).type) for c in FILE_SPLIT}
-    return pa.table(columns | {"id": pa.array(ids, pa.int64()), "after": pa.array(afters, pa.int32())})
+            if state != MARKUP:
+                found.append((begin, record, state, opener))
+            state, begin, opener = after, record + 1, record
+    if state != MARKUP:
+        found.append((begin, last, state, opener))
+    begins, uptos, states, openers = zip(*found, strict=True) if found else ((),) * 4
+    columns = {c: pa.array([table.column(c)[0].as_py()] * len(found), table.schema.field(c).type) for c in BLOCK[:2]}
+    ids = {name: pa.array(values, pa.int64()) for name, values in (("begin", begins), ("upto", uptos), ("opener", openers))}
+    return pa.table(columns | {"begin": ids["begin"], "upto": ids["upto"], "state": pa.array(states, pa.int32()), "opener": ids["opener"]})
+
+
+@dataclass(frozen=True)
+class Sections:
+    """``inside``: id and state of the records that begin inside a section.
+
+    ``unclosed``: the id of the record whose section reaches the end of its file.
+    """
+
+    inside: DataFrame
+    unclosed: DataFrame
 
 
-def with_states(records: DataFrame) -> DataFrame:
-    """records(source_file, split, id, opens, closes, ...) with state, where each record begins, and
-    unclosed, true for the record whose section reaches the end of its file.
+def sections_of(records: DataFrame, blocks: Blocks) -> Sections | None:
+    """The sections of records(source_file, split, block, id, opens, closes, ...); None if there are none.
 
     A file in which every section ends in the record that it begins in, as most do, is markup
     throughout and costs one look at the column opens.
     """
     if not records.filter("opens > 0").take(1):
-        return records.withColumns({"state": F.lit(MARKUP), "unclosed": F.lit(False)})
-    marks = settle(records.filter("opens > 0 OR closes > 0").select(*FILE_SPLIT, "id", "opens", "closes"))
+        return None
+    marks = settle(blocks.dealt(records.filter("opens > 0 OR closes > 0").select(*BLOCK, "id", "opens", "closes")))
     keys = "source_file string, split long"
-    functions = marks.groupBy(*FILE_SPLIT).applyInArrow(_function_of_split, f"{keys}, left_in array<int>")
-    splits = records.select(*FILE_SPLIT).distinct().join(functions, FILE_SPLIT, "left")
-    first = settle(splits.groupBy("source_file").applyInArrow(_first_states, f"{keys}, first int"))
-    entered = marks.join(first, FILE_SPLIT)
-    changes = settle(entered.groupBy(*FILE_SPLIT).applyInArrow(_changes, f"{keys}, id long, after int"))
-    last = F.max(F.struct("split", "id", "after")).alias("last")
-    unclosed = changes.groupBy("source_file").agg(last).filter(F.col("last.after") != MARKUP).select(F.col("last.id").alias("id"))
-    marked = records.join(changes.select("id", "after"), "id", "left").join(first, FILE_SPLIT)
-    before = Window.partitionBy(*FILE_SPLIT).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    state = F.coalesce(F.last("after", ignorenulls=True).over(before), "first")
-    stated = marked.withColumn("state", state).drop("after", "first")
-    stated = stated.join(unclosed.withColumn("open_end", F.lit(True)), "id", "left")
-    return settle(stated.withColumn("unclosed", F.coalesce("open_end", F.lit(False))).drop("open_end"))
-
-
-def continued_texts(records: DataFrame) -> DataFrame | None:
+    functions = blocks.dealt(marks).groupBy(*BLOCK).applyInArrow(_function_of_block, f"{keys}, block long, left_in array<int>")
+    states = "block long, first_id long, last_id long, before int, behind int, marked boolean"
+    in_files = blocks.table.join(settle(functions), BLOCK, "left").groupBy("source_file")
+    first = settle(in_files.applyInArrow(_first_states, f"{keys}, {states}"))
+    entered = blocks.dealt(marks.join(first.select(*BLOCK, "first_id", "last_id", "before"), BLOCK))
+    fields = f"{keys}, begin long, upto long, state int, opener long"
+    ranges = settle(entered.groupBy(*BLOCK).applyInArrow(_ranges, fields))
+    whole = first.filter((F.col("before") != MARKUP) & ~F.col("marked"))
+    whole = whole.select(F.col("first_id").alias("begin"), F.col("last_id").alias("upto"), F.col("before").alias("state"))
+    spans = ranges.filter("begin <= upto").select("begin", "upto", "state").unionByName(whole)
+    inside = settle(spans.select(F.explode(F.sequence("begin", "upto")).alias("id"), "state"))
+    ends = first.groupBy("source_file").agg(F.max(F.struct(*BLOCK[1:], "behind")).alias("end")).filter(F.col("end.behind") != MARKUP)
+    openers = ranges.filter("opener is not null").groupBy("source_file").agg(F.max(F.struct("split", "opener")).alias("last"))
+    unclosed = settle(openers.join(ends, "source_file").select(F.col("last.opener").alias("id")))
+    return Sections(inside, unclosed)
+
+
+def in_markup(rows: DataFrame, blocks: Blocks, sections: Sections | None) -> DataFrame:
+    """The rows that begin outside of every section, dealt out by id."""
+    rows = blocks.dealt(rows, "id")
+    return rows if sections is None else rows.join(blocks.dealt(sections.inside, "id"), "id", "left_anti")
+
+
+def continued_texts(records: DataFrame, blocks: Blocks, sections: Sections | None) -> DataFrame | None:
     """id, more: what CDATA sections add to the text of the record ``id`` that names a child.
 
     The text of a child goes on over the records behind it as long as these begin a CDATA section or lie
     in one, also into further splits.  Their ``<`` is put back; None if no record goes on.
     """
-    goes_on = (F.col("state") == CDATA) | ((F.col("state") == MARKUP) & begins_cdata(F.col("value")))
-    if not records.filter(goes_on).take(1):
+    # Any such text begins with a CDATA section in markup.
+    if not in_markup(records.filter("cdata").select("id"), blocks, sections).take(1):
         return None
-    rows = records.select(*FILE_SPLIT, "id", goes_on.alias("goes_on"), "child")
-    owner = F.when(~F.col("goes_on"), F.struct("id", F.col("child").isNotNull().alias("asks")))
-    inside = Window.partitionBy(*FILE_SPLIT).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    owned = rows.withColumn("owner", F.last(owner, ignorenulls=True).over(inside)).filter("goes_on").select(*FILE_SPLIT, "id", "owner")
-    lasts = rows.groupBy(*FILE_SPLIT).agg(F.max(owner).alias("last"))
-    earlier = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(*FILE_SPLIT, F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    owned = owned.join(carried, FILE_SPLIT).withColumn("owner", F.coalesce("owner", "carried")).filter("owner.asks")
-    owned = settle(owned.select("id", F.col("owner.id").alias("owner")))
-    parts = records.select("id", "split", "value").join(owned, "id")
+    marked = records.select(*BLOCK, "id", "child", "cdata")
+    if sections is None:
+        marked = marked.withColumn("state", F.lit(MARKUP))
+    else:
+        marked = blocks.dealt(marked, "id").join(blocks.dealt(sections.inside, "id"), "id", "left").fillna(MARKUP, "state")
+    markup = F.col("state") == MARKUP
+    goes_on = (F.col("state") == CDATA) | (markup & F.col("cdata"))
+    rows = settle(marked.select(*BLOCK, "id", goes_on.alias("goes_on"), (markup & F.col("child").isNotNull()).alias("asks")))
+    owner = F.when(~F.col("goes_on"), F.struct("id", "asks"))
+    inside = Window.partitionBy(*BLOCK).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    owned = blocks.dealt(rows).withColumn("owner", F.last(owner, ignorenulls=True).over(inside)).filter("goes_on").select(*BLOCK, "id", "owner")
+    lasts = rows.groupBy(*BLOCK).agg(F.max(owner).alias("last"))
+    earlier = Window.partitionBy("source_file").orderBy(*BLOCK[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = settle(lasts.select(*BLOCK, F.last("last", ignorenulls=True).over(earlier).alias("carried")))
+    owned = owned.join(carried, BLOCK).withColumn("owner", F.coalesce("owner", "carried")).filter("owner.asks")
+    owned = blocks.dealt(owned.select("id", F.col("owner.id").alias("owner")), "id")
+    parts = blocks.dealt(records.select("id", "split", "value"), "id").join(owned, "id")
     part = F.struct("split", "id", F.concat(F.lit("<"), "value").alias("text"))
-    texts = parts.groupBy("owner").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    texts = blocks.dealt(parts, "owner").groupBy("owner").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     return texts.select(F.col("owner").alias("id"), F.array_join("parts.text", "").alias("more"))

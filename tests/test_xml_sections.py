@@ -8,6 +8,7 @@ from xml.etree import ElementTree
 
 import pytest
 
+from loadgauge.sources import xml_sections
 from loadgauge.sources.cleaning import clean
 from loadgauge.sources.xml_files import read_jtl_xml
 
@@ -103,3 +104,25 @@ def test_plain_cdata(spark, tmp_path):
     path = tmp_path / "c.xml"
     path.write_text('<r><sample t="1"><failureMessage><![CDATA[boom]]></failureMessage></sample><!-- <sample t="2"/> --></r>')
     assert by_spark(spark, path) == Counter({("1", None, "boom", None): 1})
+
+
+def test_python_sees_a_split_block_by_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(xml_sections, "BLOCK_BITS", 3)
+    monkeypatch.setattr(xml_sections, "LEAST_BITS", 4)
+    long = GHOST * 40
+    r, number = random.Random(5), [0]
+    text = f'<testResults>{"".join(noise(r) + element(r, number, 2) for _ in range(6))}<!-- {long} --><sample t="9000" lb="z"/></testResults>'
+    path = tmp_path / "b.xml"
+    path.write_text(text, encoding="utf-8")
+    seen = spark.sparkContext.accumulator(0)
+    function = xml_sections._function_of_block
+
+    def counted(table):
+        seen.add(1)
+        assert table.num_rows <= 8
+        return function(table)
+
+    monkeypatch.setattr(xml_sections, "_function_of_block", counted)
+    assert spark.read.option("lineSep", "<").text(str(path)).rdd.getNumPartitions() == 1
+    assert by_spark(spark, path) == by_parser(text)
+    assert seen.value > 5
