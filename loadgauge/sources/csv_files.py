@@ -177,7 +177,7 @@ def read_jtl_csv(
     return raw.select(*canonical_columns(column_positions(names)), source)
 
 
-def _open_quotes(line: Column, delimiter: str) -> tuple[Column, Column]:
+def open_quotes(line: Column, delimiter: str) -> tuple[Column, Column]:
     """Whether a line leaves a quoted field open, if it begins outside of one, and if inside.
 
     Only a quote at the beginning of a field opens it; any other is text, as for Spark's parser.
@@ -200,8 +200,8 @@ def _records(lines: DataFrame, layouts: Layouts) -> DataFrame:
     fixed one, swapped as often as lines since then swap; the splits of a file are put together by the
     same rule.  Lines of records of one line stay where they are; the others go on to their first.
     """
-    outside = _by_delimiter(layouts, lambda mark: _open_quotes(F.col("value"), mark)[0])
-    inside = _by_delimiter(layouts, lambda mark: _open_quotes(F.col("value"), mark)[1])
+    outside = _by_delimiter(layouts, lambda mark: open_quotes(F.col("value"), mark)[0])
+    inside = _by_delimiter(layouts, lambda mark: open_quotes(F.col("value"), mark)[1])
     file_split = ["source_file", "split"]
     kinds = lines.select(*file_split, "id", outside.alias("out"), inside.alias("in"))
     kinds = settle(kinds.select(*file_split, "id", (F.col("out") & ~F.col("in")).cast("int").alias("swap"), F.when(F.col("out") == F.col("in"), F.col("out").cast("int")).alias("fixed"), "out"))

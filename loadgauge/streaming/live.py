@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +15,17 @@ from pyspark.sql.streaming import StreamingQuery
 from loadgauge.functions.columns import bucket_ms, is_error
 from loadgauge.model import RUN_KEYS, run_keys
 from loadgauge.plans.histogram import quantile, ranked
+from loadgauge.plans.joining import settle
 from loadgauge.sources.cleaning import REASON_FIELDS, assess
-from loadgauge.sources.csv_files import canonical_columns, column_positions, header_columns
+from loadgauge.sources.csv_files import canonical_columns, column_positions, header_columns, open_quotes, read_broken_csv, read_jtl_csv
+from loadgauge.sources.detect import literal_path
 from loadgauge.sources.ingest import run_of_file
 from loadgauge.streaming.compaction import KIND, compact, read_manifest, stored
 
 MERGE_EVERY = 16
+# Columns of a stream of files, and those that Spark's reader of files has.
+FILE_FIELDS = ["path", "source_file", "run_id", "header", "delimiter"]
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 LEVELS = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
@@ -30,14 +36,22 @@ def stream_jtl_csv(
     delimiter: str = ",",
     run_id: Column | None = None,
     files_per_trigger: int = 1000,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Raw strings with run_id from CSV files of one header, as they land in a folder.
 
     ``run_id`` is an expression over source_file; by default each file is a run.  Line breaks
-    inside quotes belong to their field, so a file is read whole by one task; ``multi_line=False``
-    says that no file has any, and lets them be split.
+    inside quotes belong to their field.  By default the stream is one of files, whose rows
+    ``write_live`` reads, and a pass over their lines tells how (see ``read_files``), so that a file is
+    worked on in as many tasks as it has splits.  ``multi_line`` says instead that any file may have
+    such line breaks, so that each is read whole by one task, or that none has any.
     """
+    run = run_of_file(F.col("source_file")) if run_id is None else run_id
+    source = F.col("_metadata.file_path").alias("source_file")
+    if multi_line is None:
+        files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+        named = files.select("path", source).withColumn("run_id", run)
+        return named.select(*FILE_FIELDS[:3], F.lit(header).alias("header"), F.lit(delimiter).alias("delimiter"))
     names = header_columns(header, delimiter)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     raw = (
@@ -49,12 +63,43 @@ def stream_jtl_csv(
         .option("maxFilesPerTrigger", files_per_trigger)
         .csv(folder)
     )
-    run = run_of_file(F.col("source_file")) if run_id is None else run_id
-    source = F.col("_metadata.file_path").alias("source_file")
     found = raw.select(*canonical_columns(column_positions(names)), source)
     return found.withColumn("run_id", run).drop("source_file")
 
 
+def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Raw strings with run_id from one batch of files(path, source_file, run_id, header, delimiter).
+
+    The rows are those of Spark's parser with ``multiLine``.  Files in which no line leaves a quoted field
+    open are read line by line.  The others are put together from lines, but for the few on which
+    line by line reading differs from that parser: carriage returns beside open quotes or inside lines,
+    and lines of white space alone; each of these is read whole by one task.
+    """
+    named = files.collect()  # no more than files_per_trigger
+    header, delimiter = named[0].header, named[0].delimiter
+    lines = spark.read.option("lineSep", "\n").text([literal_path(f.path) for f in named])
+    value, text = F.col("value"), F.regexp_replace("value", r"\r\z", "")
+    open_end = F.contains(value, F.lit('"')) & open_quotes(value, delimiter)[0]
+    odd = F.contains(text, F.lit("\r")) | F.rlike(text, F.lit(r"\A[\x00-\x20]+\z"))
+    facts = lines.groupBy(F.col("_metadata.file_path").alias("source_file")).agg(
+        F.max(open_end).alias("open"), F.max(F.contains(value, F.lit("\r"))).alias("returns"), F.max(odd).alias("odd")
+    )
+    kinds = {f.source_file: "whole" if f.odd or (f.open and f.returns) else "records" if f.open else "lines" for f in facts.collect()}
+    paths: dict[str, list[str]] = {}
+    for f in named:
+        paths.setdefault(kinds.get(f.source_file, "lines"), []).append(literal_path(f.path))
+    scans = []
+    for kind, found in sorted(paths.items()):
+        if kind == "records":
+            scans.append(read_broken_csv(spark, found, header, delimiter))
+        else:
+            scans.append(read_jtl_csv(spark, found, header, delimiter, multi_line=kind == "whole"))
+    rows = reduce(DataFrame.unionByName, scans)
+    if len({f.run_id for f in named}) == 1:
+        return rows.withColumn("run_id", F.lit(named[0].run_id).cast(files.schema["run_id"].dataType)).drop("source_file")
+    return rows.join(settle(files.select("source_file", "run_id")), "source_file").drop("source_file")
+
+
 def write_live(
     raw: DataFrame,
     out: str,
@@ -85,17 +130,19 @@ def write_live(
     def save(batch: DataFrame, number: int) -> None:
         place = f"stream={stream}/batch={number}"
         bad = F.col("reason") != ""
-        assessed = assess(batch).withColumn("kind", F.when(bad, "quarantine").otherwise("samples"))
+        raw_rows = read_files(spark, batch) if batch.columns == FILE_FIELDS else batch
+        assessed = assess(raw_rows).withColumn("kind", F.when(bad, "quarantine").otherwise("samples"))
         path = f"{out}/rows/{place}"
         assessed.write.mode("overwrite").partitionBy("kind").parquet(path)
-        rows = batch.sparkSession.read.schema(assessed.schema).parquet(path).filter("kind = 'samples'")
+        # Not the batch's own session, in which Spark plans without adapting to sizes.
+        rows = spark.read.schema(assessed.schema).parquet(path).filter("kind = 'samples'")
         counts = rows.groupBy(*run_keys(keys), bucket_ms("timestamp_ms", b).alias("bucket"), "elapsed").agg(
             F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors")
         )
         counts.write.mode("overwrite").parquet(f"{out}/counts/{place}")
         # Only the batches before this one: it may run again, they may not.
         schemas = {"rows": T.StructType([f for f in assessed.schema if f != KIND] + [KIND]), "counts": counts.schema}
-        compact(batch.sparkSession, out, stream, number, schemas, merge_every)
+        compact(spark, out, stream, number, schemas, merge_every)
 
     return (
         raw.writeStream.foreachBatch(save)

@@ -395,3 +395,34 @@ def test_live_rows_keep_line_breaks_in_quotes(spark, tmp_path):
     assert found[0].failure_message == 'first "line"\nsecond, line' and found[1].label.split() == ["a", "b"]
     assert live.live_quarantine(spark, f"{tmp_path}/out").count() == 1
     assert live.read_live(spark, f"{tmp_path}/out").agg(F.sum("errors")).first()[0] == 1
+
+
+def test_a_stream_reads_a_large_file_in_many_tasks(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    header = "timeStamp,elapsed,label,failureMessage,success"
+    plain = [f"{MS + i},{i},Home,ab\"c,true" for i in range(400)]
+    broken = [f'{MS + i},{i},"Ho""me",{chr(34)}first,\n\nsecond {i}{chr(34)},false' for i in range(400)]
+    files = {
+        "plain": "\n".join([header, *plain, "", f"{MS},,x"]) + "\n", "returns": "\r\n".join([header, *plain]) + "\r\n",
+        "broken": "\n".join([header, *broken]) + "\n", "both": "\r\n".join([header, *broken, *plain]), "blank": "\n".join([header, *plain, "  ", "\t"]),
+        "old": "\n".join([header, *plain, f"{MS},7,a\rb,,true"]), "lost": "\n".join([header, *plain, f'{MS},8,"never', "closed,,true"]),
+        "hidden": "\n".join([header, f'{MS},9,a"b,"two', 'lines",true']), "head": header + "\n",
+    }
+    for name, text in files.items():
+        (inbox / f"{name}.csv").write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = []
+        for k, multi_line in enumerate((None, True)):
+            source = live.stream_jtl_csv(spark, str(inbox), header, multi_line=multi_line)
+            live.write_live(source, f"{tmp_path}/out{k}", f"{tmp_path}/state{k}").awaitTermination()
+            bad = live.live_quarantine(spark, f"{tmp_path}/out{k}").select("run_id", "reason", "raw_json")
+            good = live.live_samples(spark, f"{tmp_path}/out{k}")
+            found.append([sorted(map(repr, good.collect())), sorted(map(repr, bad.collect())), good.schema])
+        assert found[0] == found[1] and len(found[0][0]) > 2400 and len(found[0][1]) == 3
+        assert len(list((tmp_path / "out0").glob("rows/*/*/kind=samples/*.parquet"))) > 9
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
