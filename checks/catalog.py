@@ -977,15 +977,21 @@ def _quarantined(s: DataFrame) -> DataFrame:
 
 
 def _streams(s: DataFrame, merge_every: int = live.MERGE_EVERY) -> list[str]:
-    """All runs as streams, one per header, a file at a time, the oldest run last."""
-    spark, folder, outs = s.sparkSession, inputs.write_csv_files(s), []
-    for run, (columns, delimiter) in reversed(inputs.CSV_LAYOUTS.items()):
-        header = delimiter.join(["dataType", *[inputs.CSV_NAMES[c] for c in columns]])
-        raw = live.stream_jtl_csv(
-            spark, f"{folder}/{run}", header, delimiter, inputs.run_of_folder(F.col("source_file")), files_per_trigger=1
-        )
-        outs.append(inputs.fresh_folder(spark, "live"))
-        live.write_live(raw, outs[-1], inputs.fresh_folder(spark, "state"), merge_every=merge_every).awaitTermination()
+    """All runs as streams, one per header, a file at a time; they share nothing and run side by side."""
+    spark, folder, outs, started = s.sparkSession, inputs.write_csv_files(s), [], []
+    try:
+        for run, (columns, delimiter) in reversed(inputs.CSV_LAYOUTS.items()):
+            header = delimiter.join(["dataType", *[inputs.CSV_NAMES[c] for c in columns]])
+            raw = live.stream_jtl_csv(
+                spark, f"{folder}/{run}", header, delimiter, inputs.run_of_folder(F.col("source_file")), files_per_trigger=1
+            )
+            outs.append(inputs.fresh_folder(spark, "live"))
+            started.append(live.write_live(raw, outs[-1], inputs.fresh_folder(spark, "state"), merge_every=merge_every))
+        for stream in started:
+            stream.awaitTermination()
+    finally:
+        for stream in started:
+            stream.stop()  # the others, if one fails
     return outs
 
 
