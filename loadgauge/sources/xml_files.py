@@ -20,6 +20,7 @@ from loadgauge.sources.xml_sections import (
     closes,
     continued_texts,
     in_markup,
+    latest,
     opens,
     sections_of,
 )
@@ -89,7 +90,7 @@ def _parents(records: DataFrame, blocks: Blocks, sections: Sections | None) -> D
     rows = settle(rows)
     by_level = Window.partitionBy(*BLOCK, "depth").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     asked = blocks.dealt(rows).withColumn("up", F.last("opened", ignorenulls=True).over(by_level)).filter("asks")
-    last = rows.groupBy(*BLOCK, "depth").agg(F.max("opened").alias("last"))
+    last = rows.groupBy(*BLOCK, "depth").agg(latest(F.col("opened.id"), F.col("opened.is_sample"), "is_sample").alias("last"))
     earlier = Window.partitionBy("source_file", "depth").orderBy(*BLOCK[1:]).rowsBetween(Window.unboundedPreceding, -1)
     carried = settle(last.select(*BLOCK, "depth", F.last("last", ignorenulls=True).over(earlier).alias("carried")))
     up = F.coalesce("up", "carried")

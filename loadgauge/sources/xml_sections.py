@@ -64,6 +64,15 @@ def block_of(record: Column) -> Column:
     return F.shiftright(record, BLOCK_BITS)
 
 
+def latest(record: Column, fact: Column, name: str) -> Column:
+    """The aggregate struct(id, ``name``) of the latest record; null ids do not count, null if there is no other.
+
+    Of numbers alone, which Spark keeps in a hash table of one row per group; for the maximum of a
+    struct it would sort all rows of a split, which grows with the files.
+    """
+    return F.when(F.max(record).isNotNull(), F.struct(F.max(record).alias("id"), F.max_by(fact, record).alias(name)))
+
+
 @dataclass(frozen=True)
 class Blocks:
     """One row per block of records, with its first and last id, and the number of tasks for all records.
@@ -169,8 +178,9 @@ def sections_of(records: DataFrame, blocks: Blocks) -> Sections | None:
     spans = ranges.filter("begin <= upto").select("begin", "upto", "state").unionByName(whole)
     inside = settle(spans.select(F.explode(F.sequence("begin", "upto")).alias("id"), "state"))
     ends = first.groupBy("source_file").agg(F.max(F.struct(*BLOCK[1:], "behind")).alias("end")).filter(F.col("end.behind") != MARKUP)
-    openers = ranges.filter("opener is not null").groupBy("source_file").agg(F.max(F.struct("split", "opener")).alias("last"))
-    unclosed = settle(openers.join(ends, "source_file").select(F.col("last.opener").alias("id")))
+    openers = ranges.filter("opener is not null").groupBy(*BLOCK[:2]).agg(F.max("opener").alias("opener"))
+    openers = openers.groupBy("source_file").agg(F.max_by("opener", "split").alias("id"))
+    unclosed = settle(openers.join(ends, "source_file").select("id"))
     return Sections(inside, unclosed)
 
 
@@ -200,7 +210,7 @@ def continued_texts(records: DataFrame, blocks: Blocks, sections: Sections | Non
     owner = F.when(~F.col("goes_on"), F.struct("id", "asks"))
     inside = Window.partitionBy(*BLOCK).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     owned = blocks.dealt(rows).withColumn("owner", F.last(owner, ignorenulls=True).over(inside)).filter("goes_on").select(*BLOCK, "id", "owner")
-    lasts = rows.groupBy(*BLOCK).agg(F.max(owner).alias("last"))
+    lasts = rows.groupBy(*BLOCK).agg(latest(F.when(~F.col("goes_on"), F.col("id")), F.col("asks"), "asks").alias("last"))
     earlier = Window.partitionBy("source_file").orderBy(*BLOCK[1:]).rowsBetween(Window.unboundedPreceding, -1)
     carried = settle(lasts.select(*BLOCK, F.last("last", ignorenulls=True).over(earlier).alias("carried")))
     owned = owned.join(carried, BLOCK).withColumn("owner", F.coalesce("owner", "carried")).filter("owner.asks")

@@ -8,7 +8,7 @@ from xml.etree import ElementTree
 
 import pytest
 
-from loadgauge.sources import xml_sections
+from loadgauge.sources import xml_files, xml_sections
 from loadgauge.sources.cleaning import clean
 from loadgauge.sources.xml_files import read_jtl_xml
 
@@ -126,3 +126,20 @@ def test_python_sees_a_split_block_by_block(spark, tmp_path, monkeypatch):
     assert spark.read.option("lineSep", "<").text(str(path)).rdd.getNumPartitions() == 1
     assert by_spark(spark, path) == by_parser(text)
     assert seen.value > 5
+
+
+def test_what_blocks_carry_on_is_found_without_sorting_splits(spark, tmp_path, monkeypatch):
+    path = tmp_path / "c.xml"
+    path.write_text(f'<r><sample t="1" lb="a"><failureMessage>at <![CDATA[{GHOST}]]></failureMessage></sample></r>')
+    settle, plans = xml_sections.settle, []
+
+    def seen(facts):
+        if "carried" in facts.columns:
+            plans.append(facts._jdf.queryExecution().executedPlan().toString())
+        return settle(facts)
+
+    monkeypatch.setattr(xml_sections, "settle", seen)
+    monkeypatch.setattr(xml_files, "settle", seen)
+    assert by_spark(spark, path) == Counter({("1", "a", f"at {GHOST}", None): 1})
+    assert len(plans) == 2
+    assert all("HashAggregate" in p and "SortAggregate" not in p for p in plans)
