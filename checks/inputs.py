@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadgauge.session import shared_folder
+from loadgauge.session import shared_folder, side_by_side
 
 # {S} string type, {D} integer division, {US} epoch microseconds, {K} the k of props.
 BASE = """
@@ -158,7 +158,9 @@ CSV_LAYOUTS = {
 def write_csv_files(raw: DataFrame) -> str:
     """CSV files of the raw rows: one folder per run, the runs with headers of their own."""
     folder = fresh_folder(raw.sparkSession, "csv")
-    for run, (columns, delimiter) in CSV_LAYOUTS.items():
+
+    def write(run: str) -> None:
+        columns, delimiter = CSV_LAYOUTS[run]
         rows = raw.filter(F.col("run_id") == run)
         (
             rows.select(F.lit("text").alias("dataType"), *[F.col(c).alias(CSV_NAMES[c]) for c in columns])
@@ -170,6 +172,8 @@ def write_csv_files(raw: DataFrame) -> str:
             .option("emptyValue", "")
             .csv(f"{folder}/{run}")
         )
+
+    side_by_side(raw.sparkSession, write, CSV_LAYOUTS)
     return folder
 
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 # UTC: buckets are instants, but text timestamps and printed times are read as UTC.
@@ -25,6 +29,18 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def side_by_side(spark: SparkSession, job: Callable[[Any], None], items: Iterable[Any]) -> None:
+    """Run a few jobs that share nothing at a time; one that fails raises when all have ended.
+
+    Each thread has a copy of the local properties of this one, so what cancels this one's jobs cancels theirs.
+    """
+    found = list(items)
+    with ThreadPoolExecutor(max(1, len(found))) as pool:
+        done = [pool.submit(inheritable_thread_target(spark)(job), item) for item in found]
+    for job_done in done:
+        job_done.result()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,10 +64,15 @@ def assess(raw: DataFrame, reasons: str = "clean") -> DataFrame:
     missing and words bad elapsed values more precisely.  row_index tells rows apart, but
     has gaps.  raw_json holds the text as it was read.
     """
+    return raw.select(*assessment(raw.columns, reasons, raw.isStreaming))
+
+
+def assessment(columns: Sequence[str], reasons: str = "clean", streaming: bool = False) -> list[Column]:
+    """What ``assess`` selects from raw rows of these columns; takes half a second to build, and serves any such rows."""
     if reasons not in ("clean", "validate"):
         raise ValueError(f"unknown reasons {reasons!r}")
     strict = reasons == "validate"
-    present = [name for name in CANONICAL if name in raw.columns]
+    present = [name for name in CANONICAL if name in columns]
     parts = []
     for name, words in (("elapsed", _elapsed_reason), ("timestamp_ms", _timestamp_reason)):
         if name in present:
@@ -73,7 +80,7 @@ def assess(raw: DataFrame, reasons: str = "clean") -> DataFrame:
         elif strict:
             parts.append(F.lit(f"missing required field: {name}"))
     reason = F.concat_ws("; ", *parts) if parts else F.lit("")
-    if UNREAD in raw.columns:
+    if UNREAD in columns:
         reason = F.when(F.col(UNREAD).isNotNull(), "not a whole XML element").otherwise(
             reason
         )
@@ -82,17 +89,17 @@ def assess(raw: DataFrame, reasons: str = "clean") -> DataFrame:
         F.struct(*[F.col(c).cast("string").alias(c) for c in present]),
         {"ignoreNullFields": "false"},
     )
-    others = [c for c in raw.columns if c not in [*CANONICAL, UNREAD]]
+    others = [F.col(c) for c in columns if c not in [*CANONICAL, UNREAD]]
     bad = reason != ""
     # Streams have no row numbers.
-    index = F.lit(None) if raw.isStreaming else F.monotonically_increasing_id()
-    return raw.select(
+    index = F.lit(None) if streaming else F.monotonically_increasing_id()
+    return [
         *others,
         *[_typed(f.name, f.dataType, f.name in present).alias(f.name) for f in SAMPLES_SCHEMA],
         index.cast("bigint").alias("row_index"),
         reason.alias("reason"),
         F.when(bad, text).alias("raw_json"),
-    )
+    ]
 
 
 def good_rows(assessed: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadgauge.session import side_by_side
+
 PLACE = [T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())]
 RANGE = T.StructField("batches", T.StringType())
 KIND = T.StructField("kind", T.StringType())
@@ -65,8 +67,9 @@ def read_manifest(spark: SparkSession, out: str) -> Manifest | None:
 
 def _commit(spark: SparkSession, out: str, manifest: Manifest) -> None:
     """Write the manifest over the one before the newest, which stays until this one is there."""
-    row = [(manifest.version, json.dumps(asdict(manifest)))]
-    table = spark.createDataFrame(row, "version long, manifest string").coalesce(1)
+    # Made of literals: rows of Python would start a Python worker for it.
+    text = F.lit(json.dumps(asdict(manifest)))
+    table = spark.range(1, numPartitions=1).select(F.lit(manifest.version).cast("long").alias("version"), text.alias("manifest"))
     table.write.mode("overwrite").parquet(f"{out}/manifest/slot-{manifest.version % 2}")
 
 
@@ -114,8 +117,8 @@ def compact(spark: SparkSession, out: str, stream: str, below: int, schemas: dic
         kept, absorbed = kept[: 1 - fan], kept[1 - fan :] + absorbed
         level += 1
     segment = Segment(absorbed[0].first if absorbed else old.upto, below, level)
-    for table in schemas:
-        _merge(spark, out, table, replace(old, segments=absorbed, schemas=texts), segment)
+    parts = replace(old, segments=absorbed, schemas=texts)
+    side_by_side(spark, lambda table: _merge(spark, out, table, parts, segment), schemas)
     names = [f"{out}/{table}/stream={stream}/batch={n}" for table in schemas for n in range(old.upto, below)]
     names += [s.path(out, table) for table in schemas for s in absorbed]
     _commit(spark, out, Manifest(stream, old.version + 1, below, [*kept, segment], names, texts))

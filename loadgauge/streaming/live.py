@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -16,7 +16,7 @@ from loadgauge.functions.columns import bucket_ms, is_error
 from loadgauge.model import RUN_KEYS, run_keys
 from loadgauge.plans.histogram import quantile, ranked
 from loadgauge.plans.joining import settle
-from loadgauge.sources.cleaning import REASON_FIELDS, assess
+from loadgauge.sources.cleaning import REASON_FIELDS, assessment
 from loadgauge.sources.csv_files import canonical_columns, column_positions, header_columns, open_quotes, read_broken_csv, read_jtl_csv
 from loadgauge.sources.detect import literal_path
 from loadgauge.sources.ingest import run_of_file
@@ -26,6 +26,9 @@ MERGE_EVERY = 16
 # Columns of a stream of files, and those that Spark's reader of files has.
 FILE_FIELDS = ["path", "source_file", "run_id", "header", "delimiter"]
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+# Column expressions of a stream by name.  Building those of a batch takes Python a second, in which Spark has
+# nothing to do and other streams of the process wait, so they are built once a stream.
+Built = dict[tuple[str, ...], list[Column]]
 LEVELS = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
@@ -67,7 +70,24 @@ def stream_jtl_csv(
     return found.withColumn("run_id", run).drop("source_file")
 
 
-def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+def _once(built: Built, name: tuple[str, ...], build: Callable[[], list[Column]]) -> list[Column]:
+    if name not in built:
+        built[name] = build()
+    return built[name]
+
+
+def _line_facts(delimiter: str) -> list[Column]:
+    """Of a line: whether it leaves a quote open, has carriage returns, is read otherwise by Spark's parser."""
+    value, text = F.col("value"), F.regexp_replace("value", r"\r\z", "")
+    open_end = F.contains(value, F.lit('"')) & open_quotes(value, delimiter)[0]
+    returns = F.contains(value, F.lit("\r"))
+    # A blank line sorts before "!", as hardly any other does; the patterns take longer than all else here.
+    blank = (value < "!") & F.rlike(text, F.lit(r"\A[\x00-\x20]+\z"))
+    odd = (returns & F.contains(text, F.lit("\r"))) | blank
+    return [open_end.alias("open"), returns.alias("returns"), odd.alias("odd")]
+
+
+def read_files(spark: SparkSession, files: DataFrame, built: Built | None = None) -> DataFrame:
     """Raw strings with run_id from one batch of files(path, source_file, run_id, header, delimiter).
 
     The rows are those of Spark's parser with ``multiLine``.  Files in which no line leaves a quoted field
@@ -78,12 +98,10 @@ def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     named = files.collect()  # no more than files_per_trigger
     header, delimiter = named[0].header, named[0].delimiter
     lines = spark.read.option("lineSep", "\n").text([literal_path(f.path) for f in named])
-    value, text = F.col("value"), F.regexp_replace("value", r"\r\z", "")
-    open_end = F.contains(value, F.lit('"')) & open_quotes(value, delimiter)[0]
-    odd = F.contains(text, F.lit("\r")) | F.rlike(text, F.lit(r"\A[\x00-\x20]+\z"))
-    facts = lines.groupBy(F.col("_metadata.file_path").alias("source_file")).agg(
-        F.max(open_end).alias("open"), F.max(F.contains(value, F.lit("\r"))).alias("returns"), F.max(odd).alias("odd")
-    )
+    tests = _once({} if built is None else built, ("facts", delimiter), lambda: _line_facts(delimiter))
+    # Most lines have none of the three; those need no group.
+    told = lines.select(F.col("_metadata.file_path").alias("source_file"), *tests).filter("open OR returns OR odd")
+    facts = told.groupBy("source_file").agg(F.max("open").alias("open"), F.max("returns").alias("returns"), F.max("odd").alias("odd"))
     kinds = {f.source_file: "whole" if f.odd or (f.open and f.returns) else "records" if f.open else "lines" for f in facts.collect()}
     paths: dict[str, list[str]] = {}
     for f in named:
@@ -127,18 +145,26 @@ def write_live(
     if batches or (manifest and manifest.stream != stream):
         raise ValueError(f"{out} belongs to another checkpoint")
 
+    built: Built = {}
+
+    def kind() -> list[Column]:
+        return [F.when(F.col("reason") != "", "quarantine").otherwise("samples").alias("kind")]
+
+    def counted() -> list[Column]:
+        return [F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors")]
+
     def save(batch: DataFrame, number: int) -> None:
         place = f"stream={stream}/batch={number}"
-        bad = F.col("reason") != ""
-        raw_rows = read_files(spark, batch) if batch.columns == FILE_FIELDS else batch
-        assessed = assess(raw_rows).withColumn("kind", F.when(bad, "quarantine").otherwise("samples"))
+        raw_rows = read_files(spark, batch, built) if batch.columns == FILE_FIELDS else batch
+        columns = raw_rows.columns
+        assessed = raw_rows.select(*_once(built, ("assessed", *columns), lambda: assessment(columns)))
+        assessed = assessed.select("*", *_once(built, ("kind",), kind))
         path = f"{out}/rows/{place}"
         assessed.write.mode("overwrite").partitionBy("kind").parquet(path)
         # Not the batch's own session, in which Spark plans without adapting to sizes.
         rows = spark.read.schema(assessed.schema).parquet(path).filter("kind = 'samples'")
-        counts = rows.groupBy(*run_keys(keys), bucket_ms("timestamp_ms", b).alias("bucket"), "elapsed").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("errors")
-        )
+        bucket = _once(built, ("bucket",), lambda: [bucket_ms("timestamp_ms", b).alias("bucket")])
+        counts = rows.groupBy(*run_keys(keys), *bucket, "elapsed").agg(*_once(built, ("counted",), counted))
         counts.write.mode("overwrite").parquet(f"{out}/counts/{place}")
         # Only the batches before this one: it may run again, they may not.
         schemas = {"rows": T.StructType([f for f in assessed.schema if f != KIND] + [KIND]), "counts": counts.schema}

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 from pathlib import Path
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadgauge.session import side_by_side
+from loadgauge.sources import cleaning
 from loadgauge.streaming import compaction, live
 
 HEADER = "timeStamp,elapsed,label,success"
@@ -117,3 +120,53 @@ def test_a_stream_with_merges_equals_one_without(spark, tmp_path):
     assert compaction.read_manifest(spark, f"{tmp_path}/out100") is None
     with pytest.raises(ValueError, match="another checkpoint"):
         live.write_live(source, f"{tmp_path}/out2", f"{tmp_path}/other")
+
+
+def test_tables_are_merged_side_by_side(spark, tmp_path, monkeypatch):
+    out, both, merge = str(tmp_path), Barrier(2), compaction._merge
+    for n in range(2):
+        batch(spark, out, n)
+    monkeypatch.setattr(compaction, "_merge", lambda *args: (both.wait(60), merge(*args)))
+    assert compaction.compact(spark, out, "s", 2, SCHEMAS, 2)
+    assert seen(spark, out) == want(2) and compaction.read_manifest(spark, out).upto == 2
+
+
+def test_jobs_side_by_side_end_before_one_that_fails_raises(spark):
+    ended, started = [], Barrier(2)
+
+    def job(n):
+        started.wait(60)
+        found = spark.sparkContext.getLocalProperty("told"), spark.range(n).count()
+        if n == 1:
+            raise RuntimeError("first")
+        ended.append(found)
+
+    spark.sparkContext.setLocalProperty("told", "by caller")
+    try:
+        with pytest.raises(RuntimeError, match="first"):
+            side_by_side(spark, job, [1, 2])
+    finally:
+        spark.sparkContext.setLocalProperty("told", None)
+    assert ended == [("by caller", 2)]
+
+
+def test_a_stream_builds_its_expressions_once(spark, tmp_path, monkeypatch):
+    inbox, built, read = tmp_path / "in", [], cleaning.normalize_timestamp
+    inbox.mkdir()
+    for k in range(3):
+        (inbox / f"{k}.csv").write_text(f"{HEADER}\n{1_700_000_000_000 + k},{k},a,true\nnever,7,b,true\n")
+    monkeypatch.setattr(cleaning, "normalize_timestamp", lambda value: (built.append(value), read(value))[1])
+    source = live.stream_jtl_csv(spark, str(inbox), HEADER, run_id=F.lit("r"), files_per_trigger=1)
+    live.write_live(source, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert len(built) == 2  # the column and its reason, not once more for each of three batches
+    assert sorted(r.elapsed for r in live.live_samples(spark, f"{tmp_path}/out").collect()) == [0, 1, 2]
+    assert live.live_quarantine(spark, f"{tmp_path}/out").count() == 3
+
+
+def test_line_facts(spark):
+    lines = ["", "\r", " ", " \r", "\t\x00 ", "\r\r", " \r\r", "a", "a\r", "a\rb", " a", "!", "é ", "\u00a0", 'a,"b', '"b\r', 'a,"b"', 'a"b,c']
+    found = spark.createDataFrame([(x,) for x in lines], "value string").select("value", *live._line_facts(",")).collect()
+    cut = {x: x[:-1] if x.endswith("\r") else x for x in lines}
+    odd = {x for x in lines if "\r" in cut[x] or (cut[x] and all(c <= " " for c in cut[x]))}
+    assert {r.value for r in found if r.odd} == odd and {r.value for r in found if r.returns} == {x for x in lines if "\r" in x}
+    assert {r.value for r in found if r.open} == {'a,"b', '"b\r'}
