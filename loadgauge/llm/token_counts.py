@@ -10,29 +10,33 @@ Why such a place proves that both chunks go on as the whole text does: the norma
 case) joins nothing across it, since what follows is ASCII or CJK and never composes with what
 precedes; the split pattern has no match that spans it, whatever stands before; and a special string
 that could span it lies inside both chunks as a whole, since it is longer than no ``GUARD``.
+
+Offsets are asked for only where a place is looked for.  All other text is counted run by run between
+spaces: a task counts each distinct run once, from the matches of the split in it, and gives each
+distinct match once to the library's model.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadgauge.llm.common import free_name
+from loadgauge.llm.common import SPACES, free_name
 from loadgauge.plans.joining import settle
 
 CHUNK = 1 << 15  # characters; longer texts are cut
 OVERLAP = 256
 GUARD = 32  # a place so close to the end of a chunk says nothing
 LIMIT = 2048  # tokens of a document that is not over the limit
-KNOWN_RUNS = 1 << 19  # runs between spaces whose counts a task remembers
+KNOWN_RUNS = 1 << 19  # runs between spaces whose counts a task remembers, and matches of the split
+KNOWN_LENGTH = 256  # longer ones are counted whenever they come
 BATCH_CHARS = 1 << 18
 
 # CJK signs, punctuation and digits that NFC and lower case leave alone.
@@ -45,6 +49,16 @@ WORD_BPE_STARTS = (
     rf"(?=[ \t\n\r])|(?<=[{_LETTER}{_MARK}0-9])(?=[0-9])|(?<=[0-9])(?=[{_LETTER}{_MARK}'])|(?<=[{_LETTER}])(?=[{_MARK}'])|(?<=[{_MARK}])(?=[{_LETTER}])"
 )
 
+# Runs in which the normaliser changes nothing but capitals, each by itself, and \p{L} and \p{N} are
+# these letters and 0-9: printable ASCII, Latin and Cyrillic letters; not İ, which becomes two signs.
+_LOWER = "a-zß-öø-ÿĀ-įı-ſа-џ"
+WORD_BPE_PLAIN = "[!-~À-ÖØ-öø-ÿĀ-įı-ſЀ-џ]*"
+# The split's matches in such a run in lower case.
+WORD_BPE_MATCHES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^{_LOWER}0-9]+"
+_is_plain = re.compile(WORD_BPE_PLAIN).fullmatch
+_matches = re.compile(WORD_BPE_MATCHES).findall
+_space = re.compile(f"[{SPACES}]")
+
 
 def word_bpe_path() -> str:
     """Where the vocabulary file lies on this machine."""
@@ -66,6 +80,22 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+class _Sizes(dict):
+    """Tokens by run or match, worked out when first asked for; the memory is bounded."""
+
+    def __init__(self, size_of: Callable[[bytes | str], int]):
+        super().__init__()
+        self.size_of = size_of
+
+    def __missing__(self, name: bytes | str) -> int:
+        size = self.size_of(name)
+        if len(name) <= KNOWN_LENGTH:
+            if len(self) >= KNOWN_RUNS:
+                self.clear()
+            self[name] = size
+        return size
+
+
 @dataclass
 class TokenCounter:
     """A tokenizer file and what is known about it.
@@ -73,17 +103,18 @@ class TokenCounter:
     ``path`` None stands for word_bpe_49k.json, looked up where the counting runs.  ``starts`` is a
     pattern of places where its split starts anew; ``spaced`` says that no token depends on
     anything across ASCII white space, so that runs between spaces can be counted one by one.
-    Both hold for the default file; another one needs its own.
+    Both hold for the default file; another one needs its own.  Only runs of the default file are
+    split further.
     """
 
     path: str | None = None
     starts: str = WORD_BPE_STARTS
     spaced: bool = True
-    _known: dict[bytes, int] = field(default_factory=dict, repr=False)
+    _known: _Sizes | None = field(default=None, repr=False)
     _tokenizer: object = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "starts": self.starts, "spaced": self.spaced, "_known": {}, "_tokenizer": None}
+        return {"path": self.path, "starts": self.starts, "spaced": self.spaced, "_known": None, "_tokenizer": None}
 
     @property
     def tokenizer(self):
@@ -102,34 +133,77 @@ class TokenCounter:
         return [len(one) for part in found for one in part]
 
     def sizes(self, texts: list[str]) -> list[int]:
-        """Tokens of each text; with ``spaced``, each distinct run between spaces is encoded once."""
+        """Tokens of each text; with ``spaced``, each distinct run between spaces is counted once."""
         if not self.spaced:
             return self.encoded_sizes(texts)
-        sizes: list[int] = []
-        for part in _parts(texts):
-            runs = [text.encode().split() for text in part]
-            every = set(chain.from_iterable(runs))
-            fresh = list(every.difference(self._known))
-            if len(self._known) + len(fresh) > KNOWN_RUNS:
-                self._known.clear()
-                fresh = list(every)
-            self._known.update(zip(fresh, self.encoded_sizes([run.decode() for run in fresh]), strict=True))
-            sizes += [sum(map(self._known.__getitem__, found)) for found in runs]
-        return sizes
+        if self._known is None:
+            self._known = _Sizes(self._run_size())
+        size_of = self._known.__getitem__
+        return [sum(map(size_of, text.encode().split())) for text in texts]
+
+    def _run_size(self) -> Callable[[bytes], int]:
+        """Tokens of a run: as the library gives them, or the sum over the split's matches in it."""
+        tokenizer = self.tokenizer
+        model, pre_tokenizer = tokenizer.model, tokenizer.pre_tokenizer
+        special = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+        may_split = self.path is None
+
+        def match_size(match: str) -> int:
+            # Byte-level names of ASCII are the signs themselves.
+            names = [match] if match.isascii() else [name for name, _ in pre_tokenizer.pre_tokenize_str(match)]
+            return sum(len(model.tokenize(name)) for name in names)
+
+        size_of = _Sizes(match_size).__getitem__
+
+        def run_size(raw: bytes) -> int:
+            run = raw.decode()
+            if may_split and _is_plain(run) and not any(s in run for s in special):
+                return sum(map(size_of, _matches(run.lower())))
+            return len(tokenizer.encode_batch_fast([run], add_special_tokens=False)[0])
+
+        return run_size
 
     def places(self, piece: str, ranges: list[tuple[int, int]]) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
         """(tokens of the piece, and for each range the places where it may be spliced with the
-        number of tokens before each)."""
-        (found,) = self.tokenizer.encode_batch([piece], add_special_tokens=False)
-        spans = np.array(found.offsets, np.int64).reshape(-1, 2)
-        begins, ends = np.sort(spans[:, 0]), np.sort(spans[:, 1])
+        number of tokens before each).
+
+        ``ranges`` rise.  With ``spaced``, only the runs that they touch are encoded with offsets;
+        the tokens of a stretch between them are counted and all stand for the whole stretch.
+        """
+        begins, ends = [], []
+        for begin, end, touched in self._stretches(piece, ranges):
+            if touched:
+                (found,) = self.tokenizer.encode_batch([piece[begin:end]], add_special_tokens=False)
+                spans = np.array(found.offsets, np.int64).reshape(-1, 2) + begin
+                begins.append(spans[:, 0])
+                ends.append(spans[:, 1])
+            else:
+                (size,) = self.sizes([piece[begin:end]])
+                begins.append(np.full(size, begin, np.int64))
+                ends.append(np.full(size, end, np.int64))
+        begins, ends = np.sort(np.concatenate(begins)), np.sort(np.concatenate(ends))
         out = []
         for low, high in ranges:
             at = np.array([m.start() for m in re.compile(self.starts).finditer(piece, max(low, 0), min(high, len(piece)))], np.int64)
             before = np.searchsorted(ends, at, "right")
             whole = before == np.searchsorted(begins, at, "left")  # no token spans the place
             out.append((at[whole], before[whole]))
-        return len(spans), out
+        return len(ends), out
+
+    def _stretches(self, piece: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int, bool]]:
+        """(begin, end, whether a range touches it) of what the piece is cut into at spaces."""
+        if not self.spaced:
+            return [(0, len(piece), True)]
+        cuts, done = [], 0
+        for low, high in ranges:
+            if low >= high:
+                continue
+            begin = max(done, *(piece.rfind(space, done, max(low, 0)) for space in SPACES))
+            behind = _space.search(piece, max(high, begin))
+            end = behind.start() if behind else len(piece)
+            cuts += [(done, begin, False), (begin, end, True)]
+            done = end
+        return [*cuts, (done, len(piece), False)]
 
 
 def _cuts(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:

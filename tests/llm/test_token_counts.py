@@ -36,6 +36,68 @@ def test_short_texts_equal_the_library(counter):
     assert counter.sizes(texts) == [by_library(counter, t) for t in texts]
 
 
+class Recorded:
+    """A tokenizer that remembers the texts given to the library."""
+
+    def __init__(self, tokenizer):
+        self.inner, self.texts = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def encode_batch(self, texts, **options):
+        self.texts += texts
+        return self.inner.encode_batch(texts, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_runs_of_known_words_are_not_encoded_again(counter):
+    recorded = TokenCounter(_tokenizer=Recorded(counter.tokenizer))
+    texts = ["One, TWO: straße!! don't 42%", "Ошибка... (über) x1y2 ''s", "<|endoftext|>one two", "two漢字 İx"]
+    assert recorded.sizes(texts) == [by_library(counter, t) for t in texts]
+    assert set(recorded._tokenizer.texts) == {"<|endoftext|>one", "two漢字", "İx"}
+
+
+def test_offsets_are_worked_out_only_about_the_overlaps(counter):
+    """The same places and sums as with offsets of the whole chunk."""
+    r = random.Random(5)
+    plain = TokenCounter(spaced=False)
+    recorded = TokenCounter(_tokenizer=Recorded(counter.tokenizer))
+    piece = " ".join("".join(r.choices("abcdeé,'", k=r.randint(1, 9))) for _ in range(3000))
+    ranges = [(GUARD, 128 - GUARD + 1), (len(piece) - 128 + GUARD, len(piece) - GUARD + 1)]
+    listed = lambda found: (found[0], [(a.tolist(), n.tolist()) for a, n in found[1]])
+    assert listed(recorded.places(piece, ranges)) == listed(plain.places(piece, ranges))
+    assert sum(map(len, recorded._tokenizer.texts)) < 400 < len(piece)
+    for _ in range(300):  # ranges that meet, or hold no space, or lie at the ends
+        text = odd_text(r, r.randint(0, 80))
+        ends = sorted(r.randint(0, len(text)) for _ in range(4))
+        ranges = [(ends[0], ends[1]), (ends[r.choice((0, 1, 2))], ends[3])]
+        assert listed(counter.places(text, ranges)) == listed(plain.places(text, ranges))
+
+
+def test_plain_signs_are_lowered_and_split_as_by_the_library(counter):
+    normalize, split = counter.tokenizer.normalizer.normalize_str, counter.tokenizer.pre_tokenizer.pre_tokenize_str
+    plain = [chr(i) for i in range(0x21, 0x10000) if not 0xD800 <= i < 0xE000 and token_counts._is_plain(chr(i))]
+    assert len(plain) > 300
+    for sign in plain:
+        assert normalize(sign) == sign.lower() and len(sign.lower()) == 1
+        for word in (sign.lower() + other for other in "x1!'é"):
+            assert len(token_counts._matches(word)) == len(split(word))
+            assert len(token_counts._matches(word[::-1])) == len(split(word[::-1]))
+
+
+def test_what_a_task_remembers_is_bounded(counter, monkeypatch):
+    monkeypatch.setattr(token_counts, "KNOWN_RUNS", 50)
+    r = random.Random(6)
+    texts = ["".join(r.choices("abc ,1é", k=200)) + "x" * 3000 for _ in range(20)]
+    bounded = TokenCounter()
+    assert bounded.sizes(texts) == [by_library(counter, t) for t in texts]
+    assert len(bounded._known) <= 50 and max(map(len, bounded._known)) <= token_counts.KNOWN_LENGTH
+
+
 def test_every_place_reported_splits_a_text_as_the_whole(counter):
     """Whatever stands around a place: the tokens before it are those of the text before it."""
     r = random.Random(2)
