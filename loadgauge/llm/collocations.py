@@ -3,7 +3,8 @@
 Texts become blocks of word numbers once; only words that are frequent in some language have one.
 Phrases are then counted length by length.  A phrase is a candidate if the two phrases one word
 shorter inside it are frequent (Apriori) and if the occurrences that share its hash are many enough;
-neither test ever misses a frequent phrase.  Candidates go to all tasks as a double-array trie: numpy
+neither test ever misses a frequent phrase.  Candidates go to all tasks as a double-array trie over the
+digits of the word numbers, so its size follows from the candidates, not from the vocabulary: numpy
 takes all text positions one level down at a time, drops those that fall out, and counts the states that
 the rest end in; the tasks' counts are summed.
 
@@ -36,6 +37,7 @@ NO_LANG = "und"
 WORDS = 1 << 20  # words of a shard of the vocabulary
 HASHES = 1 << 22  # hashes of a shard of frequent ones
 SEQUENCES = 1 << 18  # candidates of one trie
+DIGIT_BITS = 9  # a trie takes numbers digit by digit, of at most so many bits
 SLICE = 1 << 12  # states whose counts travel together
 BITS = 24  # the bitmaps of frequent phrases have 2^24 bits
 BLOCK_BYTES = 1 << 17
@@ -345,32 +347,43 @@ def bitmap_of(counted: DataFrame, width: int) -> np.ndarray:
 
 @dataclass
 class DoubleArray:
-    """A trie of number sequences in two arrays: the child of state s by symbol c is
-    t = base[s] + c, if check[t] == s.  State 1 is the root, 0 is none."""
+    """A trie of number sequences in two arrays, each number in ``digits`` digits of ``bits`` bits, the highest
+    first: the child of state s by digit d is t = base[s] + d, if check[t] == s.  State 1 is the
+    root, 0 is none; both arrays hold base[s] + d of every state and digit."""
 
     base: np.ndarray
     check: np.ndarray
+    bits: int
+    digits: int
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """The states one level down, 0 for those that have no such child."""
-        at = self.base[states] + symbols
-        inside = (states > 0) & (at > 0) & (at < len(self.check))
-        at = np.where(inside, at, 0)  # whose check is no state
-        return np.where(self.check[at] == states, at, 0)
+        """The states one number down, 0 for those that have no such child."""
+        states = np.where(symbols >> (self.bits * self.digits) == 0, states, 0)  # larger ones are in no sequence
+        for place in reversed(range(self.digits)):
+            at = self.base[states] + (symbols >> (self.bits * place) & ((1 << self.bits) - 1))
+            states = np.where(self.check[at] == states, at, 0)
+        return states
 
 
 def double_array(sequences: np.ndarray) -> tuple[DoubleArray, np.ndarray]:
     """(trie, end state of each row) of different rows of positive numbers, in lexical order.
 
-    Level by level, nodes with most children first.  Only children need any free cell; a node
+    Digit by digit, nodes with most children first.  Only children need any free cell; a node
     with several tries free cells in turn, for at most a few windows, from where the last such node
-    gave up, and else goes to the end.
+    gave up, and else goes to the end.  The children of a node lie within 2^bits cells, however large the
+    numbers are, so the cells grow with the nodes; whole numbers as symbols would spread each
+    node over the vocabulary.
     """
     rows, length = sequences.shape
-    check = np.zeros(2 * rows * max(1, length) + int(sequences.max(initial=0)) + 64, np.int32)
-    base = np.zeros(len(check), np.int64)
-    check[:2] = -1
-    used, lowest = 2, 2  # cells from ``used`` on are free; several children are tried from ``lowest`` on
+    top = int(sequences.max(initial=0)).bit_length()
+    digits = max(1, math.ceil(top / DIGIT_BITS))
+    bits = math.ceil(top / digits)
+    radix = 1 << bits
+    check = np.zeros(2 * rows * max(1, length) + 2 * radix + 64, np.int32)
+    base = np.zeros(len(check), np.int32)
+    # Cells from ``used`` on are free; several children are tried from ``lowest`` on.
+    used = lowest = radix + 2
+    check[:used] = -1
     state = np.ones(rows, np.int64)
 
     def room(size: int) -> None:
@@ -379,8 +392,9 @@ def double_array(sequences: np.ndarray) -> tuple[DoubleArray, np.ndarray]:
             more = max(size, 2 * len(check)) - len(check)
             check, base = np.pad(check, (0, more)), np.pad(base, (0, more))
 
-    for level in range(length):
-        symbol = sequences[:, level].astype(np.int64)
+    for level in range(length * digits):
+        place = digits - 1 - level % digits
+        symbol = sequences[:, level // digits].astype(np.int64) >> (bits * place) & (radix - 1)
         first = np.ones(rows, bool)  # of a child
         first[1:] = (state[1:] != state[:-1]) | (symbol[1:] != symbol[:-1])
         begins = np.flatnonzero(first)
@@ -416,7 +430,9 @@ def double_array(sequences: np.ndarray) -> tuple[DoubleArray, np.ndarray]:
         used = max(used, int(free[-1]) + 1) if len(free) else used
         ends = base[parents] + symbols
         state = ends[np.cumsum(first) - 1]
-    return DoubleArray(base[:used].copy(), check[:used].copy()), state
+    room(used + radix)
+    check[check == 0] = -1  # state 0 has no children
+    return DoubleArray(base[: used + radix].copy(), check[: used + radix].copy(), bits, digits), state
 
 
 def end_states(trie: DoubleArray, ids: np.ndarray, seen: int, length: int) -> np.ndarray:

@@ -108,3 +108,19 @@ def test_double_array():
             states = trie.step(states, column.astype(np.int64))
         known = {tuple(row): end for row, end in zip(rows.tolist(), ends.tolist(), strict=True)}
         assert states.tolist() == [known.get(tuple(row), 0) for row in asked.tolist()]
+
+
+def test_trie_grows_with_its_sequences_not_with_the_numbers():
+    r = np.random.default_rng(5)
+    for top in (4000, 1 << 20, (1 << 31) - 1):
+        # Many first numbers with several others behind them, all spread over the vocabulary.
+        first, last = r.integers(1, top, 600), r.integers(1, top, 6000)
+        rows = np.unique(np.column_stack([np.ones(6000, np.int64), r.choice(first, 6000), last]), axis=0).astype(np.int32)
+        trie, ends = co.double_array(rows)
+        assert len(trie.check) == len(trie.base) < 60_000
+        asked = np.concatenate([rows, rows + 1, np.full((1, 3), top, np.int32), np.zeros((1, 3), np.int32), rows * np.array([1, 1, 0], np.int32)])
+        states = np.ones(len(asked), np.int64)
+        for column in asked.T:
+            states = trie.step(states, column.astype(np.int64))
+        known = {tuple(row): end for row, end in zip(rows.tolist(), ends.tolist(), strict=True)}
+        assert states.tolist() == [known.get(tuple(row), 0) for row in asked.tolist()]
